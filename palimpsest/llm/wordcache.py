@@ -1,0 +1,113 @@
+"""Encoding of whole texts by a library tokenizer, each distinct piece between white space once per Python worker."""
+
+from __future__ import annotations
+
+import json
+import re
+
+import numpy as np
+
+#: White space by every library's definition; a tokenizer that drops white space gives the same ids for the pieces as for the text.
+_SPACE = re.compile(r"[ \t\n\r]+")
+#: Pieces whose normal form and split are beyond doubt: printable ASCII and the letters of Latin-1, all composed.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+# The pre-tokenizer for which the split below holds.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level vocabularies: itself where printable, else the next free one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(free)}
+
+
+class _Ragged:
+    """Numbered lists of ids in one growing array."""
+
+    def __init__(self):
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+        self.start, self.length, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+
+    def add(self, lengths: np.ndarray, ids: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        while self.n + len(lengths) > len(self.start):
+            self.start, self.length = np.concatenate((self.start, np.zeros_like(self.start))), np.concatenate((self.length, np.zeros_like(self.length)))
+        z = self.n + len(lengths)
+        self.start[self.n : z] = self.used + np.cumsum(lengths) - lengths
+        self.length[self.n : z] = lengths
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.n, self.used = z, self.used + len(ids)
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        """The lists' ids in a row."""
+        start, length = self.start[at], self.length[at]
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(start - (ends - length), length) + np.arange(total)]
+
+
+class PieceEncoder:
+    """Ids of whole texts for a tokenizer whose pre-tokenizer drops white space.
+
+    Distinct pieces between white space are encoded once and remembered; beyond
+    ``most`` of them the memory starts anew. Plain pieces are split here and the
+    library's model encodes their parts; all others, and those that may hold a
+    special token, go through the library whole.
+    """
+
+    def __init__(self, tokenizer, most: int = 500_000):
+        self.tokenizer, self.most = tokenizer, most
+        given = json.loads(tokenizer.to_str())
+        steps = (given["pre_tokenizer"] or {}).get("pretokenizers", [])
+        norms = (given["normalizer"] or {}).get("normalizers", [])
+        self.fast = (
+            [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": _PATTERN} and steps[0]["behavior"] == "Removed"
+            and steps[0]["invert"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and [n["type"] for n in norms] == ["NFC", "Replace", "Lowercase"]
+            and all(len(t["content"]) > 1 for t in given["added_tokens"])
+        )
+        self.special = tuple(t["content"] for t in given["added_tokens"])
+        self.letters = byte_letters()
+        self._clear()
+
+    def _clear(self):
+        self.number: dict[str, int] = {}
+        self.pieces = _Ragged()
+        self.part_number: dict[str, int] = {}
+        self.parts = _Ragged()
+
+    def _learn(self, pieces: list[str]) -> None:
+        plain = [p for p in pieces if _PLAIN.fullmatch(p) and not any(s in p for s in self.special)] if self.fast else []
+        if plain:
+            split = [_SPLIT.findall(p.lower()) for p in plain]
+            new = [x for x in dict.fromkeys(y for s in split for y in s) if x not in self.part_number]
+            tokenize, letters = self.tokenizer.model.tokenize, self.letters
+            found = [[t.id for t in tokenize(x if x.isascii() else x.encode().decode("latin-1").translate(letters))] for x in new]
+            self.part_number.update(zip(new, range(self.parts.n, self.parts.n + len(new))))
+            self.parts.add(np.fromiter(map(len, found), np.int64, len(found)), np.fromiter((i for f in found for i in f), np.uint32))
+            at = np.fromiter((self.part_number[y] for s in split for y in s), np.int64)
+            counts = np.fromiter(map(len, split), np.int64, len(split))
+            sums = np.concatenate(([0], np.cumsum(self.parts.length[at])))
+            ends = np.cumsum(counts)
+            self.number.update(zip(plain, range(self.pieces.n, self.pieces.n + len(plain))))
+            self.pieces.add(sums[ends] - sums[ends - counts], self.parts.take(at))
+        rest = [p for p in pieces if p not in self.number]
+        if rest:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            self.number.update(zip(rest, range(self.pieces.n, self.pieces.n + len(rest))))
+            self.pieces.add(np.fromiter(map(len, found), np.int64, len(found)), np.fromiter((i for f in found for i in f), np.uint32))
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.number) > self.most:
+            self._clear()
+        split = [_SPACE.split(t) for t in texts]
+        number = self.number
+        new = [p for p in set().union(*split) if p not in number] if split else []
+        if new:
+            self._learn(new)
+        return [self.pieces.take(np.fromiter(map(number.__getitem__, s), np.int64, len(s))) for s in split]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_batch([text])[0]
