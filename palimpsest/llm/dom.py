@@ -10,6 +10,7 @@ _TAG = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_PLAIN_WORD = re.compile(r"[a-z0-9]+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 # Groups of elements.
@@ -132,7 +133,7 @@ class Page:
             for key, *value in _ATTR.findall(attrs):
                 key, value = key.lower(), "".join(value)
                 if key in ("class", "id"):
-                    words |= {w.lower() for w in _WORD.findall(value)}
+                    words |= {w.lower() for w in _WORD.findall(value)} | set(_PLAIN_WORD.findall(value.lower()))
                     own = value.strip().lower() if key == "class" else own
                 elif key == "role":
                     role = value.strip().lower()
