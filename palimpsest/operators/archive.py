@@ -193,9 +193,9 @@ class Archive:
                 current = rows.select(F.col("rowid").alias("__rowid"), F.col("pos").alias("__pos"), *[F.col(f"v_{i}").alias(str(c)) for i, c in enumerate(before)])
             after, self.store.manifest = self.store.manifest, manifest
             self.store.publish(after)
-        finally:
-            if not out or self.snapshots().last_snapshot() != out[-1]:
-                self.store.manifest = manifest
+        except BaseException:
+            self.store.manifest = manifest
+            raise
         return out
 
     def rollback(self, version: int) -> None:
