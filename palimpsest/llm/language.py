@@ -164,7 +164,7 @@ def fit(labelled: DataFrame, max_rows: int = 3000, epochs: int = 4, alpha: float
                 pa.array([s.astype(np.float32) for _, s in found], pa.list_(pa.float32())),
             ], ["lang", "at", "share"])
 
-    sample = rows.where(draw < share[F.col("lang")]).dropDuplicates(["lang", "text"]).limit(2 * max_rows).mapInArrow(sparse, "lang string, at array<int>, share array<float>").toArrow()
+    sample = rows.where(draw < share[F.col("lang")]).dropDuplicates(["lang", "text"]).mapInArrow(sparse, "lang string, at array<int>, share array<float>").toArrow()
     number = {x: k for k, x in enumerate(langs)}
     data = []
     for lang, at, shares in zip(sample["lang"].to_pylist(), sample["at"], sample["share"]):
@@ -226,7 +226,7 @@ def predictions(docs: DataFrame) -> DataFrame:
     return identify(rows, model).drop("text")
 
 
-def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def known_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents that some learned language explains with probability ``least`` or more; columns as given. Without any label nothing is rejected."""
     model = fit(docs.where(~held_out()))
     if not model.langs:
