@@ -7,12 +7,14 @@ that column names may repeat.
 
 from __future__ import annotations
 
+import csv
 import json
 import math
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import date, datetime, time
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column as SparkColumn
@@ -208,20 +210,14 @@ def from_csv(
     if compressed and not path.endswith(".gz"):
         raise ValueError("Spark tells gzip files by their extension .gz")
     raw = spark.read.options(**options).option("mode", "PERMISSIVE")
-    if skip_lines or header is not None:
-        width = len(header) if header is not None else None
-    else:
-        width = None
-    head = raw.option("header", False).csv(path)
     first = None
     if header is None:
-        top = head.limit(skip_lines + 1).collect()
-        if len(top) <= skip_lines:
+        lines = spark.read.options(sep="\x01", quote="", encoding=encoding).csv(path).limit(skip_lines + 50).collect()  # a header may have line breaks in quotes
+        first = next(islice(csv.reader((f"{r[0]}\n" for r in lines), delimiter=options["sep"], quotechar=quotechar), skip_lines, None), None)
+        if first is None:
             return empty_document(spark, [])
-        first = [v if v is not None else "" for v in top[skip_lines]]
-        while first and first[-1] == "" and len(first) > 1:
-            first.pop()
-        header, width = first, len(first)
+        header = first
+    width = len(header)
     schema = T.StructType([*[T.StructField(f"_c{i}", T.StringType()) for i in range(width)], T.StructField("__bad", T.StringType())])
     body = raw.option("header", False).option("columnNameOfCorruptRecord", "__bad").schema(schema).csv(path)
     rows = _ordered_lines(body.select(*[f"_c{i}" for i in range(width)], F.col("__bad").isNotNull().alias("__short")))
