@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from palimpsest.functions.cells import cell_name, stored
 from palimpsest.functions.columns import ArchiveSchema, Column, primary_key_ids
 from palimpsest.functions.keys import key_of, python_order
-from palimpsest.operators.dataset import action_text, as_operator
+from palimpsest.operators.dataset import Transform, action_text, as_operator
 from palimpsest.plans import compare, read
 from palimpsest.plans.merge import Incoming, advance, matched, write_states
 from palimpsest.plans.ranks import ranked
@@ -198,6 +198,11 @@ class Archive:
             raise
         return out
 
+    def restore(self, version: int, descriptor: SnapshotDescriptor | None = None) -> Snapshot:
+        """Make a version once more, as the next one: its rows with their identity, positions and values. What came between stays in the history."""
+        d = descriptor or SnapshotDescriptor(f"version {version} restored")
+        return self.apply(Transform(lambda df: df, description=d.description, action=d.action, valid_time=d.valid_time), origin=self._existing(version))[0]
+
     def rollback(self, version: int) -> None:
         """Forget everything after ``version``. Row and column identifiers aren't used again."""
         self._existing(version)

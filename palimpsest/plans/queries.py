@@ -225,6 +225,32 @@ def unkeyed_new_rows(spark, sf_dir):
     return a.checkout(row_id=True).select(F.col("__index").alias("row_index"), "event_id")
 
 
+@query(f"""{_WITH} SELECT o_orderkey, o_orderstatus, pos FROM v0 JOIN p0 USING (o_orderkey)""")
+def restored_version(spark, sf_dir):
+    """An earlier version made once more, with its rows' identity and positions."""
+    a = Archive.create(spark, None, _version(spark, sf_dir, 0).select("o_orderkey", "o_orderstatus"), ["o_orderkey"])
+    a.commit(_version(spark, sf_dir, 1).select("o_orderkey", "o_orderstatus"))
+    a.restore(0)
+    return a.checkout(position=True).withColumnRenamed("__pos", "pos")
+
+
+@query(f"""{_WITH} SELECT a.o_orderstatus AS was, b.o_orderstatus AS became, COUNT(*) AS n, CAST(COUNT(DISTINCT a.o_custkey) AS BIGINT) AS customers
+FROM v0 a JOIN v1 b ON a.o_orderkey = b.o_orderkey GROUP BY 1, 2""")
+def sql_over_versions(spark, sf_dir):
+    """Spark SQL over versions registered as views."""
+    _orders(spark, sf_dir).register("archived_orders", [0, 1])
+    return spark.sql("""SELECT a.o_orderstatus AS was, b.o_orderstatus AS became, COUNT(*) AS n, COUNT(DISTINCT a.o_custkey) AS customers
+        FROM archived_orders_v0 a JOIN archived_orders_v1 b ON a.o_orderkey = b.o_orderkey GROUP BY 1, 2""")
+
+
+@query(f"""{_WITH}, j AS (SELECT a.o_orderkey AS ka, b.o_orderkey AS kb, a.o_totalprice AS pa, b.o_price AS pb FROM v0 a FULL OUTER JOIN v2 b ON a.o_orderkey = b.o_orderkey)
+SELECT COUNT(*) FILTER (WHERE ka IS NULL) AS inserted, COUNT(*) FILTER (WHERE kb IS NULL) AS deleted FROM j""")
+def diff_far_versions(spark, sf_dir):
+    """A difference across several versions and a change of columns."""
+    rows = _orders(spark, sf_dir).diff(0, 2, positions=False).rows()
+    return rows.agg(F.count_if(F.col("op") == "INSERT").alias("inserted"), F.count_if(F.col("op") == "DELETE").alias("deleted"))
+
+
 _LINES = "ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS occ FROM lineitem"
 _LINE_ORDER = ["l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 

@@ -122,6 +122,14 @@ def test_apply(spark):
         a.apply(Expressions(where="Age < 30"), origin=9)
 
 
+def test_restore(spark):
+    a = Archive.create(spark, None, FRAMES[0], ["Name", "Age"], SnapshotDescriptor(valid_time=datetime(2024, 1, 1)))
+    a.commit(FRAMES[2])
+    before = values(a.checkout(0, order="position", row_id=True))
+    assert a.restore(0).version == 2 and values(a.checkout(2, order="position", row_id=True)) == before
+    assert a.diff(0, 2).rows().count() == 0 and values(a.checkout(1, order="position")) == FRAMES[2].values.tolist()
+
+
 def test_failed_commit_and_apply_change_nothing(spark):
     a = Archive.create(spark, None, FRAMES[0], ["Name"], SnapshotDescriptor(valid_time=datetime(2024, 5, 1)))
     with pytest.raises(ValueError):
