@@ -125,6 +125,8 @@ class Archive:
         incoming = matched(self.store, rows, cells, bool(m.primary_key), data)
         incoming.kinds = dict(zip(ids, document.kinds))
         self.store.publish(advance(self.store, data, schema, incoming, descriptor))
+        for part in ("document", "matched", "new", "unnamed"):  # steps of the commit that no table reads any more
+            self.store.files.delete(f"{self.store.path}/{data}/{part}")
         return self.snapshots().last_snapshot()
 
     def _keyed(self, document: Document, ids: list[int], data: str) -> tuple[DataFrame, list[str]]:

@@ -38,6 +38,8 @@ def test_commit_and_checkout(spark, tmp_path, key, persistent):
         a.commit(f)
     if persistent:
         a = Archive.load(spark, path)
+        left = {p.name for d in (tmp_path / "a" / "data").iterdir() for p in d.iterdir()}
+        assert left == {"segments", "positions", "keys"}
     for v, f in enumerate(FRAMES):
         got = values(a.checkout(v, order="position", row_id=True))
         assert [r[1:] for r in got] == f.values.tolist()
