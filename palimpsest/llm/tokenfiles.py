@@ -26,18 +26,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import key_bounds, parts_for, range_of, shared_path
-from palimpsest.llm.wordcache import PieceEncoder
+from palimpsest.llm.wordcache import WordEncoder
 
 BLOCK = 1 << 16
 BLOCKS = "shard int, block long, first long, n_ids int, width int, planes array<binary>, docs array<long>, doc_ids array<long>, offsets array<long>, lengths array<long>"
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[str, WordEncoder] = {}
 
 
-def _encoder(path: str) -> PieceEncoder:
+def _encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         from tokenizers import Tokenizer
 
-        _encoders[path] = PieceEncoder(Tokenizer.from_file(path))
+        _encoders[path] = WordEncoder(Tokenizer.from_file(path))
     return _encoders[path]
 
 
@@ -108,7 +108,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str
         encoder = _encoder(tokenizer)
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            found = [f for a in range(0, len(texts), 256) for f in encoder.encode_batch(texts[a : a + 256])]
+            found = [f for a in range(0, len(texts), 128) for f in encoder.encode_batch(texts[a : a + 128])]
             narrow = [f.astype("<u2") if not len(f) or f.max() < 1 << 16 else f.astype("<u4") for f in found]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array([zlib.crc32(x.encode()) for x in texts], pa.int64()),

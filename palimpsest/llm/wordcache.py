@@ -1,19 +1,21 @@
-"""Encoding of whole texts by a library tokenizer, each distinct piece between white space once per Python worker."""
+"""Encoding of whole texts by a library tokenizer, each distinct pre-token once per Python worker."""
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
-#: White space by every library's definition; a tokenizer that drops white space gives the same ids for the pieces as for the text.
-_SPACE = re.compile(r"[ \t\n\r]+")
-#: Pieces whose normal form and split are beyond doubt: printable ASCII and the letters of Latin-1, all composed.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
-# The pre-tokenizer for which the split below holds.
+#: Texts whose normal form and split are beyond doubt: ASCII without control characters, the letters of Latin-1 (all composed), common punctuation.
+_PLAIN = re.compile(r"[ -~\t\n\rÀ-ÖØ-öø-ÿ–—‘’“”…€•]*")
+#: Words beyond this length aren't remembered.
+LONG_WORD = 1000
+# The pre-tokenizer for which the split below holds on plain texts.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \t\n\r]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -23,7 +25,7 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(free)}
 
 
-class _Ragged:
+class Ragged:
     """Numbered lists of ids in one growing array."""
 
     def __init__(self):
@@ -49,65 +51,78 @@ class _Ragged:
         return self.ids[np.repeat(start - (ends - length), length) + np.arange(total)]
 
 
-class PieceEncoder:
+class WordIds:
+    """Ids of words, each distinct one encoded once, with a byte of what is known of it. Beyond ``most`` words only those met in several texts are kept, at most half."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[list[list[int]], list[int]]], most: int):
+        self.encode, self.most = encode, most
+        self.number: dict[str, int] = {}
+        self.ids, self.met, self.good = Ragged(), np.zeros(0, np.int32), np.zeros(0, np.uint8)
+
+    def _keep_some(self) -> None:
+        words, met = list(self.number), self.met
+        keep = np.flatnonzero(met > 1)
+        if len(keep) > self.most // 2:
+            keep = np.sort(keep[np.argsort(-met[keep], kind="stable")[: self.most // 2]])
+        ids = Ragged()
+        ids.add(self.ids.length[keep], self.ids.take(keep))
+        self.number = {words[k]: n for n, k in enumerate(keep.tolist())}
+        self.ids, self.met, self.good = ids, np.ones(len(keep), np.int32), self.good[keep]
+
+    def take(self, split: list[list[str] | None]) -> list[tuple[np.ndarray, int] | None]:
+        """(ids, the bits that all words have) of each text, given as words; None for None."""
+        if len(self.number) > self.most:
+            self._keep_some()
+        new = list(set().union(*(s for s in split if s)) - self.number.keys())
+        if new:
+            found, good = self.encode(new)
+            self.number.update(zip(new, range(self.ids.n, self.ids.n + len(new))))
+            self.ids.add(np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.uint32))
+            self.met, self.good = np.concatenate((self.met, np.zeros(len(new), np.int32))), np.concatenate((self.good, np.array(good, np.uint8)))
+        out, number = [], self.number.__getitem__
+        for s in split:
+            if s is None:
+                out.append(None)
+                continue
+            at = np.fromiter(map(number, s), np.int64, len(s))
+            self.met[at] += 1
+            out.append((self.ids.take(at), int(np.bitwise_and.reduce(self.good[at], initial=255))))
+        return out
+
+
+class WordEncoder:
     """Ids of whole texts for a tokenizer whose pre-tokenizer drops white space.
 
-    Distinct pieces between white space are encoded once and remembered; beyond
-    ``most`` of them the memory starts anew. Plain pieces are split here and the
-    library's model encodes their parts; all others, and those that may hold a
-    special token, go through the library whole.
+    Plain texts are split here and the library's model encodes each distinct
+    pre-token once; all other texts, and those that may hold a special token, go
+    through the library whole.
     """
 
-    def __init__(self, tokenizer, most: int = 500_000):
-        self.tokenizer, self.most = tokenizer, most
+    def __init__(self, tokenizer, most: int = 400_000):
+        self.tokenizer = tokenizer
         given = json.loads(tokenizer.to_str())
         steps = (given["pre_tokenizer"] or {}).get("pretokenizers", [])
         norms = (given["normalizer"] or {}).get("normalizers", [])
         self.fast = (
             [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": _PATTERN} and steps[0]["behavior"] == "Removed"
             and steps[0]["invert"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and [n["type"] for n in norms] == ["NFC", "Replace", "Lowercase"]
-            and all(len(t["content"]) > 1 for t in given["added_tokens"])
         )
         self.special = tuple(t["content"] for t in given["added_tokens"])
         self.letters = byte_letters()
-        self._clear()
+        self.words = WordIds(self._encode, most)
 
-    def _clear(self):
-        self.number: dict[str, int] = {}
-        self.pieces = _Ragged()
-        self.part_number: dict[str, int] = {}
-        self.parts = _Ragged()
-
-    def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if _PLAIN.fullmatch(p) and not any(s in p for s in self.special)] if self.fast else []
-        if plain:
-            split = [_SPLIT.findall(p.lower()) for p in plain]
-            new = [x for x in dict.fromkeys(y for s in split for y in s) if x not in self.part_number]
-            tokenize, letters = self.tokenizer.model.tokenize, self.letters
-            found = [[t.id for t in tokenize(x if x.isascii() else x.encode().decode("latin-1").translate(letters))] for x in new]
-            self.part_number.update(zip(new, range(self.parts.n, self.parts.n + len(new))))
-            self.parts.add(np.fromiter(map(len, found), np.int64, len(found)), np.fromiter((i for f in found for i in f), np.uint32))
-            at = np.fromiter((self.part_number[y] for s in split for y in s), np.int64)
-            counts = np.fromiter(map(len, split), np.int64, len(split))
-            sums = np.concatenate(([0], np.cumsum(self.parts.length[at])))
-            ends = np.cumsum(counts)
-            self.number.update(zip(plain, range(self.pieces.n, self.pieces.n + len(plain))))
-            self.pieces.add(sums[ends] - sums[ends - counts], self.parts.take(at))
-        rest = [p for p in pieces if p not in self.number]
-        if rest:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-            self.number.update(zip(rest, range(self.pieces.n, self.pieces.n + len(rest))))
-            self.pieces.add(np.fromiter(map(len, found), np.int64, len(found)), np.fromiter((i for f in found for i in f), np.uint32))
+    def _encode(self, words: list[str]) -> tuple[list[list[int]], list[int]]:
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        return [[t.id for t in tokenize(x if x.isascii() else x.encode().decode("latin-1").translate(letters))] for x in words], [0] * len(words)
+
+    def _plain(self, text: str) -> bool:
+        return self.fast and _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > self.most:
-            self._clear()
-        split = [_SPACE.split(t) for t in texts]
-        number = self.number
-        new = [p for p in set().union(*split) if p not in number] if split else []
-        if new:
-            self._learn(new)
-        return [self.pieces.take(np.fromiter(map(number.__getitem__, s), np.int64, len(s))) for s in split]
+        split = [_SPLIT.findall(t.lower()) if self._plain(t) else None for t in texts]
+        split = [None if s and max(map(len, s)) > LONG_WORD else s for s in split]
+        rest = iter(self.tokenizer.encode_batch_fast([t for t, s in zip(texts, split) if s is None], add_special_tokens=False))
+        return [np.array(next(rest).ids, np.uint32) if f is None else f[0] for f in self.words.take(split)]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch([text])[0]
