@@ -108,7 +108,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temper: floa
     source = F.coalesce(F.col(by).cast("string"), F.lit(NO_SOURCE))
     draw = F.xxhash64(F.col("doc_id"), F.xxhash64(tie))
     total = docs.count()
-    ranges = max(16, total // 20_000)
+    ranges = max(128, total // 2_000)
     rows = docs.select("*", source.alias("__source"), F.shiftrightunsigned(draw, 1).alias("__draw")).withColumn(
         "__range", F.floor(F.col("__draw") / F.lit(2.0**63) * ranges).cast("int")
     )
