@@ -32,6 +32,7 @@ from palimpsest.llm.dom import Page, folded, tree_matching
 
 _BLOCKS = "array<struct<node int, level int, text string>>"
 _HASH = 0x7FFFFFFFFFFFFFFF
+BROADCAST_BYTES = 8 << 20
 
 
 def _host(url: str | None) -> str:
@@ -109,4 +110,7 @@ def main_text(pages: DataFrame, **evidence) -> DataFrame:
     parsed = _parsed(pages.drop("text", "n_chars"), True)
     kept = F.filter("__blocks", lambda b: ~F.coalesce(F.array_contains(F.col("__template"), b["node"]), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+    size = templates.agg(F.sum(F.length("__host") + 4 * F.size("__template") + 32).alias("n")).first()["n"] or 0
+    # few hosts have templates: where their table is small, page texts aren't shuffled; else a hot host's pages are split by the adaptive join
+    templates = F.broadcast(templates) if size <= BROADCAST_BYTES else templates
     return parsed.join(templates, ["__host", "__shape"], "left").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).drop("__host", "__shape", "__blocks", "__template")

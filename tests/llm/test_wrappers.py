@@ -43,7 +43,9 @@ def layout(body, k, extra=""):
     return f"<html><body><div class=top>Welcome to the site</div>{extra}<div class=story><p>{body}</p><p>more of {k}</p></div><div class=end>All rights reserved</div></body></html>"
 
 
-def test_constant_nodes_are_template(spark):
+@pytest.mark.parametrize("broadcast", [8 << 20, -1])
+def test_constant_nodes_are_template(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(w, "BROADCAST_BYTES", broadcast)
     rows = [(k, f"http://Host.example/{k}", layout(f"text {k}", k, "<div class=x>odd</div>" if k == 3 else "")) for k in range(6)]
     rows += [(10 + k, "http://host.example:80/x", layout("lone", k)) for k in range(1)] + [(20, None, "<p>a</p>"), (21, "http://host.example/z", None)]
     got = {r.page_id: r.text for r in w.main_text(pages(spark, rows)).collect()}
