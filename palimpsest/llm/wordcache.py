@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -15,7 +15,7 @@ _PLAIN = re.compile(r"[ -~\t\n\rÀ-ÖØ-öø-ÿ–—‘’“”…€•]*")
 LONG_WORD = 1000
 # The pre-tokenizer for which the split below holds on plain texts.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \t\n\r]+")
+_SPLIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-zß-öø-ÿ0-9 \t\n\r]+")  # the alternatives begin differently but for the last two
 
 
 def byte_letters() -> dict[int, str]:
@@ -73,18 +73,22 @@ class WordIds:
         """(ids, the bits that all words have) of each text, given as words; None for None."""
         if len(self.number) > self.most:
             self._keep_some()
-        new = list(set().union(*(s for s in split if s)) - self.number.keys())
+        get = self.number.get
+        places = [None if s is None else np.fromiter(map(get, s, repeat(-1)), np.int64, len(s)) for s in split]
+        missing = [(s, at, np.flatnonzero(at < 0).tolist()) for s, at in zip(split, places) if s]
+        new = list({s[i] for s, _, gaps in missing for i in gaps})
         if new:
             found, good = self.encode(new)
             self.number.update(zip(new, range(self.ids.n, self.ids.n + len(new))))
             self.ids.add(np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.uint32))
             self.met, self.good = np.concatenate((self.met, np.zeros(len(new), np.int32))), np.concatenate((self.good, np.array(good, np.uint8)))
-        out, number = [], self.number.__getitem__
-        for s in split:
-            if s is None:
+            for s, at, gaps in missing:
+                at[gaps] = [get(s[i]) for i in gaps]
+        out = []
+        for at in places:
+            if at is None:
                 out.append(None)
                 continue
-            at = np.fromiter(map(number, s), np.int64, len(s))
             self.met[at] += 1
             out.append((self.ids.take(at), int(np.bitwise_and.reduce(self.good[at], initial=255))))
         return out
