@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import with_fields
-from palimpsest.llm.wordcache import LONG_WORD, WordIds
+from palimpsest.llm.wordcache import WordIds
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -190,12 +190,12 @@ class Backend:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
         """Ids of each text and what is known of them. Where words can be told apart by lone spaces, each distinct one is encoded, compared and decoded once; other texts are whole."""
         split = [t.split(" ") if self.by_word and t and MARK not in t else None for t in texts]
-        split = [None if s is None or "" in s or max(map(len, s)) > LONG_WORD else s for s in split]
-        whole = [t for t, s in zip(texts, split) if s is None]
+        found = self.words.take([None if s is None or "" in s else s for s in split])
+        whole = [t for t, f in zip(texts, found) if f is None]
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
         known = [(x == y) + 2 * (d == t) for x, y, d, t in zip(ids, self.expected(whole), self.decode(ids), whole)]
         rest = iter([(np.array(x, np.uint32), k) for x, k in zip(ids, known)])
-        return [next(rest) if f is None else f for f in self.words.take(split)]
+        return [next(rest) if f is None else f for f in found]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)

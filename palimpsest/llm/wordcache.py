@@ -70,12 +70,18 @@ class WordIds:
         self.ids, self.met, self.good = ids, np.ones(len(keep), np.int32), self.good[keep]
 
     def take(self, split: list[list[str] | None]) -> list[tuple[np.ndarray, int] | None]:
-        """(ids, the bits that all words have) of each text, given as words; None for None."""
+        """(ids, the bits that all words have) of each text, given as words; None for None and for texts with a word too long to remember."""
         if len(self.number) > self.most:
             self._keep_some()
         get = self.number.get
         places = [None if s is None else np.fromiter(map(get, s, repeat(-1)), np.int64, len(s)) for s in split]
-        missing = [(s, at, np.flatnonzero(at < 0).tolist()) for s, at in zip(split, places) if s]
+        missing = []
+        for k, (s, at) in enumerate(zip(split, places)):
+            gaps = np.flatnonzero(at < 0).tolist() if s else []
+            if any(len(s[i]) > LONG_WORD for i in gaps):
+                places[k] = None
+            elif gaps:
+                missing.append((s, at, gaps))
         new = list({s[i] for s, _, gaps in missing for i in gaps})
         if new:
             found, good = self.encode(new)
@@ -123,10 +129,9 @@ class WordEncoder:
         return self.fast and _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_SPLIT.findall(t.lower()) if self._plain(t) else None for t in texts]
-        split = [None if s and max(map(len, s)) > LONG_WORD else s for s in split]
-        rest = iter(self.tokenizer.encode_batch_fast([t for t, s in zip(texts, split) if s is None], add_special_tokens=False))
-        return [np.array(next(rest).ids, np.uint32) if f is None else f[0] for f in self.words.take(split)]
+        found = self.words.take([_SPLIT.findall(t.lower()) if self._plain(t) else None for t in texts])
+        rest = iter(self.tokenizer.encode_batch_fast([t for t, f in zip(texts, found) if f is None], add_special_tokens=False))
+        return [np.array(next(rest).ids, np.uint32) if f is None else f[0] for f in found]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch([text])[0]
