@@ -6,6 +6,13 @@ owners of its lines, so however many documents share a line, each of them is in
 one pair for it. Lines of few words are common, so such a line counts only in
 the context of the line before it, which makes it as rare as that one.
 
+Owners of single lines tear a block apart where an earlier document has some of
+its lines. So with ``runs`` every run of lines is keyed too: from each line on,
+and up to each line, the shortest of ``least_words`` words. A run that an earlier
+document has goes. That is exact: a line lies in a block of that many words
+shared with any earlier document if and only if one of its runs does. A run is
+aligned by itself, so it may stand in another order or repeatedly.
+
 Each pair is aligned by patience: the lines that are unique in both documents
 and rare in the corpus are the anchors, their longest increasing run of
 positions is kept, and the other shared lines join where they fit between its
@@ -54,6 +61,29 @@ def line_keys(text: str) -> list[tuple[bytes, bool, int]]:
     return out
 
 
+def line_runs(text: str, least_words: int) -> list[tuple[bytes, int, int]]:
+    """(key, first place, lines) of the shortest runs of ``least_words`` from each line on and up to each line."""
+    own = [(x.strip().encode(), len(x.split())) for x in text.split("\n") if x.strip()]
+    ends, words, z = set(), 0, 0
+    for a in range(len(own)):
+        while z < len(own) and words < least_words:
+            words += own[z][1]
+            z += 1
+        if words < least_words:
+            break
+        ends.add((a, z))
+        words -= own[a][1]
+    words, a = 0, 0
+    for z in range(len(own)):
+        words += own[z][1]
+        while words - own[a][1] >= least_words:
+            words -= own[a][1]
+            a += 1
+        if words >= least_words:
+            ends.add((a, z + 1))
+    return [(xxhash.xxh128_digest(b"\n".join(x for x, _ in own[a:z])), a, z - a) for a, z in sorted(ends)]
+
+
 def _increasing(pairs: list[tuple]) -> list[tuple]:
     """A longest run of pairs, sorted by their first number, in which the second rises."""
     tails, last, back = [], [], []
@@ -99,11 +129,14 @@ def aligned_blocks(shared: list[tuple[int, int, bool, int, int]], rare: int) ->
     return out + [(b[0], b[4], sum(x[4] for x in block)) for b in block]
 
 
-def without_lines(text: str, found: list[tuple[int, int, int]], least_words: int, copied: float) -> tuple[str, int, int, int, int]:
+def without_lines(text: str, found: list[tuple[int, int, int]], least_words: int, copied: float, runs: list[tuple[int, int]] = ()) -> tuple[str, int, int, int, int]:
     """(text that is left, lines, words, lines deleted, words deleted)."""
     lines = text.split("\n")
     sizes = [len(x.split()) for x in lines]
     aligned = {place: (words, block) for place, words, block in found}
+    full = [n for n in sizes if n]
+    in_runs = {place for a, n in runs for place in range(a, a + n)}
+    aligned |= {place: (full[place], least_words) for place in in_runs}
     whole = sum(w for w, _ in aligned.values()) >= copied * max(1, sum(sizes))
     gone = {place for place, (_, block) in aligned.items() if whole or block >= least_words}
     out, place, n_gone, words_gone = [], 0, 0, 0
@@ -160,10 +193,33 @@ def overlaps(docs: DataFrame, text: str = "text", least_words: int = 10, rare: i
     return each.groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("found"))
 
 
-def deduplicated_lines(docs: DataFrame, text: str = "text", least_words: int = 10, copied: float = 0.8, rare: int = 64) -> DataFrame:
-    """Every row with its ``text`` after deletion, ``n_lines``, ``n_words``, ``n_removed`` and ``removed_words`` (columns of these names are replaced)."""
+def repeated_runs(docs: DataFrame, text: str = "text", least_words: int = 10) -> DataFrame:
+    """``doc_id, runs``: (place, lines) of the runs of every document that an earlier one has."""
+
+    def keys(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                out = []
+                for doc_id, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    out += [(key, doc_id, place, n) for key, place, n in line_runs(x, least_words)]
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int32(), pa.int32()))], ["key", "doc_id", "place", "lines"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    keyed = rows.mapInArrow(keys, "key binary, doc_id long, place int, lines int")
+    owners = keyed.groupBy("key").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("last")).where("last > own")
+    shared = keyed.join(settle(owners.select("key", "own")), "key").where("doc_id > own")
+    return shared.groupBy("doc_id").agg(F.collect_list(F.struct("place", "lines")).alias("runs"))
+
+
+def deduplicated_lines(docs: DataFrame, text: str = "text", least_words: int = 10, copied: float = 0.8, rare: int = 64, runs: bool = False) -> DataFrame:
+    """Every row with its ``text`` after deletion, ``n_lines``, ``n_words``, ``n_removed`` and ``removed_words`` (columns of these names are replaced). Without ``runs`` blocks are those with the owners of single lines only."""
     rest = docs.drop("n_lines", "n_words", "n_removed", "removed_words")
     found = overlaps(rest, text, least_words, rare).select(F.col("doc_id").alias("__id"), F.col("found").alias("__found"))
+    if runs:
+        found = found.join(repeated_runs(rest, text, least_words).select(F.col("doc_id").alias("__id"), F.col("runs").alias("__runs")), "__id", "full")
+    else:
+        found = found.withColumn("__runs", F.lit(None).cast("array<struct<place int, lines int>>"))
     joined = rest.withColumn("__id", F.col("doc_id").cast("long")).join(found, "__id", "left").drop("__id")
     at, at_found = rest.columns.index(text), len(rest.columns)
     schema = with_fields(rest.schema, n_lines="int", n_words="int", n_removed="int", removed_words="int")
@@ -171,19 +227,19 @@ def deduplicated_lines(docs: DataFrame, text: str = "text", least_words: int = 1
     def apply(batches):
         for batch in batches:
             out = []
-            for x, f in zip(batch.column(at).to_pylist(), batch.column(at_found).to_pylist()):
-                out.append((None, 0, 0, 0, 0) if x is None else without_lines(x, [tuple(s.values()) for s in f or ()], least_words, copied))
+            for x, f, r in zip(*[batch.column(k).to_pylist() for k in (at, at_found, at_found + 1)]):
+                out.append((None, 0, 0, 0, 0) if x is None else without_lines(x, [tuple(s.values()) for s in f or ()], least_words, copied, [tuple(s.values()) for s in r or ()]))
             columns = [batch.column(k) for k in range(at_found)]
             columns[at] = pa.array([o[0] for o in out], pa.string())
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array([o[k] for o in out], pa.int32()) for k in (1, 2, 3, 4)]], schema.names)
 
-    return joined.select(*rest.columns, "__found").mapInArrow(apply, schema)
+    return joined.select(*rest.columns, "__found", "__runs").mapInArrow(apply, schema)
 
 
 def without_repeated_lines(docs: DataFrame, copied: float = 0.8, **options) -> DataFrame:
     """The documents, columns as given, after deletion (``n_chars``, where there is one, follows); those of which ``copied`` of the words are deleted were copies and go whole."""
     columns = docs.columns
-    found = deduplicated_lines(docs, copied=copied, **options)
+    found = deduplicated_lines(docs, copied=copied, **{"runs": True, **options})
     kept = found.where((F.col("n_removed") == 0) | (F.col("removed_words") < copied * F.col("n_words")))
     if "n_chars" in columns:
         kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

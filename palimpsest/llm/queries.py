@@ -43,7 +43,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.deduplicated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linededup.deduplicated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), runs=True)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
