@@ -4,7 +4,8 @@ Documents overlap where they share lines. Every line's hash is owned by the
 document of smallest doc_id that has it; a later document is compared with the
 owners of its lines, so however many documents share a line, each of them is in
 one pair for it. Lines of few words are common, so such a line counts only in
-the context of the line before it, which makes it as rare as that one.
+the context of the line before it, of its text alone and not of its context.
+A line's length is its words, or its characters where a script has no spaces.
 
 Owners of single lines tear a block apart where an earlier document has some of
 its lines. So with ``runs`` every run of lines is keyed too: from each line on,
@@ -29,6 +30,7 @@ but blank lines is left has an empty text.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 
 import pyarrow as pa
@@ -39,6 +41,14 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import settle, with_fields
 
 SHORT = 5
+# Scripts written without spaces (Thai to Khmer, kana, Han, and their further blocks).
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def line_words(line: str) -> int:
+    """Words of a line; where its words are longer than that for want of spaces, the characters of unspaced scripts."""
+    n = len(line.split())
+    return n if line.isascii() or not n else max(n, len(_UNSPACED.findall(line)))
 
 
 def line_keys(text: str) -> list[tuple[bytes, bool, int]]:
@@ -46,14 +56,15 @@ def line_keys(text: str) -> list[tuple[bytes, bool, int]]:
     keys, words, seen = [], [], {}
     before = b""
     for line in text.split("\n"):
-        n = len(line.split())
+        n = line_words(line)
         if not n:
             continue
         own = line.strip().encode()
-        before = xxhash.xxh128_digest(own if n >= SHORT else before + b"\n" + own)
-        keys.append(before)
+        key = xxhash.xxh128_digest(own if n >= SHORT else before + b"\n" + own)
+        before = own
+        keys.append(key)
         words.append(n)
-        seen[before] = seen.get(before, 0) + 1
+        seen[key] = seen.get(key, 0) + 1
     out, met = [], {}
     for key, n in zip(keys, words):
         k = met[key] = met.get(key, 0) + 1
@@ -63,7 +74,7 @@ def line_keys(text: str) -> list[tuple[bytes, bool, int]]:
 
 def line_runs(text: str, least_words: int) -> list[tuple[bytes, int, int]]:
     """(key, first place, lines) of the shortest runs of ``least_words`` from each line on and up to each line."""
-    own = [(x.strip().encode(), len(x.split())) for x in text.split("\n") if x.strip()]
+    own = [(x.strip().encode(), line_words(x)) for x in text.split("\n") if x.strip()]
     ends, words, z = set(), 0, 0
     for a in range(len(own)):
         while z < len(own) and words < least_words:
@@ -132,7 +143,7 @@ def aligned_blocks(shared: list[tuple[int, int, bool, int, int]], rare: int) ->
 def without_lines(text: str, found: list[tuple[int, int, int]], least_words: int, copied: float, runs: list[tuple[int, int]] = ()) -> tuple[str, int, int, int, int]:
     """(text that is left, lines, words, lines deleted, words deleted)."""
     lines = text.split("\n")
-    sizes = [len(x.split()) for x in lines]
+    sizes = [line_words(x) for x in lines]
     aligned = {place: (words, block) for place, words, block in found}
     full = [n for n in sizes if n]
     in_runs = {place for a, n in runs for place in range(a, a + n)}

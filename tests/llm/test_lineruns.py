@@ -29,3 +29,19 @@ def test_runs_against_all_earlier_documents(make):
     found = {x.doc_id: {k for place, n in x.runs for k in range(place, place + n)} for x in d.repeated_runs(make([(i, "\n\n".join(t), "en", "s") for i, t in docs.items()])).collect()}
     for i, lines in docs.items():
         assert found.get(i, set()) == in_shared_runs(lines, [docs[k] for k in range(i)], 10), i
+
+
+def test_short_lines_after_different_lines_are_met(make):
+    verse = [line(100 + k, 3) for k in range(20)]
+    texts = {1: "\n".join([line(1), *verse, line(2)]), 2: "\n".join([line(3), *verse, line(4)])}
+    assert [k for k, _, _ in d.line_keys(texts[1])][2:-1] == [k for k, _, _ in d.line_keys(texts[2])][2:-1]
+    for runs, left in ((True, [line(3), line(4)]), (False, [line(3), verse[0], line(4)])):
+        got = result(d.deduplicated_lines(make([(i, t, "en", "s") for i, t in texts.items()]), runs=runs))
+        assert got[2] == ("\n".join(left), 22 - len(left))
+
+
+def test_lines_of_scripts_without_spaces(make):
+    own = ["\u6625\u306e\u6d77\u7d42\u65e5\u306e\u305f\u308a\u304b\u306a", "\u53e4\u6c60\u3084\u86d9\u98db\u3073\u8fbc\u3080\u6c34\u306e\u97f3"]
+    assert [d.line_words(x) for x in (*own, "a b", "\u00e9" * 40, "  ")] == [10, 11, 2, 1, 0]
+    got = result(d.deduplicated_lines(make([(1, own[0] + "\n" + own[1], "ja", "s"), (2, line(1) + "\n" + own[1], "ja", "s")])))
+    assert got[2] == (line(1), 1)
