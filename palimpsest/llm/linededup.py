@@ -168,7 +168,7 @@ _KIND = pa.list_(pa.struct([("place", pa.int32()), ("words", pa.int32()), ("bloc
 
 
 def overlaps(docs: DataFrame, text: str = "text", least_words: int = 10, rare: int = 64) -> DataFrame:
-    """``doc_id, found``: the aligned lines of every document that shares ``SHORT`` words or more with an earlier one."""
+    """``doc_id, found, most``: the aligned lines of every document that shares ``SHORT`` words or more with an earlier one, and the most words that one owner has of it."""
 
     def lines(batches):
         for batch in batches:
@@ -190,18 +190,19 @@ def overlaps(docs: DataFrame, text: str = "text", least_words: int = 10, rare: i
 
     def align(batches):
         for batch in batches:
-            found = []
+            found, most = [], []
             for shared in batch.column(1).to_pylist():
                 rows = [tuple(s.values()) for s in shared]
                 places: dict = {}
                 for r in sorted(rows):  # rows that share a doc_id may hold a line twice
                     places.setdefault(r[0], r)
                 found.append([{"place": p, "words": w, "block": b} for p, w, b in aligned_blocks(list(places.values()), rare)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _KIND)], ["doc_id", "found"])
+                most.append(sum(f["words"] for f in found[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _KIND), pa.array(most, pa.int32())], ["doc_id", "found", "most"])
 
     kind = "array<struct<place int, words int, block int>>"
-    each = pairs.select("doc_id", "shared").mapInArrow(align, f"doc_id long, found {kind}")
-    return each.groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("found"))
+    each = pairs.select("doc_id", "shared").mapInArrow(align, f"doc_id long, found {kind}, most int")
+    return each.groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("found"), F.max("most").alias("most"))
 
 
 def repeated_runs(docs: DataFrame, text: str = "text", least_words: int = 10) -> DataFrame:
@@ -223,17 +224,17 @@ def repeated_runs(docs: DataFrame, text: str = "text", least_words: int = 10) ->
     return shared.groupBy("doc_id").agg(F.collect_list(F.struct("place", "lines")).alias("runs"))
 
 
-def deduplicated_lines(docs: DataFrame, text: str = "text", least_words: int = 10, copied: float = 0.8, rare: int = 64, runs: bool = False) -> DataFrame:
-    """Every row with its ``text`` after deletion, ``n_lines``, ``n_words``, ``n_removed`` and ``removed_words`` (columns of these names are replaced). Without ``runs`` blocks are those with the owners of single lines only."""
+def _after_deletion(docs: DataFrame, text: str = "text", least_words: int = 10, copied: float = 0.8, rare: int = 64, runs: bool = False) -> DataFrame:
+    """What ``deduplicated_lines`` gives, and ``__most``: the most words that one owner has of a document."""
     rest = docs.drop("n_lines", "n_words", "n_removed", "removed_words")
-    found = overlaps(rest, text, least_words, rare).select(F.col("doc_id").alias("__id"), F.col("found").alias("__found"))
+    found = overlaps(rest, text, least_words, rare).select(F.col("doc_id").alias("__id"), F.col("found").alias("__found"), F.col("most").alias("__most"))
     if runs:
         found = found.join(repeated_runs(rest, text, least_words).select(F.col("doc_id").alias("__id"), F.col("runs").alias("__runs")), "__id", "full")
     else:
         found = found.withColumn("__runs", F.lit(None).cast("array<struct<place int, lines int>>"))
     joined = rest.withColumn("__id", F.col("doc_id").cast("long")).join(found, "__id", "left").drop("__id")
     at, at_found = rest.columns.index(text), len(rest.columns)
-    schema = with_fields(rest.schema, n_lines="int", n_words="int", n_removed="int", removed_words="int")
+    schema = with_fields(rest.schema, n_lines="int", n_words="int", n_removed="int", removed_words="int", __most="int")
 
     def apply(batches):
         for batch in batches:
@@ -242,16 +243,21 @@ def deduplicated_lines(docs: DataFrame, text: str = "text", least_words: int = 1
                 out.append((None, 0, 0, 0, 0) if x is None else without_lines(x, [tuple(s.values()) for s in f or ()], least_words, copied, [tuple(s.values()) for s in r or ()]))
             columns = [batch.column(k) for k in range(at_found)]
             columns[at] = pa.array([o[0] for o in out], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array([o[k] for o in out], pa.int32()) for k in (1, 2, 3, 4)]], schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array([o[k] for o in out], pa.int32()) for k in (1, 2, 3, 4)], batch.column(at_found + 2)], schema.names)
+
+    return joined.select(*rest.columns, "__found", "__runs", "__most").mapInArrow(apply, schema)
 
-    return joined.select(*rest.columns, "__found", "__runs").mapInArrow(apply, schema)
+
+def deduplicated_lines(docs: DataFrame, text: str = "text", least_words: int = 10, copied: float = 0.8, rare: int = 64, runs: bool = False) -> DataFrame:
+    """Every row with its ``text`` after deletion, ``n_lines``, ``n_words``, ``n_removed`` and ``removed_words`` (columns of these names are replaced). Without ``runs`` blocks are those with the owners of single lines only."""
+    return _after_deletion(docs, text, least_words, copied, rare, runs).drop("__most")
 
 
 def without_repeated_lines(docs: DataFrame, copied: float = 0.8, **options) -> DataFrame:
-    """The documents, columns as given, after deletion (``n_chars``, where there is one, follows); those of which ``copied`` of the words are deleted were copies and go whole."""
+    """The documents, columns as given, after deletion (``n_chars``, where there is one, follows); a document goes whole if nothing is left, or if it was a copy: one single earlier document owns ``copied`` of its words. One made of several documents' passages keeps its own text."""
     columns = docs.columns
-    found = deduplicated_lines(docs, copied=copied, **{"runs": True, **options})
-    kept = found.where((F.col("n_removed") == 0) | (F.col("removed_words") < copied * F.col("n_words")))
+    found = _after_deletion(docs, copied=copied, **{"runs": True, **options})
+    kept = found.where((F.col("n_removed") == 0) | (F.col("removed_words") < F.col("n_words")) & (F.coalesce("__most", F.lit(0)) < copied * F.col("n_words")))
     if "n_chars" in columns:
         kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return kept.select(*columns)

@@ -45,3 +45,13 @@ def test_lines_of_scripts_without_spaces(make):
     assert [d.line_words(x) for x in (*own, "a b", "\u00e9" * 40, "  ")] == [10, 11, 2, 1, 0]
     got = result(d.deduplicated_lines(make([(1, own[0] + "\n" + own[1], "ja", "s"), (2, line(1) + "\n" + own[1], "ja", "s")])))
     assert got[2] == (line(1), 1)
+
+
+def test_own_text_beside_passages_of_several_documents_stays(make):
+    parts = [[line(10 * k + j, 13) for j in range(4)] for k in range(3)]
+    own = line(99, 20)
+    texts = {k: "\n".join(p) for k, p in enumerate(parts)}
+    texts[7] = "\n".join([*parts[0], *parts[1], own, *parts[2]])
+    texts[8] = "\n".join([*parts[2], line(98, 6)])
+    kept = d.without_repeated_lines(make([(i, t, "en", "s") for i, t in texts.items()]))
+    assert {r.doc_id: r.text for r in kept.collect()} == {0: texts[0], 1: texts[1], 2: texts[2], 7: own}
