@@ -24,7 +24,7 @@ aligned lines make up ``copied`` of a document's words, all aligned lines are.
 Defined cases: null texts and null doc_ids are left as they are, and own
 nothing; lines differ by case but not by white space at their ends; blank lines
 neither match nor part blocks; rows that share a doc_id are one document to the
-others, and keep what they share with each other; a document of which nothing
+others, keep what they share with each other, and lose each their own places only; a document of which nothing
 but blank lines is left has an empty text.
 """
 
@@ -95,6 +95,12 @@ def line_runs(text: str, least_words: int) -> list[tuple[bytes, int, int]]:
     return [(xxhash.xxh128_digest(b"\n".join(x for x, _ in own[a:z])), a, z - a) for a, z in sorted(ends)]
 
 
+def _whole(text: str) -> list[tuple[bytes, int, int]]:
+    """A text under ``least_words`` as one run, equal to such texts only."""
+    own = [x.strip().encode() for x in text.split("\n") if x.strip()]
+    return [(xxhash.xxh128_digest(b"\n" + b"\n".join(own)), 0, len(own))] if own else []
+
+
 def _increasing(pairs: list[tuple]) -> list[tuple]:
     """A longest run of pairs, sorted by their first number, in which the second rises."""
     tails, last, back = [], [], []
@@ -167,72 +173,81 @@ def without_lines(text: str, found: list[tuple[int, int, int]], least_words: int
 _KIND = pa.list_(pa.struct([("place", pa.int32()), ("words", pa.int32()), ("block", pa.int32())]))
 
 
+def _row(text: str) -> F.Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def _rows(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), _row(text).alias("row")).where("doc_id is not null and text is not null")
+
+
 def overlaps(docs: DataFrame, text: str = "text", least_words: int = 10, rare: int = 64) -> DataFrame:
-    """``doc_id, found, most``: the aligned lines of every document that shares ``SHORT`` words or more with an earlier one, and the most words that one owner has of it."""
+    """``doc_id, row, found, most``: the aligned lines of every row (``row`` is a hash of its text) that shares ``SHORT`` words or more with an earlier one, and the most words that one owner has of it."""
 
     def lines(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 out = []
-                for doc_id, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    out += [(key, doc_id, k, unique, n) for k, (key, unique, n) in enumerate(line_keys(x))]
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int32(), pa.bool_(), pa.int32()))], ["key", "doc_id", "place", "single", "words"])
+                for doc_id, x, row in zip(*[part.column(k).to_pylist() for k in range(3)]):
+                    out += [(key, doc_id, row, k, unique, n) for k, (key, unique, n) in enumerate(line_keys(x))]
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32()))], ["key", "doc_id", "row", "place", "single", "words"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    keyed = rows.mapInArrow(lines, "key binary, doc_id long, place int, single boolean, words int")
+    rows = _rows(docs, text)
+    keyed = rows.mapInArrow(lines, "key binary, doc_id long, row long, place int, single boolean, words int")
     owners = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "place", "single")).alias("own"), F.count("*").alias("n"), F.max("doc_id").alias("last")).where("last > own.doc_id")
     # settled, so that the join shuffles both sides and a line that very many documents share is split over tasks
     shared = keyed.join(settle(owners.select("key", "own", "n")), "key").where(F.col("doc_id") > F.col("own.doc_id"))
-    pairs = shared.groupBy("doc_id", F.col("own.doc_id").alias("owner")).agg(
+    pairs = shared.groupBy("doc_id", "row", F.col("own.doc_id").alias("owner")).agg(
         F.collect_list(F.struct("place", F.col("own.place").alias("own_place"), (F.col("single") & F.col("own.single")).alias("single"), "n", "words")).alias("shared"), F.sum("words").alias("words")
     ).where(F.col("words") >= SHORT)
 
     def align(batches):
         for batch in batches:
             found, most = [], []
-            for shared in batch.column(1).to_pylist():
+            for shared in batch.column(2).to_pylist():
                 rows = [tuple(s.values()) for s in shared]
                 places: dict = {}
                 for r in sorted(rows):  # rows that share a doc_id may hold a line twice
                     places.setdefault(r[0], r)
                 found.append([{"place": p, "words": w, "block": b} for p, w, b in aligned_blocks(list(places.values()), rare)])
                 most.append(sum(f["words"] for f in found[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _KIND), pa.array(most, pa.int32())], ["doc_id", "found", "most"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, _KIND), pa.array(most, pa.int32())], ["doc_id", "row", "found", "most"])
 
     kind = "array<struct<place int, words int, block int>>"
-    each = pairs.select("doc_id", "shared").mapInArrow(align, f"doc_id long, found {kind}, most int")
-    return each.groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("found"), F.max("most").alias("most"))
+    each = pairs.select("doc_id", "row", "shared").mapInArrow(align, f"doc_id long, row long, found {kind}, most int")
+    return each.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("found")).alias("found"), F.max("most").alias("most"))
 
 
-def repeated_runs(docs: DataFrame, text: str = "text", least_words: int = 10) -> DataFrame:
-    """``doc_id, runs``: (place, lines) of the runs of every document that an earlier one has."""
+def repeated_runs(docs: DataFrame, text: str = "text", least_words: int = 10, whole: bool = False) -> DataFrame:
+    """``doc_id, row, runs``: (place, lines) of the runs of every row that an earlier document has; ``whole`` adds shorter texts that an earlier document is."""
 
     def keys(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 out = []
-                for doc_id, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    out += [(key, doc_id, place, n) for key, place, n in line_runs(x, least_words)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int32(), pa.int32()))], ["key", "doc_id", "place", "lines"])
+                for doc_id, x, row in zip(*[part.column(k).to_pylist() for k in range(3)]):
+                    out += [(key, doc_id, row, place, n) for key, place, n in line_runs(x, least_words) or (_whole(x) if whole else [])]
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["key", "doc_id", "row", "place", "lines"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    keyed = rows.mapInArrow(keys, "key binary, doc_id long, place int, lines int")
+    rows = _rows(docs, text)
+    keyed = rows.mapInArrow(keys, "key binary, doc_id long, row long, place int, lines int")
     owners = keyed.groupBy("key").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("last")).where("last > own")
     shared = keyed.join(settle(owners.select("key", "own")), "key").where("doc_id > own")
-    return shared.groupBy("doc_id").agg(F.collect_list(F.struct("place", "lines")).alias("runs"))
+    return shared.groupBy("doc_id", "row").agg(F.collect_list(F.struct("place", "lines")).alias("runs"))
 
 
 def _after_deletion(docs: DataFrame, text: str = "text", least_words: int = 10, copied: float = 0.8, rare: int = 64, runs: bool = False) -> DataFrame:
     """What ``deduplicated_lines`` gives, and ``__most``: the most words that one owner has of a document."""
     rest = docs.drop("n_lines", "n_words", "n_removed", "removed_words")
-    found = overlaps(rest, text, least_words, rare).select(F.col("doc_id").alias("__id"), F.col("found").alias("__found"), F.col("most").alias("__most"))
+    found = overlaps(rest, text, least_words, rare).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("found").alias("__found"), F.col("most").alias("__most"))
     if runs:
-        found = found.join(repeated_runs(rest, text, least_words).select(F.col("doc_id").alias("__id"), F.col("runs").alias("__runs")), "__id", "full")
+        found = found.join(repeated_runs(rest, text, least_words, whole=True).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("runs").alias("__runs")), ["__id", "__row"], "full")
     else:
         found = found.withColumn("__runs", F.lit(None).cast("array<struct<place int, lines int>>"))
-    joined = rest.withColumn("__id", F.col("doc_id").cast("long")).join(found, "__id", "left").drop("__id")
+    joined = rest.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__row", _row(text)).join(found, ["__id", "__row"], "left").drop("__id", "__row")
     at, at_found = rest.columns.index(text), len(rest.columns)
     schema = with_fields(rest.schema, n_lines="int", n_words="int", n_removed="int", removed_words="int", __most="int")
 

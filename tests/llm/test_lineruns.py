@@ -55,3 +55,15 @@ def test_own_text_beside_passages_of_several_documents_stays(make):
     texts[8] = "\n".join([*parts[2], line(98, 6)])
     kept = d.without_repeated_lines(make([(i, t, "en", "s") for i, t in texts.items()]))
     assert {r.doc_id: r.text for r in kept.collect()} == {0: texts[0], 1: texts[1], 2: texts[2], 7: own}
+
+
+def test_rows_of_one_id_lose_their_own_places_only(make):
+    texts = [(1, f"{line(1)}\n{line(2)}"), (5, f"{line(3)}\n{line(4)}\n{line(5)}"), (5, f"{line(1)}\n{line(2)}\n{line(6)}")]
+    for runs in (False, True):
+        got = sorted((r.doc_id, r.text) for r in d.deduplicated_lines(make([(i, t, "en", "s") for i, t in texts]), runs=runs).collect())
+        assert got == sorted([texts[0], texts[1], (5, line(6))])
+
+
+def test_short_copies(make):
+    got = result(d.deduplicated_lines(make([(1, "As. The\nend.", "en", "s"), (2, "As. The\n\nend.", "en", "s"), (3, "As. The\nend. No.", "en", "s"), (4, f"As. The\nend.\n{line(1)}", "en", "s")]), runs=True))
+    assert [got[i][1] for i in (1, 2, 3, 4)] == [0, 2, 0, 0] and got[2][0] == ""
