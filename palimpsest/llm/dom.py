@@ -1,21 +1,29 @@
-"""A small HTML reader: the tree of elements of a page, and its text in blocks."""
+"""A small HTML reader: the tree of elements of a page, its text in blocks, and the alignment of two trees.
+
+Reading takes time in proportion to the page: what is open is counted by name,
+and each open element knows the node that holds its text. Alignment takes time
+in proportion to the smaller tree, as siblings of a folded tree have different
+signatures.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z))""",
     re.S,
 )
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_PLAIN_WORD = re.compile(r"[a-z0-9]+")
-_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_DIGITS = re.compile(r"\d+")
 
 # Groups of elements.
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary "
@@ -26,32 +34,59 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
 }
-# What isn't the article, by element, by role, and by words of class and id.
-NOT_CONTENT = frozenset("nav footer aside form button select head dialog menu search script style textarea title noscript iframe xmp noembed noframes template svg math object canvas audio video".split())
-NOT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
-NOT_WORDS = frozenset(
+# Marks of elements, of roles, and of words in class and id.
+SURE_ELEMENTS = frozenset("nav footer aside button select dialog menu search object canvas audio video".split())
+SURE_ROLES = frozenset("navigation contentinfo complementary search menu menubar toolbar dialog alert alertdialog".split())
+SOFT_ELEMENTS = frozenset("form header".split())
+SOFT_ROLES = frozenset("banner form".split())
+SOFT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "comment comments disqus reply replies respond discussion sidebar aside menu nav navbar navigation breadcrumb breadcrumbs masthead footer share sharing social "
+    "comment comments disqus reply replies respond discussion sidebar aside menu nav navbar navigation breadcrumb breadcrumbs masthead footer header banner share sharing social "
     "related recommended newsletter subscribe signup login search widget toolbar pagination pager".split()
 )
-WEAK_WORDS = frozenset("header banner".split())
+PLAIN_WORDS = frozenset("no not has have with without is open opened closed enabled disabled active allowed hide show".split())  # the token then says something of the element, not what it is
 STORY_WORDS = frozenset("article post entry story".split())
 BODY_WORDS = frozenset("body content text main".split())
 
+SURE, SOFT, ARTICLE, STORY = 1, 2, 4, 8
+
+
+def words_of(token: str) -> list[str]:
+    """The lower-case words of a class or id: parts at hyphens, underscores and capitals."""
+    return [w.lower() for w in _WORD.findall(token)]
+
+
+def marks_of(name: str, role: str, tokens: list[list[str]]) -> int:
+    """What an element says of itself: surely no content, perhaps none, an article, or a container so named."""
+    out = SURE if name in SURE_ELEMENTS or role in SURE_ROLES else 0
+    if name in ("article", "main") or role in ("article", "main"):
+        out |= ARTICLE
+    said = [t for t in tokens if t and not PLAIN_WORDS.intersection(t)]
+    named = {w for t in said for w in t}
+    # a token names its element by its first or its last word
+    if any(t[0] in SOFT_WORDS or t[-1] in SOFT_WORDS for t in said) and not (named & STORY_WORDS and named & {"header", "banner"}):
+        out |= SOFT
+    if name in SOFT_ELEMENTS or role in SOFT_ROLES:
+        out |= SOFT
+    if any(STORY_WORDS.intersection(t) and BODY_WORDS.intersection(t) for t in said):
+        out |= STORY
+    return out
+
 
 class Page:
-    """``tags``, ``parents`` and ``signatures`` of the elements in page order, and ``blocks`` of (element, level, text).
+    """``tags``, ``parents``, ``signatures`` and ``marks`` of the elements in page order; ``blocks`` of (element, block, text, characters in links), and ``raw``, the contents of scripts and the like as (element, contents).
 
-    ``level`` says how clearly a block is marked as the article: 3 inside
-    article, 2 inside main, 1 inside a container so named, 0 elsewhere. Blocks
-    outside the content (menus, forms and the like) are left out.
+    A block has several entries where marked elements stand inside its line.
+    Hidden elements have no text.
     """
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.signatures, self.blocks = ["#page"], [-1], ["#page"], []
-        self._stack, self._text = [0], []
-        self._out, self._level = [False], [0]
-        self._node = 0
+        self.tags, self.parents, self.signatures, self.marks = ["#page"], [-1], ["#page"], [0]
+        self.own = [True]  # whether the element has a node of its own in the folded tree
+        self.blocks, self.raw = [], []
+        self._stack, self._text, self._n = [0], [], 0
+        self._out, self._link, self._holder = [False], [False], [0]
+        self._open: Counter[str] = Counter()
         at, n = 0, len(source)
         while at < n:
             m = _TAG.search(source, at)
@@ -72,155 +107,167 @@ class Page:
             self._start(name, attrs)
             if name in RAW and not attrs.endswith("/>"):
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
-                if close:
-                    at = source.find(">", close.end() - 1) + 1 or n
-                else:
-                    at = n
+                z = close.start() if close else n
+                self.raw.append((self._stack[-1], source[at:z]))
+                at = (source.find(">", close.end() - 1) + 1 or n) if close else n
                 self._end(name)
         self._flush()
 
     def _add(self, text: str) -> None:
         if not self._out[-1]:
-            self._text.append(text)
+            self._text.append((self._holder[-1], self._link[-1], html.unescape(text) if "&" in text else text))
 
     def _flush(self) -> None:
-        if self._text:
-            text = " ".join(html.unescape("".join(self._text)).split())
+        parts, self._text = self._text, []
+        a, found = 0, False
+        while a < len(parts):
+            z = a
+            while z < len(parts) and parts[z][0] == parts[a][0]:
+                z += 1
+            text = " ".join("".join([p[2] for p in parts[a:z]]).split())
             if text:
-                self.blocks.append((self._stack[-1] if not self._inline() else self._holder(), self._level[-1], text))
-            self._text = []
-
-    def _inline(self) -> bool:
-        return self._stack[-1] != 0 and self.tags[self._stack[-1]] not in BLOCK
-
-    def _holder(self) -> int:
-        for k in reversed(self._stack):
-            if k == 0 or self.tags[k] in BLOCK:
-                return k
-        return 0
+                links = sum(len(" ".join(p[2].split())) for p in parts[a:z] if p[1])
+                self.blocks.append((parts[a][0], self._n, text, min(links, len(text))))
+                found = True
+            a = z
+        self._n += found
 
     def _pop_to(self, depth: int) -> None:
-        if any(self.tags[k] in BLOCK for k in self._stack[depth:]):
+        gone = [self.tags[k] for k in self._stack[depth:]]
+        if any(t in BLOCK for t in gone):
             self._flush()
-        del self._stack[depth:], self._out[depth:], self._level[depth:]
+        self._open.subtract(gone)
+        del self._stack[depth:], self._out[depth:], self._link[depth:], self._holder[depth:]
+
+    def _shut(self, names: set[str], within) -> None:
+        """Close the innermost of ``names``, unless an element of ``within`` lies further in."""
+        if not any(self._open[x] for x in names):
+            return
+        for d in range(len(self._stack) - 1, 0, -1):
+            tag = self.tags[self._stack[d]]
+            if tag in names:
+                self._pop_to(d)
+                return
+            if tag in within:
+                return
 
     def _start(self, name: str, attrs: str) -> None:
         if name == "br":
             self._add(" ")
             return
-        tags, stack = self.tags, self._stack
         if name in CLOSES_P:
-            for d in range(len(stack) - 1, 0, -1):
-                if tags[stack[d]] == "p":
-                    self._pop_to(d)
-                    break
-                if tags[stack[d]] in BLOCK:
-                    break
+            self._shut({"p"}, BLOCK)
         if name in CLOSES:
-            shut, within = CLOSES[name]
-            for d in range(len(stack) - 1, 0, -1):
-                if tags[stack[d]] in within:
-                    break
-                if tags[stack[d]] in shut:
-                    self._pop_to(d)
-                    break
+            self._shut(*CLOSES[name])
         if name in BLOCK:
             self._flush()
-        if name in ("html", "body") and any(tags[k] == name for k in stack):
+        if name in VOID or name in ("html", "body") and self._open[name]:
             return
-        words, role, hidden, own = frozenset(), "", False, ""
+        role, hidden, tokens, ident = "", False, [], ""
         if len(attrs) > 1:
             for key, *value in _ATTR.findall(attrs):
                 key, value = key.lower(), "".join(value)
-                if key in ("class", "id"):
-                    words |= {w.lower() for w in _WORD.findall(value)} | set(_PLAIN_WORD.findall(value.lower()))
-                    own = value.strip().lower() if key == "class" else own
+                if key == "class":
+                    tokens = value.split()
+                elif key == "id":
+                    ident = value.strip()
                 elif key == "role":
                     role = value.strip().lower()
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                     hidden = True
                 elif key == "itemprop" and value == "articleBody":
                     role = role or "article"
-        level = self._level[-1]
-        if name == "article" or role == "article":
-            level = 3
-        elif name == "main" or role == "main":
-            level = max(level, 2)
-        elif words & STORY_WORDS and words & BODY_WORDS:
-            level = max(level, 1)
-        out = self._out[-1] or name in NOT_CONTENT or role in NOT_ROLES or hidden
-        if not out and name not in ("html", "body", "main"):
-            out = bool(words & NOT_WORDS) or bool(words & WEAK_WORDS and not words & STORY_WORDS)
-        out = out or name == "header" and self._level[-1] < 2
-        if name in VOID:
-            return
-        if out and not self._out[-1] and name not in BLOCK and name not in RAW:
-            self._text.append(" ")
-        tags.append(name)
-        self.parents.append(stack[-1])
-        self.signatures.append(f"{name}.{own}" if own else name)
-        stack.append(len(tags) - 1)
-        self._out.append(out)
-        self._level.append(level)
+        marks = marks_of(name, role, [words_of(t) for t in [*tokens, ident]]) if tokens or ident or role else marks_of(name, "", [])
+        # numbers in classes and ids tell pages apart, not places
+        classes = " ".join(sorted({_DIGITS.sub("", t).strip("-_") for t in tokens} - {""}))
+        ident = _DIGITS.sub("", ident).strip("-_")
+        signature = name + (f".{classes}" if classes else "") + (f"#{ident}" if ident else "") + (f"@{role}" if role else "")
+        own = name in BLOCK or name in RAW or bool(marks)
+        self.tags.append(name)
+        self.parents.append(self._stack[-1])
+        self.signatures.append(signature)
+        self.marks.append(marks)
+        self.own.append(own)
+        k = len(self.tags) - 1
+        self._stack.append(k)
+        self._open[name] += 1
+        self._out.append(self._out[-1] or hidden or name in RAW)
+        self._link.append(name == "a" or self._link[-1])
+        self._holder.append(k if own else self._holder[-1])
 
     def _end(self, name: str) -> None:
-        for d in range(len(self._stack) - 1, 0, -1):
-            if self.tags[self._stack[d]] == name:
-                self._pop_to(d)
-                return
+        if self._open[name]:
+            for d in range(len(self._stack) - 1, 0, -1):
+                if self.tags[self._stack[d]] == name:
+                    self._pop_to(d)
+                    return
         if name == "p":
             self._flush()
 
 
 def folded(page: Page) -> tuple[list, list[int]]:
-    """The page's tree with equal siblings folded into one repeated node, as [(parent, signature)] in preorder, and each element's node in it."""
+    """The page's tree with equal siblings folded into one repeated node, as [(parent, signature, marks)] in preorder, and each element's node in it."""
     children: dict[tuple[int, str], int] = {}
-    parents, signatures, node = [-1], [page.signatures[0]], [0]
+    tree, node = [(-1, page.signatures[0], 0)], [0]
     for k in range(1, len(page.tags)):
-        if page.tags[k] not in BLOCK:
-            node.append(node[page.parents[k]])
+        above = node[page.parents[k]]
+        if not page.own[k]:
+            node.append(above)
             continue
-        key = (node[page.parents[k]], page.signatures[k])
+        key = (above, page.signatures[k])
         if key not in children:
-            children[key] = len(parents)
-            parents.append(key[0])
-            signatures.append(key[1])
+            children[key] = len(tree)
+            tree.append((above, page.signatures[k], page.marks[k]))
         node.append(children[key])
-    return list(zip(parents, signatures)), node
+    return tree, node
+
+
+def _heaviest_increasing(places: list[int], weights: list[int]) -> list[int]:
+    """Indexes of a run of rising places of the greatest total weight."""
+    ranks = sorted(places)
+    best: list[tuple[int, int]] = [(0, -1)] * (len(ranks) + 1)  # Fenwick tree of (total, last index) over ranks
+    back = []
+    for k, (place, weight) in enumerate(zip(places, weights)):
+        at = bisect_left(ranks, place)
+        top, i = (0, -1), at
+        while i > 0:
+            top = max(top, best[i])
+            i -= i & -i
+        back.append(top[1])
+        own, i = (top[0] + weight, k), at + 1
+        while i <= len(ranks):
+            best[i] = max(best[i], own)
+            i += i & -i
+    top, i = (0, -1), len(ranks)
+    while i > 0:
+        top = max(top, best[i])
+        i -= i & -i
+    out, k = [], top[1]
+    while k >= 0:
+        out.append(k)
+        k = back[k]
+    return out[::-1]
 
 
 def tree_matching(a: list, b: list) -> list[int]:
-    """Simple tree matching of two trees [(parent, signature)]: the node of ``b`` that each node of ``a`` is aligned with, or -1."""
-    kids_a, kids_b = ([[] for _ in t] for t in (a, b))
-    for t, kids in ((a, kids_a), (b, kids_b)):
-        for k, (parent, _) in enumerate(t):
-            if parent >= 0:
-                kids[parent].append(k)
-    tables: dict[tuple[int, int], list[list[int]]] = {}
-    sizes: dict[tuple[int, int], int] = {}
-    for i in range(len(a) - 1, -1, -1):  # parents come before their children
-        for j in range(len(b) - 1, -1, -1):
-            if a[i][1] != b[j][1]:
-                continue
-            m = [[0] * (len(kids_b[j]) + 1)]
-            for x in kids_a[i]:
-                row, last = [0], m[-1]
-                for q, y in enumerate(kids_b[j]):
-                    row.append(max(row[q], last[q + 1], last[q] + sizes.get((x, y), 0)))
-                m.append(row)
-            tables[i, j], sizes[i, j] = m, m[-1][-1] + 1
-    out, todo = [-1] * len(a), [(0, 0)] if (0, 0) in tables else []
+    """Simple tree matching of two folded trees [(parent, signature, ...)]: the node of ``b`` that each node of ``a`` is aligned with, or -1. As many nodes as can be are aligned, equal roots, parents before children, siblings in their order."""
+    kids: list[list[int]] = [[] for _ in a]
+    for k, node in enumerate(a):
+        if node[0] >= 0:
+            kids[node[0]].append(k)
+    below = {(node[0], node[1]): k for k, node in enumerate(b)}
+    like = [-1] * len(a)  # the one node of b that has the same path
+    for k, node in enumerate(a):
+        like[k] = below.get((like[node[0]] if node[0] >= 0 else -1, node[1]), -1) if node[0] < 0 or like[node[0]] >= 0 else -1
+    size, chosen = [0] * len(a), [[] for _ in a]
+    for k in range(len(a) - 1, -1, -1):
+        if like[k] >= 0:
+            met = [x for x in kids[k] if like[x] >= 0]
+            chosen[k] = [met[i] for i in _heaviest_increasing([like[x] for x in met], [size[x] for x in met])]
+            size[k] = 1 + sum(size[x] for x in chosen[k])
+    out, todo = [-1] * len(a), [0] if a and like[0] >= 0 else []
     while todo:
-        i, j = todo.pop()
-        out[i] = j
-        m, p, q = tables[i, j], len(kids_a[i]), len(kids_b[j])
-        while p and q:
-            x, y = kids_a[i][p - 1], kids_b[j][q - 1]
-            if (x, y) in tables and m[p][q] == m[p - 1][q - 1] + sizes[x, y]:
-                todo.append((x, y))
-                p, q = p - 1, q - 1
-            elif m[p][q] == m[p - 1][q]:
-                p -= 1
-            else:
-                q -= 1
+        k = todo.pop()
+        out[k] = like[k]
+        todo += chosen[k]
     return out
