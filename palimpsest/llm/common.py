@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,13 +16,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share; a temporary one only in a local session for which none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
-        own = shared_dir.own = tempfile.mkdtemp(prefix="palimpsest-")
+        own = shared_dir.own = tempfile.mkdtemp(prefix="spark-")
     return own
 
 
@@ -38,11 +41,26 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder; the columns are pruned when it is read."""
-    path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """Bytes of all values of a text column."""
+    return df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
+
+
+def parts_for(spark: SparkSession, size: int, each: int = 64 << 20) -> int:
+    """Number of ranges for ``size`` bytes: ``each`` in one, but as many as the session has shuffle partitions at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
+def by_bytes(texts: list[str], most_texts: int = 256, most: int = 1 << 20):
+    """(begin, end) of runs of texts with at most so many characters, or of one text."""
+    a = size = 0
+    for k, text in enumerate(texts):
+        if k > a and (size + len(text) > most or k - a == most_texts):
+            yield a, k
+            a, size = k, 0
+        size += len(text)
+    if a < len(texts):
+        yield a, len(texts)
 
 
 def key_bounds(df: DataFrame, key: str, parts: int) -> list:
@@ -62,10 +80,6 @@ def range_of(key: str, bounds: list):
     return F.coalesce(F.size(F.filter(cuts, lambda b: b <= F.col(key))), F.lit(0))
 
 
-def parts_for(spark: SparkSession, least: int = 8) -> int:
-    return max(least, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def with_fields(schema: T.StructType, **kinds: str) -> T.StructType:
     """The schema with further fields at its end; the given one stays as it is."""
     more = T.StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in kinds.items()))

@@ -56,17 +56,17 @@ def words_of(token: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(token)]
 
 
-def marks_of(name: str, role: str, tokens: list[list[str]]) -> int:
-    """What an element says of itself: surely no content, perhaps none, an article, or a container so named."""
+def marks_of(name: str, role: str, tokens: list[list[str]], in_article: bool = False) -> int:
+    """What an element says of itself: surely no content, perhaps none, an article, or a container so named. A header in an article is the article's."""
     out = SURE if name in SURE_ELEMENTS or role in SURE_ROLES else 0
     if name in ("article", "main") or role in ("article", "main"):
         out |= ARTICLE
     said = [t for t in tokens if t and not PLAIN_WORDS.intersection(t)]
     named = {w for t in said for w in t}
     # a token names its element by its first or its last word
-    if any(t[0] in SOFT_WORDS or t[-1] in SOFT_WORDS for t in said) and not (named & STORY_WORDS and named & {"header", "banner"}):
+    if any(SOFT_WORDS.intersection((t[0], t[-1], "".join(t))) for t in said) and not (named & STORY_WORDS and named & {"header", "banner"}):
         out |= SOFT
-    if name in SOFT_ELEMENTS or role in SOFT_ROLES:
+    if name in SOFT_ELEMENTS and not (name == "header" and in_article) or role in SOFT_ROLES:
         out |= SOFT
     if any(STORY_WORDS.intersection(t) and BODY_WORDS.intersection(t) for t in said):
         out |= STORY
@@ -177,7 +177,7 @@ class Page:
                     hidden = True
                 elif key == "itemprop" and value == "articleBody":
                     role = role or "article"
-        marks = marks_of(name, role, [words_of(t) for t in [*tokens, ident]]) if tokens or ident or role else marks_of(name, "", [])
+        marks = marks_of(name, role, [words_of(t) for t in (*tokens, ident)], self._open["article"] + self._open["main"] > 0)
         # numbers in classes and ids tell pages apart, not places
         classes = " ".join(sorted({_DIGITS.sub("", t).strip("-_") for t in tokens} - {""}))
         ident = _DIGITS.sub("", ident).strip("-_")

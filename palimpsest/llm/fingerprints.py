@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import key_bounds, parts_for, range_of, with_fields
+from palimpsest.llm.common import key_bounds, parts_for, range_of, text_bytes, with_fields
 
 WINDOW = 64
 RUN = 64
@@ -262,7 +262,7 @@ def compare_edited(docs: DataFrame, ranks: np.ndarray | None = None) -> DataFram
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranks = corpus_ranks(docs) if ranks is None else ranks
-    bounds = key_bounds(docs, "doc_id", parts_for(docs.sparkSession))
+    bounds = key_bounds(docs, "doc_id", parts_for(docs.sparkSession, text_bytes(docs)))
     n = max(1, len(bounds))
     opens = F.col("doc_id").isin(bounds) if bounds else F.lit(False)
     no_id = F.col("doc_id").isNull()

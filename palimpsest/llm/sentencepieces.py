@@ -7,16 +7,15 @@ normaliser with the metaspace marker, unigram scores as a unigram model or, for
 BPE models, the merges that the scores imply, and byte fallback for characters
 that no piece has. Batches are encoded and decoded by the library's threads.
 
-Where no piece goes on after a marker, the text is split before each run of
-markers, which changes no id, and each distinct word is encoded once a worker.
-Parity with the reference library is verified in the same way: ``matched`` says
-for each document that both gave the same ids for all its words, or for the
-whole text where it can't be told apart into words, and ``restored`` that
-decoding gave all of them back.
+Every whole text goes through the normaliser, the splitter and the model of the
+rebuilt tokenizer, through the reference library and back through the decoder:
+``matched`` says for each document that both libraries gave the same ids, and
+``restored`` that decoding gave the text back.
 
 Defined cases: a null text is empty and has no ids; equal texts have equal ids;
 lone surrogates can't be in a UTF-8 column; control pieces (<s>, </s>) written
-out in a text are ordinary text.
+out in a text are ordinary text; a very long text is a batch of its own; an empty
+table gives an empty result; other columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import with_fields
-from palimpsest.llm.wordcache import WordIds
+from palimpsest.llm.common import by_bytes, with_fields
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -161,7 +159,7 @@ def build(path: str):
 class Backend:
     """The rebuilt tokenizer beside the reference library."""
 
-    def __init__(self, path: str, threads: int, most: int = 300_000):
+    def __init__(self, path: str, threads: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))  # both are read when the library first encodes a batch
         import sentencepiece
@@ -169,33 +167,9 @@ class Backend:
         self.tokenizer = build(path)
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         self.threads = threads
-        # a word's ids don't depend on its neighbours if texts are split before markers and nothing but spaces is rewritten
-        model = read_model(path)
-        self.by_word = self.tokenizer.pre_tokenizer is not None and model.escape and model.dummy_prefix and not model.charsmap and not any(kind == USER for _, _, kind in model.pieces)
-        self.words = WordIds(self._words, most)
-
-    def _known(self, ids: list[list[int]], texts: list[str]) -> list[int]:
-        """1 where the reference library gives the same ids, and 2 where decoding gives the text back."""
-        if self.decode([[i for x in ids for i in x]])[0] == " ".join(texts):  # one call for all, if each begins with a marker
-            restored = [2] * len(texts)
-        else:
-            restored = [2 * (x == y) for x, y in zip(self.decode(ids), texts)]
-        return [(x == y) + r for x, y, r in zip(ids, self.expected(texts), restored)]
-
-    def _words(self, words: list[str]) -> tuple[list[list[int]], list[int]]:
-        tokenize = self.tokenizer.model.tokenize  # the words' normal form is a marker and the word
-        found = [[t.id for t in tokenize(MARK + x)] for x in words]
-        return found, self._known(found, words)
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
-        """Ids of each text and what is known of them. Where words can be told apart by lone spaces, each distinct one is encoded, compared and decoded once; other texts are whole."""
-        split = [t.split(" ") if self.by_word and t and MARK not in t else None for t in texts]
-        found = self.words.take([None if s is None or "" in s else s for s in split])
-        whole = [t for t, f in zip(texts, found) if f is None]
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
-        known = [(x == y) + 2 * (d == t) for x, y, d, t in zip(ids, self.expected(whole), self.decode(ids), whole)]
-        rest = iter([(np.array(x, np.uint32), k) for x, k in zip(ids, known)])
-        return [next(rest) if f is None else f for f in found]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -224,13 +198,14 @@ def encoded(docs: DataFrame, model: str, text: str = "text", threads: int = 2) -
         for batch in batches:
             texts = [x or "" for x in batch.column(at).to_pylist()]
             ids, crc, matched, restored = [], [], [], []
-            for a in range(0, len(texts), 128):
-                part = texts[a : a + 128]
-                found, known = zip(*backend.encode(part))
-                matched += [bool(k & 1) for k in known]
-                restored += [bool(k & 2) for k in known]
-                crc += [zlib.crc32(x.tobytes()) for x in found]
-                ids += [x.astype(np.int32) for x in found]
+            for a, z in by_bytes(texts):
+                part = texts[a:z]
+                found = backend.encode(part)
+                matched += [x == y for x, y in zip(found, backend.expected(part))]
+                restored += [x == y for x, y in zip(backend.decode(found), part)]
+                fixed = [np.array(x, "<u4") for x in found]
+                crc += [zlib.crc32(x.tobytes()) for x in fixed]
+                ids += [x.view("<i4") for x in fixed]
             yield pa.RecordBatch.from_arrays([
                 *batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64()),
                 pa.array(matched, pa.bool_()), pa.array(restored, pa.bool_()),
@@ -248,7 +223,7 @@ def decoded(rows: DataFrame, model: str, ids: str = "ids", threads: int = 2) ->
         backend = _backend(model, threads)
         for batch in batches:
             lists = batch.column(at).to_pylist()
-            texts = backend.decode([x or [] for x in lists])
+            texts = [t for a in range(0, len(lists), 256) for t in backend.decode([x or [] for x in lists[a : a + 256]])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x is None else t for x, t in zip(lists, texts)], pa.string())], [*batch.schema.names, "decoded"])
 
     return rest.mapInArrow(apply, with_fields(rest.schema, decoded="string"))

@@ -5,14 +5,17 @@ Format. A dataset of Parquet files, one row a block: ``shard``, ``block``
 ``width`` (bits of an id: 16 or 32), ``planes`` (binary each) and the block's
 part of the document index: ``docs`` (number in the shard), ``doc_ids``,
 ``offsets`` (where the part begins in the document) and ``lengths`` of the
-parts of documents that it holds. A block has ``BLOCK`` ids (a shard's last one
+parts of documents that it holds, and ``goes_on``, whether the last of these has
+more in the next block. A block has ``BLOCK`` ids (a shard's last one
 fewer); it is transposed to planes, plane p holding byte (or bit) p of all its
 ids, and each plane is compressed with zstandard, so a block can be read
 without any other. ``width`` planes are bit planes, fewer are byte planes. Shards follow each other in doc_id order; the ids
 before a shard are the sum over the blocks of the shards before it.
 
 Defined cases: null texts are empty and have the end id only; equal doc_ids are
-ordered by text; null doc_ids come first; an empty table makes empty files.
+ordered by a hash of the text; null doc_ids come first; an empty table makes
+empty files; a text of any length is encoded whole, in a batch of its own, and its
+ids may go over many blocks; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -25,19 +28,21 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import key_bounds, parts_for, range_of, shared_path
-from palimpsest.llm.wordcache import WordEncoder
+from palimpsest.llm.common import by_bytes, parts_for, settle, shared_path, text_bytes
 
 BLOCK = 1 << 16
-BLOCKS = "shard int, block long, first long, n_ids int, width int, planes array<binary>, docs array<long>, doc_ids array<long>, offsets array<long>, lengths array<long>"
-_encoders: dict[str, WordEncoder] = {}
+BLOCKS = "shard int, block long, first long, n_ids int, width int, planes array<binary>, docs array<long>, doc_ids array<long>, offsets array<long>, lengths array<long>, goes_on boolean"
+_encoders: dict = {}
 
 
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str):
+    """The library's tokenizer of a file, for whole texts: no padding, no truncation."""
     if path not in _encoders:
         from tokenizers import Tokenizer
 
-        _encoders[path] = WordEncoder(Tokenizer.from_file(path))
+        _encoders[path] = Tokenizer.from_file(path)
+        _encoders[path].no_padding()
+        _encoders[path].no_truncation()
     return _encoders[path]
 
 
@@ -97,28 +102,21 @@ def crc32_joined(first: int, second: int, length: int) -> int:
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "text", unit: str = "byte") -> None:
     """Encode every whole text with the tokenizer file ``tokenizer`` and write the dataset ``path`` in ascending doc_id order.
 
-    Ids, not texts, are shuffled, into ranges of doc_id; a task encodes and
-    writes a shard in order, holding one block and one batch of documents.
+    Texts are dealt into ranges of (doc_id, hash of the text) by their measured
+    bytes and sorted; a task encodes a range in batches by the library and writes
+    it as a shard, holding one block and one batch of documents.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bounds = key_bounds(rows, "doc_id", parts_for(spark))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text").asc()]
+    dealt = rows.repartitionByRange(parts_for(spark, text_bytes(rows)), *order).sortWithinPartitions(*order, "text")
 
-    def encode(batches):
-        encoder = _encoder(tokenizer)
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            found = [f for a in range(0, len(texts), 128) for f in encoder.encode_batch(texts[a : a + 128])]
-            narrow = [f.astype("<u2") if not len(f) or f.max() < 1 << 16 else f.astype("<u4") for f in found]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([zlib.crc32(x.encode()) for x in texts], pa.int64()),
-                pa.array([f.itemsize for f in narrow], pa.int32()), pa.array([f.tobytes() for f in narrow], pa.binary()),
-            ], ["shard", "doc_id", "tie", "size", "ids"])
-
-    encoded = rows.select(range_of("doc_id", bounds).alias("shard"), "doc_id", "text").mapInArrow(encode, "shard int, doc_id long, tie long, size int, ids binary")
-    sorted_rows = encoded.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "tie", "ids")
+    def table(rows):
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), *[pa.list_(pa.int64())] * 4, pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["shard", "block", "first", "n_ids", "width", "planes", "docs", "doc_ids", "offsets", "lengths", "goes_on"])
 
     def blocks(batches):
+        encoder = _encoder(tokenizer)
         shard, held, n_held, index, block, n_docs = None, [], 0, [], 0, 0
 
         def flush(n):
@@ -135,22 +133,16 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str
                     left.append((doc, doc_id, offset + took, length - took))
                 room -= took
             index = left
-            row = [shard, block, block * BLOCK, n, width, planes, *[[p[k] for p in parts] for k in range(4)]]
+            row = [shard, block, block * BLOCK, n, width, planes, *[[p[k] for p in parts] for k in range(4)], bool(left) and left[0][2] > 0]
             block += 1
             return row
 
-        def table(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(
-                (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), *[pa.list_(pa.int64())] * 4))],
-                ["shard", "block", "first", "n_ids", "width", "planes", "docs", "doc_ids", "offsets", "lengths"])
-
         for batch in batches:
-            for own, doc_id, size, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                if own != shard:
-                    if n_held:
-                        yield table([flush(n_held)])
-                    shard, held, n_held, index, block, n_docs = own, [], 0, [], 0, 0
-                whole = np.append(np.frombuffer(ids, "<u2" if size == 2 else "<u4").astype(np.uint32), np.uint32(end_id))
+            texts = batch.column(2).to_pylist()
+            found = (x.ids for a, z in by_bytes(texts) for x in encoder.encode_batch_fast(texts[a:z], add_special_tokens=False))
+            for own, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found):
+                shard = own
+                whole = np.array([*ids, end_id], np.uint32)
                 index.append((n_docs, doc_id, 0, len(whole)))
                 n_docs += 1
                 held.append(whole)
@@ -160,45 +152,52 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str
         if n_held:
             yield table([flush(n_held)])
 
-    sorted_rows.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(path)
+    # a range is one task's, so its number names the shard
+    dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, all from the ids in the files.
 
-    Blocks are read on their own; of a document that several blocks share, the
-    checksums of the parts are joined.
+    Blocks are read on their own. Documents that lie in one block are answered from
+    it; of the others, the checksums of the parts are joined.
     """
     blocks = spark.read.schema(BLOCKS).parquet(path)
-    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).cache()
-    before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))  # one row a shard
+    sizes = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    before = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))  # one row a shard
 
     def parts(batches):
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 raw = unpack(row["width"], row["planes"], row["n_ids"])
-                at = 0
-                for doc, doc_id, offset, length in zip(row["docs"], row["doc_ids"], row["offsets"], row["lengths"]):
-                    out.append((row["shard"], doc, doc_id, offset, length, row["first"] + at, zlib.crc32(raw[at : at + length].tobytes())))
+                at, last = 0, len(row["docs"]) - 1
+                for k, (doc, doc_id, offset, length) in enumerate(zip(row["docs"], row["doc_ids"], row["offsets"], row["lengths"])):
+                    whole = offset == 0 and not (k == last and row["goes_on"])
+                    out.append((row["shard"], doc, doc_id, offset, length, row["first"] + at, zlib.crc32(raw[at : at + length].tobytes()), whole))
                     at += length
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int32() if not k else pa.int64()) for k in range(7)], ["shard", "doc", "doc_id", "offset", "length", "at", "crc"])
+            kinds = (pa.int32(), *[pa.int64()] * 6, pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["shard", "doc", "doc_id", "offset", "n_tokens", "at", "ids_crc32", "whole"])
 
-    found = blocks.mapInArrow(parts, "shard int, doc long, doc_id long, offset long, length long, at long, crc long")
-    joined = F.udf(_crc_of_parts, "long")
-    docs = found.groupBy("shard", "doc").agg(
-        F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("length").alias("n_tokens"),
-        F.count("*").alias("n_parts"), F.min("crc").alias("crc"), F.sort_array(F.collect_list(F.struct("offset", "length", "crc"))).alias("parts"),
+    found = settle(blocks.mapInArrow(parts, "shard int, doc long, doc_id long, offset long, n_tokens long, at long, ids_crc32 long, whole boolean"))
+    cut = found.where(~F.col("whole")).groupBy("shard", "doc").agg(
+        F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("offset", "n_tokens", "ids_crc32"))).alias("parts")
     )
-    one = docs.where("n_parts = 1").select("shard", "doc_id", "at", "n_tokens", F.col("crc").alias("ids_crc32"))
-    many = docs.where("n_parts > 1").select("shard", "doc_id", "at", "n_tokens", joined("parts").alias("ids_crc32"))
-    return one.union(many).join(before, "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+
+    def join_parts(batches):
+        for batch in batches:
+            crc = pa.array([_crc_of_parts(p) for p in batch.column(4).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], crc], ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
+
+    joined = cut.select("shard", "doc_id", "at", "n_tokens", "parts").mapInArrow(join_parts, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    docs = found.where("whole").select("shard", "doc_id", "at", "n_tokens", "ids_crc32").union(joined)
+    return docs.join(before, "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def _crc_of_parts(parts):
     crc = 0
     for part in parts:
-        crc = crc32_joined(crc, part["crc"], 4 * part["length"])
+        crc = crc32_joined(crc, part["ids_crc32"], 4 * part["n_tokens"])
     return crc
 
 

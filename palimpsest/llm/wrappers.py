@@ -19,7 +19,7 @@ links left out.
   weighs ``boost`` times. An element that says it is a menu, header, footer,
   sidebar, notice, advert, form or comments is out, but a class, id, form or
   header that only hints so is overruled where it holds nearly all text and
-  there is no other article. So no word blanks what surrounds the content.
+  there is no other article but a teaser. So no word blanks what surrounds the content.
 
 A host with one page is treated in the same way: by the density and the marks
 of that page. Copies of a page count once.
@@ -65,6 +65,7 @@ class Evidence:
     dominant: float = 0.85
     boost: float = 10.0
     links: float = 0.6
+    teaser: float = 0.02
 
 
 def _host(url: str | None) -> str:
@@ -135,7 +136,7 @@ def decided(tree: list, figures: dict[int, tuple[int, int, float, float]], by: E
             hint[k] = True
         elif m & SOFT and not sure[k]:
             most = text[k] >= by.dominant * text[0] > 0
-            overruled = nested[k] or most if not marked else most and marked < (1 - by.dominant) * text[0]
+            overruled = nested[k] or most if not marked else most and marked < by.teaser * text[0]
             hint[k] = not overruled
     out = [sure[k] or hint[k] for k in range(n)]
     plain = below([0.0 if out[k] else own[k] for k in range(n)])

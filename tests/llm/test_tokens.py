@@ -9,7 +9,6 @@ from tokenizers import Tokenizer
 from palimpsest.llm import sentencepieces as sp
 from palimpsest.llm import tokencounts as tc
 from palimpsest.llm import tokenfiles as tf
-from palimpsest.llm.wordcache import WordEncoder
 
 from .conftest import EN, FR, ODD
 
@@ -20,16 +19,6 @@ HARD = [
 ]
 
 
-def test_word_encoder_matches_library():
-    t = Tokenizer.from_file(WORD)
-    encoder = WordEncoder(t, most=20)
-    for _ in range(2):
-        for text, got in zip(HARD, encoder.encode_batch(HARD)):
-            assert got.tolist() == t.encode(text, add_special_tokens=False).ids, text
-    other = WordEncoder(Tokenizer.from_file(BYTE))
-    assert not other.fast and other.encode(EN).tolist() == Tokenizer.from_file(BYTE).encode(EN).ids
-
-
 @pytest.mark.parametrize("unit", ["byte", "bit"])
 def test_planes(unit):
     r = np.random.default_rng(0)
