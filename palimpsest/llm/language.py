@@ -9,19 +9,20 @@ rows (``max_rows``, dealt evenly over the labels, drawn by a hash of the row);
 a fifth of the sample is held back to fit the temperature that calibrates the
 probabilities.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0, as
-is every text if there was no label to learn from; rows with a null label teach
-nothing; repeated rows are answered each; a row without a doc_id counts as
-having the id ''.
+Defined cases: a null text or one without a letter (digits in circles and the
+like are none) is ``und`` with score 0, as is every text if there was no label to
+learn from; rows with a null label teach nothing; repeated rows are answered each;
+a row without a doc_id counts as having the id ''; a very long text is read in
+pieces; an empty table gives an empty result; other columns are kept.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ SLOTS = 1 << HASH_BITS
 ORDERS = 3
 SCALE = 64.0
 SEGMENT = 1 << 17
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _MIX = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 
 
@@ -226,11 +227,11 @@ def predictions(docs: DataFrame) -> DataFrame:
     return identify(rows, model).drop("text")
 
 
-def known_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The documents that some learned language explains with probability ``least`` or more; columns as given. Without any label nothing is rejected."""
+def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The documents that some learned language explains with probability ``least`` or more; columns as given, but a null ``lang`` becomes the language found. Without any label nothing is rejected."""
     model = fit(docs.where(~held_out()))
     if not model.langs:
         return docs
-    columns = docs.columns
-    own = docs.select(*columns, F.col("text").alias("__text"))
-    return identify(own, model, "__text").where(F.col("score") >= least).select(*columns)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    kept = identify(own, model).where(F.col("score") >= least)
+    return kept.select(*[F.coalesce(F.col("row.lang"), F.col("lang_pred")).alias("lang") if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

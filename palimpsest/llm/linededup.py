@@ -240,39 +240,43 @@ def repeated_runs(docs: DataFrame, text: str = "text", least_words: int = 10, wh
 
 
 def _after_deletion(docs: DataFrame, text: str = "text", least_words: int = 10, copied: float = 0.8, rare: int = 64, runs: bool = False) -> DataFrame:
-    """What ``deduplicated_lines`` gives, and ``__most``: the most words that one owner has of a document."""
-    rest = docs.drop("n_lines", "n_words", "n_removed", "removed_words")
-    found = overlaps(rest, text, least_words, rare).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("found").alias("__found"), F.col("most").alias("__most"))
+    """``row`` (the given columns), the text that is left, ``n_lines``, ``n_words``, ``n_removed``, ``removed_words``, and ``most``: the most words that one owner has of a document."""
+    found = overlaps(docs, text, least_words, rare)
     if runs:
-        found = found.join(repeated_runs(rest, text, least_words, whole=True).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("runs").alias("__runs")), ["__id", "__row"], "full")
+        found = found.join(repeated_runs(docs, text, least_words, whole=True), ["doc_id", "row"], "full")
     else:
-        found = found.withColumn("__runs", F.lit(None).cast("array<struct<place int, lines int>>"))
-    joined = rest.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__row", _row(text)).join(found, ["__id", "__row"], "left").drop("__id", "__row")
-    at, at_found = rest.columns.index(text), len(rest.columns)
-    schema = with_fields(rest.schema, n_lines="int", n_words="int", n_removed="int", removed_words="int", __most="int")
+        found = found.withColumn("runs", F.lit(None).cast("array<struct<place int, lines int>>"))
+    found = found.withColumnsRenamed({"doc_id": "id", "row": "hash"})
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), _row(text).alias("hash"))
+    joined = given.join(found, ["id", "hash"], "left").select("row", "found", "runs", "most")
+    at = docs.columns.index(text)
+    schema = with_fields(joined.select("row").schema, text="string", n_lines="int", n_words="int", n_removed="int", removed_words="int", most="int")
 
     def apply(batches):
         for batch in batches:
-            out = []
-            for x, f, r in zip(*[batch.column(k).to_pylist() for k in (at, at_found, at_found + 1)]):
-                out.append((None, 0, 0, 0, 0) if x is None else without_lines(x, [tuple(s.values()) for s in f or ()], least_words, copied, [tuple(s.values()) for s in r or ()]))
-            columns = [batch.column(k) for k in range(at_found)]
-            columns[at] = pa.array([o[0] for o in out], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array([o[k] for o in out], pa.int32()) for k in (1, 2, 3, 4)], batch.column(at_found + 2)], schema.names)
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                out = []
+                for x, f, r in zip(part.column(0).flatten()[at].to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    out.append((None, 0, 0, 0, 0) if x is None else without_lines(str(x), [tuple(s.values()) for s in f or ()], least_words, copied, [tuple(s.values()) for s in r or ()]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([o[0] for o in out], pa.string()), *[pa.array([o[k] for o in out], pa.int32()) for k in (1, 2, 3, 4)], part.column(3)], schema.names)
 
-    return joined.select(*rest.columns, "__found", "__runs", "__most").mapInArrow(apply, schema)
+    return joined.mapInArrow(apply, schema)
 
 
 def deduplicated_lines(docs: DataFrame, text: str = "text", least_words: int = 10, copied: float = 0.8, rare: int = 64, runs: bool = False) -> DataFrame:
     """Every row with its ``text`` after deletion, ``n_lines``, ``n_words``, ``n_removed`` and ``removed_words`` (columns of these names are replaced). Without ``runs`` blocks are those with the owners of single lines only."""
-    return _after_deletion(docs, text, least_words, copied, rare, runs).drop("__most")
+    counts = ["n_lines", "n_words", "n_removed", "removed_words"]
+    found = _after_deletion(docs, text, least_words, copied, rare, runs)
+    rest = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in counts]
+    return found.select(*rest, *counts)
 
 
 def without_repeated_lines(docs: DataFrame, copied: float = 0.8, **options) -> DataFrame:
     """The documents, columns as given, after deletion (``n_chars``, where there is one, follows); a document goes whole if nothing is left, or if it was a copy: one single earlier document owns ``copied`` of its words. One made of several documents' passages keeps its own text."""
-    columns = docs.columns
     found = _after_deletion(docs, copied=copied, **{"runs": True, **options})
-    kept = found.where((F.col("n_removed") == 0) | (F.col("removed_words") < F.col("n_words")) & (F.coalesce("__most", F.lit(0)) < copied * F.col("n_words")))
-    if "n_chars" in columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(*columns)
+    kept = found.where((F.col("n_removed") == 0) | (F.col("removed_words") < F.col("n_words")) & (F.coalesce("most", F.lit(0)) < copied * F.col("n_words")))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return kept.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

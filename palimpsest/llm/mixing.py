@@ -5,7 +5,7 @@ released at slot floor(i / w) and due at slot ceil((i + 1) / w); in each slot th
 released block of earliest deadline is next. Since the weights sum to one this
 keeps every source within one block of its share at any time.
 
-Weights are exact fractions, so the lag stays below one block of the target
+Weights are the exact fractions that their decimals say, so the lag stays below one block of the target
 weight however long the table is. Blocks are dealt on the driver, in one pass: a
 step costs the logarithm of the number of sources, and one number a block is
 kept (1/``block_docs`` of the rows; some 30 MB for a million blocks). When a
@@ -18,7 +18,9 @@ Target weights are given, or follow from the sources' sizes by ``temper``
 without a weight of their own get the least of the given ones.
 
 Defined cases: a null source is a source of its own; equal doc_ids are told
-apart by text; empty tables give empty results.
+apart by text, and rows equal in both are interchangeable; a null doc_id counts as
+an empty one; null and very long texts are hashed whole; empty tables give empty
+results; other columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -35,46 +37,10 @@ from pyspark.sql import functions as F
 NO_SOURCE = "\x00null"
 
 
-def _rounded(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole numbers of blocks a period that sum to it, at least one each, by largest remainders."""
-    period = max(period, len(weights))
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    while (left := period - sum(out.values())) != 0:
-        if left > 0:
-            for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[:left]:
-                out[s] += 1
-        else:
-            for s in sorted((s for s in out if out[s] > 1), key=lambda s: (exact[s] - out[s], s))[:-left]:
-                out[s] -= 1
-    return out
-
-
-def period_schedule(shares: dict[str, int]) -> dict[str, list[int]]:
-    """The slot of each source's block within one period, by earliest deadline among the released."""
-    period = sum(shares.values())
-    waiting: list[tuple[int, int, str]] = []  # (release, index, source)
-    ready: list[tuple[int, int, str]] = []  # (deadline, index, source)
-    for s in sorted(shares):
-        heapq.heappush(waiting, (0, 0, s))
-    out: dict[str, list[int]] = {s: [] for s in shares}
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, i, s = heapq.heappop(waiting)
-            heapq.heappush(ready, (ceil(Fraction((i + 1) * period, shares[s])), i, s))
-        deadline, i, s = heapq.heappop(ready)
-        assert slot < deadline
-        out[s].append(slot)
-        if i + 1 < shares[s]:
-            heapq.heappush(waiting, ((i + 1) * period // shares[s], i + 1, s))
-    return out
-
-
 def exact_schedule(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, array]:
     """The slot of each block of each source, by earliest deadline among the released, with weights as they are."""
     left = {s: n for s, n in blocks.items() if n}
-    exact = {s: max(Fraction(0), Fraction(weights[s])) for s in left}
+    exact = {s: max(Fraction(0), Fraction(str(weights[s]))) for s in left}
     scale = lcm(*[w.denominator for w in exact.values()])
     parts = {s: int(w * scale) for s, w in exact.items()}
     out = {s: array("q") for s in left}
@@ -117,25 +83,20 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> li
     return out
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, block_docs: int = 16, period: int = 1000, by: str = "source", tie: str = "text") -> DataFrame:
-    """Every row with ``mix_block`` (its block in the source), ``mix_slot`` (the block's turn) and ``mix_offset`` (place in the block).
+def _draw(doc_id, text) -> F.Column:
+    """A number of 60 bits from the md5 of a row's id and text."""
+    said = F.concat_ws(" ", F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(said), 1, 15), 16, 10).cast("long")
 
-    Within a source documents are ordered by a hash of their id, so a block is
-    no run of neighbours. Numbers come from counts by (source, hash range) and
-    a window in each of those, so a source with a third of all rows is spread.
-    """
-    spark = docs.sparkSession
-    source = F.coalesce(F.col(by).cast("string"), F.lit(NO_SOURCE))
-    draw = F.xxhash64(F.col("doc_id"), F.xxhash64(tie))
-    total = docs.count()
-    ranges = max(128, total // 2_000)
-    rows = docs.select("*", source.alias("__source"), F.shiftrightunsigned(draw, 1).alias("__draw")).withColumn(
-        "__range", F.floor(F.col("__draw") / F.lit(2.0**63) * ranges).cast("int")
-    )
-    counts = rows.groupBy("__source", "__range").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("__source").orderBy("__range")
-    before = counts.withColumn("__before", F.sum("n").over(order) - F.col("n")).drop("n")
-    sizes = {r["__source"]: r["n"] for r in rows.groupBy("__source").agg(F.count("*").alias("n")).collect()}  # one row a source
+
+def _dealt(rows: DataFrame, weights: dict[str, float] | None, temper: float, block_docs: int, period: int) -> DataFrame:
+    """``rows(row, source, draw, tie)`` with ``block``, ``slot`` and ``offset``. Numbers come from counts by (source, range of draws) and a window in each of those, so a source with a third of all rows is spread."""
+    spark = rows.sparkSession
+    ranges = max(128, rows.count() // 2_000)
+    rows = rows.withColumn("source", F.coalesce("source", F.lit(NO_SOURCE))).withColumn("range", F.floor(F.col("draw") / F.lit(2.0**60) * ranges).cast("int"))
+    counts = rows.groupBy("source", "range").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("range")) - F.col("n")).drop("n")
+    sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}  # one row a source
     if weights is None:
         goal = {s: n**temper for s, n in sizes.items()}
     else:
@@ -143,26 +104,40 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temper: floa
         goal = {s: weights.get(s, least) for s in sizes}
     plan = phases({s: ceil(n / block_docs) for s, n in sizes.items()}, goal, period)
     columns = ([p[0] for p in plan], [p[1] // period for p in plan], [p[6] for p in plan])
-    kinds = pa.schema([("__source", pa.string()), ("__row", pa.int64()), ("__slots", pa.list_(pa.int64()))])
+    kinds = pa.schema([("source", pa.string()), ("part", pa.int64()), ("slots", pa.list_(pa.int64()))])
     table = spark.createDataFrame(pa.table([pa.array(c, k.type) for c, k in zip(columns, kinds)], schema=kinds))
-    inner = Window.partitionBy("__source", "__range").orderBy("__draw", "doc_id")
-    numbered = rows.withColumn("__nth", F.row_number().over(inner) - 1).join(before, ["__source", "__range"])
-    numbered = numbered.withColumn("__n", F.col("__before") + F.col("__nth")).withColumn("mix_block", F.floor(F.col("__n") / block_docs).cast("long"))
-    numbered = numbered.withColumn("__row", F.floor(F.col("mix_block") / period).cast("long"))
+    inner = Window.partitionBy("source", "range").orderBy("draw", F.asc_nulls_first("tie"))
+    numbered = rows.withColumn("nth", F.row_number().over(inner) - 1).join(before, ["source", "range"]).withColumn("n", F.col("before") + F.col("nth"))
+    numbered = numbered.withColumn("block", F.floor(F.col("n") / block_docs).cast("long")).withColumn("part", F.floor(F.col("block") / period).cast("long"))
     small = sum(len(p[6]) for p in plan) <= 4_000_000  # 8 bytes each
-    placed = numbered.join(F.broadcast(table) if small else table, ["__source", "__row"])
-    slot = F.element_at("__slots", (F.col("mix_block") - F.col("__row") * period + 1).cast("int"))
-    return placed.select(*docs.columns, "mix_block", slot.cast("long").alias("mix_slot"), (F.col("__n") % block_docs).cast("int").alias("mix_offset"))
+    placed = numbered.join(F.broadcast(table) if small else table, ["source", "part"])
+    slot = F.element_at("slots", (F.col("block") - F.col("part") * period + 1).cast("int")).cast("long")
+    return placed.select("row", "block", slot.alias("slot"), (F.col("n") % block_docs).cast("int").alias("offset"))
+
+
+def _packed(docs: DataFrame, by: str, text: str) -> DataFrame:
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(by).cast("string").alias("source"), _draw(F.col("doc_id"), F.col(text)).alias("draw"), F.col("doc_id").cast("long").alias("tie"))
+
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, block_docs: int = 16, period: int = 1000, by: str = "source", text: str = "text") -> DataFrame:
+    """Every row with ``mix_block`` (its block in the source), ``mix_slot`` (the block's turn) and ``mix_offset`` (place in the block); columns of these names are replaced.
+
+    Within a source documents are ordered by a hash of their id and text, so a
+    block is no run of neighbours.
+    """
+    rest = docs.drop("mix_block", "mix_slot", "mix_offset")
+    found = _dealt(_packed(rest, by, text), weights, temper, block_docs, period)
+    return found.select("row.*", F.col("block").alias("mix_block"), F.col("slot").alias("mix_slot"), F.col("offset").alias("mix_offset"))
 
 
-def mix_order(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, source, mix_block, mix_slot, mix_offset`` of every document."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("__tie"))
-    return mixed(narrow, tie="__tie", **options).drop("__tie")
+def mix_order(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, block_docs: int = 16, period: int = 1000) -> DataFrame:
+    """``doc_id, source, mix_block, mix_slot, mix_offset`` of every document; texts aren't moved."""
+    rows = _packed(docs.select("doc_id", "source", "text"), "source", "text").withColumn("row", F.struct(F.col("tie").alias("doc_id"), "source"))
+    found = _dealt(rows, weights, temper, block_docs, period)
+    return found.select("row.doc_id", "row.source", F.col("block").alias("mix_block"), F.col("slot").alias("mix_slot"), F.col("offset").alias("mix_offset"))
 
 
-def interleaved(docs: DataFrame, **options) -> DataFrame:
+def interleaved(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, block_docs: int = 16, period: int = 1000) -> DataFrame:
     """The documents, columns as given, dealt and sorted so that the files hold them in the order of the mix."""
-    columns = docs.columns
-    kept = mixed(docs, **options).withColumnsRenamed({"mix_slot": "__slot", "mix_offset": "__offset"})
-    return kept.repartitionByRange(F.col("__slot")).sortWithinPartitions("__slot", "__offset").select(*columns)
+    kept = _dealt(_packed(docs, "source", "text"), weights, temper, block_docs, period)
+    return kept.repartitionByRange(F.col("slot")).sortWithinPartitions("slot", "offset").select("row.*")

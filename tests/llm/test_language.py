@@ -10,6 +10,9 @@ from .conftest import ODD
 STEMS = {"aa": "the and ing tion ou re st er".split(), "bb": "eau eux que ment é ç la".split(), "cc": "sch ung ein ü der pf ich".split()}
 
 
+STRANGE = [*ODD, "\u2461 \u00bd", "\u00b2 _ 7", "\u2460a"]
+
+
 def text_of(code, seed, n=60):
     r = random.Random(f"{code}{seed}")
     return " ".join("".join(r.choices(STEMS[code], k=r.randint(1, 4))) for _ in range(n))
@@ -20,7 +23,7 @@ def corpus(n=240):
 
 
 def test_held_out_accuracy_and_odd_rows(make):
-    rows = corpus() + [(1000 + k, t, "aa" if k % 2 else None, "s") for k, t in enumerate(ODD)] + [(None, text_of("bb", 1), "bb", "s")]
+    rows = corpus() + [(1000 + k, t, "aa" if k % 2 else None, "s") for k, t in enumerate(STRANGE)] + [(None, text_of("bb", 1), "bb", "s")]
     docs = make(rows, {"lang_pred": "1", "score": "'x'"})
     got = lang.predictions(docs).collect()
     assert len(got) == len(rows)
@@ -29,7 +32,7 @@ def test_held_out_accuracy_and_odd_rows(make):
     assert len(held) > 30 and sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)
     by_id = {r.doc_id: r for r in got}
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got if r.doc_id is not None)
-    for k, t in enumerate(ODD):
+    for k, t in enumerate(STRANGE):
         assert (by_id[1000 + k].lang_pred == "und") == (t is None or not any(x.isalpha() for x in t))
     assert all(0 <= r.score <= 1 for r in got) and by_id[None].lang_pred == "bb"
 

@@ -9,11 +9,11 @@ from palimpsest.llm import mixing as m
 
 def lags(order, weights):
     """The greatest lag against the target weights, up to the slot in which the first source has its last block."""
-    total = sum(Fraction(w) for w in weights.values())
+    total = sum(Fraction(str(w)) for w in weights.values())
     first_out = min(max(t for t, x in enumerate(order) if x == s) for s in weights)
     worst = Fraction(0)
     for s, w in weights.items():
-        had, w = 0, Fraction(w) / total
+        had, w = 0, Fraction(str(w)) / total
         for t in range(first_out + 1):
             had += order[t] == s
             worst = max(worst, abs(had - w * (t + 1)))
