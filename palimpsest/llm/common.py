@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Send rows to Python by ``rows`` rather than Spark's 10,000, unless the session says otherwise: whole texts are large, and both sides hold a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

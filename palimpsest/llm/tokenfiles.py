@@ -20,6 +20,7 @@ ids may go over many blocks; other columns aren't read.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -38,6 +39,7 @@ _encoders: dict = {}
 def _encoder(path: str):
     """The library's tokenizer of a file, for whole texts: no padding, no truncation."""
     if path not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         _encoders[path] = Tokenizer.from_file(path)
