@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sqlite3
 import uuid
 from abc import ABC, abstractmethod
@@ -15,7 +16,10 @@ from palimpsest.functions.columns import as_list
 from palimpsest.operators.archive import Archive
 from palimpsest.snapshots import as_time, utc_now
 from palimpsest.sources.files import Files
-from palimpsest.store import scratch_dir
+from palimpsest.store import Store, scratch_dir
+
+
+KEPT = 8  # files of the catalog before the last one
 
 
 @dataclass(frozen=True)
@@ -92,7 +96,7 @@ class ArchiveManager(ABC):
     def commit(self, identifier: str, doc, descriptor=None, **options):
         """Commit to an archive, whose folder may be empty until now."""
         entry, path = self._entry(identifier), self._path(identifier)
-        if entry.primary_key and not self.files.exists(f"{path}/CURRENT"):
+        if entry.primary_key and not Store(self.spark, path).exists():
             return Archive.create(self.spark, path, doc, list(entry.primary_key), descriptor, **options).snapshots().last_snapshot()
         return self.get(identifier).commit(doc, descriptor, **options)
 
@@ -142,30 +146,47 @@ class VolatileArchiveManager(ArchiveManager):
 
 
 class FileArchiveManager(ArchiveManager):
-    """A catalog in ``archives.json``, in any store that Spark reaches."""
+    """A catalog in files ``archives-N.json``, in any store that Spark reaches; the highest N counts. A change makes the next file, which only one writer can, so no change is lost."""
 
     def __init__(self, spark: SparkSession, basedir: str, create: bool = False):
         super().__init__(spark, basedir)
         if create:
             self.files.delete(self.basedir)
-        if not self.files.exists(self._file):
-            self.files.write(self._file, "[]")
+        if not self._numbers():
+            self.files.create(self._file(0), "[]")
+
+    def _file(self, number: int) -> str:
+        return f"{self.basedir}/archives-{number:06d}.json"
 
-    @property
-    def _file(self) -> str:
-        return f"{self.basedir}/archives.json"
+    def _numbers(self) -> list[int]:
+        return sorted(int(m[1]) for n in self.files.names(self.basedir) if (m := re.fullmatch(r"archives-(\d+)\.json", n)))
 
     def _load(self):
-        return {d.identifier: d for d in map(ArchiveDescriptor.from_dict, json.loads(self.files.read(self._file)))}
+        return self._at(self._numbers()[-1])
 
-    def _save(self, entries):
-        self.files.write(self._file, json.dumps([d.to_dict() for d in entries.values()], indent=1))
+    def _at(self, number):
+        return {d.identifier: d for d in map(ArchiveDescriptor.from_dict, json.loads(self.files.read(self._file(number))))}
+
+    def _changed(self, change) -> None:
+        for _ in range(100):
+            numbers = self._numbers()
+            entries = change(self._at(numbers[-1]))
+            if self.files.create(self._file(numbers[-1] + 1), json.dumps([d.to_dict() for d in entries.values()], indent=1)):
+                for old in numbers[:-KEPT]:
+                    self.files.delete(self._file(old))
+                return
+        raise RuntimeError("the catalog is changed by others all the time")
 
     def _put(self, descriptor):
-        self._save(self._load() | {descriptor.identifier: descriptor})
+        def change(entries):
+            if any(d.name == descriptor.name and d.identifier != descriptor.identifier for d in entries.values()):
+                raise ValueError(f"an archive named {descriptor.name} exists already")
+            return entries | {descriptor.identifier: descriptor}
+
+        self._changed(change)
 
     def _drop(self, identifier):
-        self._save({k: d for k, d in self._load().items() if k != identifier})
+        self._changed(lambda entries: {k: d for k, d in entries.items() if k != identifier})
 
 
 class DatabaseArchiveManager(ArchiveManager):

@@ -92,8 +92,8 @@ def _run(args, spark: SparkSession) -> None:
             print("\t".join([d.name, d.identifier, d.created_at, ",".join(d.primary_key or ()), d.description]))
     elif args.command == "commit":
         descriptor = SnapshotDescriptor(args.description, as_time(args.valid_time) if args.valid_time else None, json.loads(args.action) if args.action else None)
-        doc = from_csv(spark, args.input, delim=args.delimiter, quotechar=args.quotechar, infer=True)
-        print(f"committed version {catalog.commit(_find(catalog, args.name), doc, descriptor, renamed=_renames(args.rename)).version}")
+        how = {"delim": args.delimiter, "quotechar": args.quotechar, "infer": True}
+        print(f"committed version {catalog.commit(_find(catalog, args.name), args.input, descriptor, renamed=_renames(args.rename), **how).version}")
     elif args.command == "checkout":
         doc = catalog.get(_find(catalog, args.name)).document(args.version)
         if args.single:

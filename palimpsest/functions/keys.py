@@ -13,11 +13,19 @@ KEY_TYPE = T.ArrayType(
 
 
 def key_part(column: Column, kind: T.DataType) -> Column:
-    """One key column as a struct whose comparison is the order of keys. ``whole`` keeps integers beyond 2**53 apart."""
+    """One key column as a struct whose comparison is the order of keys. ``whole`` keeps integers beyond 2**53 apart, ``str`` decimals that a double can't hold; instants are whole microseconds, whatever the session's time zone."""
     num, whole, text = F.lit(0.0), F.lit(0).cast("bigint"), F.lit("")
     if isinstance(kind, T.IntegralType):
         rank, num, whole = NUMBER, column.cast("double"), column.cast("bigint")
-    elif isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+    elif isinstance(kind, T.DecimalType):
+        rank, num = NUMBER, column.cast("double")
+        integral = (column == F.floor(column)) & (F.abs(num) < 9e18)
+        whole = F.when(integral, column.try_cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        exact = F.coalesce(num.try_cast(kind) == column, F.lit(False))
+        text = F.when(integral | exact, "").otherwise(F.regexp_replace(column.cast("string"), r"(\.\d*?)0+$", "$1"))
+    elif isinstance(kind, T.TimestampType):
+        rank, whole = TIME, F.unix_micros(column)
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
         rank, num = NUMBER, column.cast("double")
         whole = F.when((num == F.floor(num)) & (F.abs(num) < 9e18), num.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
         column = F.when(F.isnan(num), F.lit(None)).otherwise(num)
@@ -25,7 +33,7 @@ def key_part(column: Column, kind: T.DataType) -> Column:
         rank, text = STRING, column
     elif isinstance(kind, T.BooleanType):
         rank, text = BOOLEAN, column.cast("string")
-    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+    elif isinstance(kind, (T.DateType, T.TimestampNTZType)):
         rank, text = TIME, column.cast("string")
     elif isinstance(kind, T.NullType):
         rank = NULL

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.functions.cells import cell_name, stored
+from palimpsest.functions.cells import cell_name, family, stored
 from palimpsest.functions.columns import ArchiveSchema, Column, primary_key_ids
 from palimpsest.functions.keys import key_of, python_order
 from palimpsest.operators.dataset import Transform, action_text, as_operator
@@ -108,10 +109,48 @@ class Archive:
 
     # writing
 
+    def known_kinds(self) -> dict[str, str]:
+        """Name and type of the columns of the last version."""
+        last = self.snapshots().last_snapshot()
+        if last is None:
+            return {}
+        kinds = self.schema().kinds_at(last.version)
+        return {str(c): kinds[c.colid] for c in self.schema().at_version(last.version)}
+
+    def _document(self, doc, options: dict) -> Document:
+        """The document of a commit. Types that are inferred from a file are those of the archive wherever all values have them; a key column keeps its type."""
+        guessed = isinstance(doc, (str, os.PathLike)) and options.get("infer")
+        known = self.known_kinds() if guessed else {}
+        document = to_document(self.spark, doc, **({"kinds": known} if known else {}) | options)
+        if guessed and self.primary_key:
+            columns = {c.colid: str(c) for c in self.schema().at_version(self.snapshots().last_snapshot().version)} if known else {}
+            for name in (columns[c] for c in self.primary_key if c in columns):
+                kind = dict(zip(map(str, document.columns), document.kinds)).get(name)
+                if kind is not None and family(kind) != family(known[name]):
+                    raise ValueError(f"the values of key column {name} are not all {known[name]}, as they were until now; without infer they are text")
+        return document
+
     def commit(self, doc, descriptor: SnapshotDescriptor | None = None, renamed: dict[str, str] | None = None, validate: bool = False, **options) -> Snapshot:
         """Merge a document as the next version. ``renamed`` says which old name a new one stands for; ``validate`` asks that a keyed document comes in key order. A failure leaves the archive as it was."""
+        return self._merged(self._document(doc, options), descriptor, renamed, validate)
+
+    def upsert(self, doc, descriptor: SnapshotDescriptor | None = None, **options) -> Snapshot:
+        """Make a version from the last one and a few rows: those take the place of the rows of equal key, or come after all others; without a key all are new. Other rows are neither moved nor written."""
+        if self.is_empty():
+            return self.commit(doc, descriptor, **options)
+        document = self._document(doc, options)
+        last = self.snapshots().last_snapshot().version
+        given = [c.name if isinstance(c, Column) else str(c) for c in document.columns]
+        columns, kinds = self.schema().at_version(last), self.schema().kinds_at(last)
+        lacking = [c for c in columns if str(c) not in given]
+        order = [*[(c, f"v_{given.index(str(c))}") for c in columns if str(c) in given], *[(c, None) for c in lacking], *[(c, f"v_{i}") for i, c in enumerate(given) if c not in {str(x) for x in columns}]]
+        order.sort(key=lambda x: columns.index(x[0]) if x[0] in columns else len(columns))
+        values = [(F.col(v) if v else F.lit(None).cast(kinds[c.colid])).alias(f"v_{i}") for i, (c, v) in enumerate(order)]
+        rest = [c for c in document.df.columns if not c.startswith("v_") and (c != "__idx" or self.primary_key)]
+        return self._merged(Document(document.df.select(*rest, *values), [c for c, _ in order], document.order), descriptor, partial=True)
+
+    def _merged(self, document: Document, descriptor: SnapshotDescriptor | None, renamed: dict[str, str] | None = None, validate: bool = False, partial: bool = False) -> Snapshot:
         m = self.store.manifest
-        document = to_document(self.spark, doc, **options)
         version = m.snapshots.next_version()
         m.snapshots.append(version, descriptor)  # fails here, before anything is written
         last = m.snapshots.last_snapshot()
@@ -122,10 +161,17 @@ class Archive:
         rows, cells = self._keyed(document, ids, data)
         if validate and m.primary_key:
             self._in_order(rows)
-        incoming = matched(self.store, rows, cells, bool(m.primary_key), data)
+        if partial and not m.primary_key:
+            rows = rows.withColumn("__key", F.lit(None).cast(rows.schema["__key"].dataType))
+        incoming = matched(self.store, rows, cells, bool(m.primary_key), data, few=partial)
         incoming.kinds = dict(zip(ids, document.kinds))
-        self.store.publish(advance(self.store, data, schema, incoming, descriptor))
-        for part in ("document", "matched", "new", "unnamed"):  # steps of the commit that no table reads any more
+        if partial:  # rows that are there keep their place
+            places = self.store.living("positions")
+            top = places.agg(F.max("pos")).first()[0]
+            after = incoming.rows.select("rowid", "__pos").join(places.select("rowid"), "rowid", "left_anti").withColumnRenamed("__pos", "__at")
+            incoming.placed, _ = ranked(after, [F.col("__at")], f"{self.store.path}/{data}/placed", "__pos", 0 if top is None else top + 1)
+        self.store.publish(advance(self.store, data, schema, incoming, descriptor, partial))
+        for part in ("document", "matched", "new", "unnamed", "placed"):  # steps of the commit that no table reads any more
             self.store.files.delete(f"{self.store.path}/{data}/{part}")
         return self.snapshots().last_snapshot()
 
@@ -210,15 +256,16 @@ class Archive:
         self._existing(version)
         m = self.store.manifest
         data = self.store.new_data()
-        paths = dict(m.paths)
+        paths, counts = dict(m.paths), {}
         for table in ("segments", "positions"):
-            states = write_states(self.store, read.truncated(self.store, table, version), f"{data}/{table}")
-            for s in ("open", "closed"):
+            states, n = write_states(self.store, read.truncated(self.store, table, version), f"{data}/{table}")
+            for s in ("open", "ended", "closed"):
                 paths[f"{table}_{s}"] = (states[s],) if s in states else ()
+            counts |= {f"{table}_open": n["open"], f"{table}_ended": 0}
         living = read.whole(self.store, "segments").where(F.col("from_version") <= version).select("rowid").distinct()
         self.store.read("keys").join(living, "rowid", "left_semi").write.parquet(f"{self.store.path}/{data}/keys")
         paths["keys"] = (f"{data}/keys",)
-        self.store.publish(Manifest(m.schema.rollback(version), m.snapshots.rollback(version), m.primary_key, m.row_counter, m.next_key, paths, m.cells))
+        self.store.publish(Manifest(m.schema.rollback(version), m.snapshots.rollback(version), m.primary_key, m.row_counter, m.next_key, paths, m.cells, counts))
 
     # reading
 

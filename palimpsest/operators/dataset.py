@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from palimpsest.snapshots import SnapshotDescriptor
 
@@ -61,16 +62,17 @@ class RowFunction(DatasetOperator):
     def transform(self, df: DataFrame) -> DataFrame:
         names = [c for c in df.columns if c not in ("__rowid", "__pos")]
         out = T.StructType.fromDDL("__rowid bigint, __pos bigint, " + ", ".join(f"`{c}` {k}" for c, k in zip(self.columns, self.kinds)))
-        function, width = self.function, len(self.columns)
+        function, kinds = self.function, to_arrow_schema(out)
 
-        def apply(frames):
-            for frame in frames:
-                ids, places = frame["__rowid"].tolist(), frame["__pos"].tolist()
-                rows = zip(*[frame[n].astype(object).where(frame[n].notna(), None).tolist() for n in names]) if names else ([] for _ in ids)
+        def apply(batches):
+            for batch in batches:
+                # lists of Python values: a null beside a whole number leaves it whole
+                ids, places, *lists = (column.to_pylist() for column in batch.columns)
+                rows = zip(*lists) if lists else ([] for _ in ids)
                 kept = [(i, p, *new) for i, p, row in zip(ids, places, rows) if (new := function(i, list(row))) is not None]
-                yield pd.DataFrame(kept, columns=out.fieldNames()[: 2 + width])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in kept], field.type) for k, field in enumerate(kinds)], schema=kinds)
 
-        return df.select("__rowid", "__pos", *names).mapInPandas(apply, out)
+        return df.select("__rowid", "__pos", *names).mapInArrow(apply, out)
 
 
 def as_operator(op) -> DatasetOperator:

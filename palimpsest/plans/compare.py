@@ -6,8 +6,6 @@ one of them are joined (all of them if the two versions have other columns).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +84,3 @@ def described_schema(changes: list[dict]) -> dict[str, int]:
         "inserted": sum(c["op"] == "INSERT" for c in changes), "deleted": sum(c["op"] == "DELETE" for c in changes),
         "moved": sum(c["new_pos"] is not None for c in update), "renamed": sum(c["new_name"] is not None for c in update),
     }
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.union, frames)

@@ -1,7 +1,7 @@
 """Merging a snapshot into an archive: the keyed full outer join and the tables it leaves.
 
-A row's open segment goes on while its cells stay equal; else it is closed at
-the version before and a new one begins. Keys match null to null and by
+A row's open segment goes on while its cells stay equal; else it ends with the
+version before and a new one begins. Only what begins and ends is written. Keys match null to null and by
 occurrence: the k-th row with a key is the k-th row that ever had it, dead or
 alive, so a row that comes back has its old identity.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.cells import cell_name, family, same_cell
@@ -18,9 +18,7 @@ from palimpsest.functions.columns import ArchiveSchema
 from palimpsest.functions.keys import NUMBER, number_key
 from palimpsest.plans.ranks import ranked
 from palimpsest.snapshots import SnapshotDescriptor
-from palimpsest.store import Manifest, Store
-
-OPEN = 2**31 - 1
+from palimpsest.store import ENDED_MOST, ENDED_SHARE, OPEN, Manifest, Store
 
 
 @dataclass
@@ -32,10 +30,15 @@ class Incoming:
     keys: DataFrame | None = None
     new_rows: int = 0
     next_key: int = 0
+    placed: DataFrame | None = None  # the rows whose ``__pos`` counts, where that isn't all
+
 
+#: Folders of open segments beyond which they are put into one again.
+FOLDERS = 64
 
-def matched(store: Store, doc: DataFrame, cells: list[str], keyed: bool, data: str) -> Incoming:
-    """Give each row of ``doc`` (``__key``, null for a row that is new whatever it holds, ``__pos``, cells) the identity it has in the archive, or a new one in key order."""
+
+def matched(store: Store, doc: DataFrame, cells: list[str], keyed: bool, data: str, few: bool = False) -> Incoming:
+    """Give each row of ``doc`` (``__key``, null for a row that is new whatever it holds, ``__pos``, cells) the identity it has in the archive, or a new one in key order. ``few`` rows are looked up in the keys without moving these, if the planner finds them small."""
     m = store.manifest
     known = bool(m.paths["keys"])
     occ = F.row_number().over(Window.partitionBy("__key").orderBy("__pos"))
@@ -43,7 +46,12 @@ def matched(store: Store, doc: DataFrame, cells: list[str], keyed: bool, data: s
     rows = given.withColumn("__occ", occ)
     if known:
         keys = store.read("keys").select("rowid", F.col("key").alias("__k"), F.col("occ").alias("__o"))
-        rows = rows.join(keys, (F.col("__key") == F.col("__k")) & (F.col("__occ") == F.col("__o")), "left").drop("__k", "__o")
+        same = (F.col("__key") == F.col("__k")) & (F.col("__occ") == F.col("__o"))
+        if few:  # in an inner join the small side can be sent to the large one
+            found = keys.join(rows.select("__key", "__occ"), same).select("rowid", F.col("__k"), F.col("__o"))
+            rows = rows.join(found, same, "left").drop("__k", "__o")
+        else:
+            rows = rows.join(keys, same, "left").drop("__k", "__o")
         rows.write.parquet(f"{store.path}/{data}/matched")
         rows = store.spark.read.schema(rows.schema).parquet(f"{store.path}/{data}/matched")
         old = rows.where("rowid is not null").select("rowid", "__pos", *cells)
@@ -67,69 +75,72 @@ def matched(store: Store, doc: DataFrame, cells: list[str], keyed: bool, data: s
     return Incoming(out if old is None else old.union(out), {}, keys, n, next_key)
 
 
-def _segments(store: Store, version: int, incoming: Incoming, cells: dict[str, str]) -> DataFrame:
-    """Old open segments and the new rows, each as it goes on: rows of ``state`` open or closed."""
-    own = [cell_name(c, k) for c, k in incoming.kinds.items()]
-    rows = incoming.rows.select(F.col("rowid").alias("n_rowid"), *[F.col(c).alias(f"n_{c}") for c in own])
+def _changes(store: Store, table: str, version: int, incoming: DataFrame, kept: dict[str, str], same: Column, manifest: Manifest, partial: bool) -> DataFrame:
+    """What begins and what ends of a table, by ``state``: ``incoming`` has ``n_rowid`` and the ``kept`` columns with the prefix ``n_``."""
 
-    def struct(state: str, prefix: str, first: Column, last: int) -> Column:
-        values = [(F.col(prefix + c) if prefix == "o_" or c in own else F.lit(None).cast(k)).alias(c) for c, k in cells.items()]
-        rowid = F.coalesce("o_rowid", "n_rowid") if "o_" in prefix else F.col("n_rowid")
-        return F.struct(F.lit(state).alias("state"), rowid.alias("rowid"), first.cast("int").alias("from_version"), F.lit(last).alias("to_version"), *values)
+    def struct(state: str, rowid: str, first: Column, last: int, prefix: str | None) -> Column:
+        values = [(F.col(prefix + c) if prefix and prefix + c in incoming.columns else F.lit(None).cast(k)).alias(c) for c, k in kept.items()]
+        return F.struct(F.lit(state).alias("state"), F.col(rowid).alias("rowid"), first.cast("int").alias("from_version"), F.lit(last).alias("to_version"), *values)
 
-    if not store.manifest.paths["segments_open"]:
-        return rows.select(struct("open", "n_", F.lit(version), OPEN).alias("s")).select("s.*")
-    before = store.read("segments_open", store.replaced(cells=cells))
-    old = before.select(F.col("rowid").alias("o_rowid"), F.col("from_version").alias("o_from"), *[F.col(c).alias(f"o_{c}") for c in cells])
-    same = F.lit(True)
-    for colid, kind in incoming.kinds.items():
-        same = same & same_cell(colid, kind, cells, "o_", "n_")
-    begun, closed = struct("open", "n_", F.lit(version), OPEN), struct("closed", "o_", F.col("o_from"), version - 1)
-    what = (
-        F.when(F.col("n_rowid").isNull(), F.array(closed)).when(F.col("o_rowid").isNull(), F.array(begun))
-        .when(same, F.array(struct("open", "o_", F.col("o_from"), OPEN))).otherwise(F.array(closed, begun))
-    )
-    joined = old.join(rows, F.col("o_rowid") == F.col("n_rowid"), "full_outer")
+    begun = struct("open", "n_rowid", F.lit(version), OPEN, "n_")
+    if not manifest.paths[f"{table}_open"]:
+        return incoming.select(begun.alias("s")).select("s.*")
+    old = store.living(table, manifest).select(F.col("rowid").alias("o_rowid"), F.col("from_version").alias("o_from"), *[F.col(c).alias(f"o_{c}") for c in kept])
+    ended = struct("ended", "o_rowid", F.col("o_from"), version - 1, None)
+    what = F.when(F.col("n_rowid").isNull(), F.array(ended)).when(F.col("o_rowid").isNull(), F.array(begun)).when(same, F.slice(F.array(begun), 1, 0)).otherwise(F.array(ended, begun))
+    # a part of the rows leaves all others as they are
+    joined = old.join(incoming, F.col("o_rowid") == F.col("n_rowid"), "right" if partial else "full_outer")
     return joined.select(F.explode(what).alias("s")).select("s.*")
 
 
-def _positions(store: Store, version: int, incoming: Incoming) -> DataFrame:
-    rows = incoming.rows.select(F.col("rowid").alias("n_rowid"), F.col("__pos").cast("bigint").alias("n_pos"))
+def write_states(store: Store, df: DataFrame, path: str) -> tuple[dict[str, str], dict[str, int]]:
+    """Write rows by ``state``; the folders that came to be, and the number of rows in each."""
+    seen = Observation()
+    states = ("open", "ended", "closed")
+    df.observe(seen, *[F.count_if(F.col("state") == s).alias(s) for s in states]).write.partitionBy("state").parquet(f"{store.path}/{path}")
+    counts = seen.get
+    return {s: f"{path}/state={s}" for s in states if counts[s]}, counts
 
-    def struct(state: str, rowid: str, pos: str, first: Column, last: int) -> Column:
-        return F.struct(F.lit(state).alias("state"), F.col(rowid).alias("rowid"), F.col(pos).alias("pos"), first.cast("int").alias("from_version"), F.lit(last).alias("to_version"))
 
-    begun = struct("open", "n_rowid", "n_pos", F.lit(version), OPEN)
-    if not store.manifest.paths["positions_open"]:
-        return rows.select(begun.alias("s")).select("s.*")
-    old = store.read("positions_open").select(F.col("rowid").alias("o_rowid"), F.col("pos").alias("o_pos"), F.col("from_version").alias("o_from"))
-    closed = struct("closed", "o_rowid", "o_pos", F.col("o_from"), version - 1)
-    what = (
-        F.when(F.col("n_rowid").isNull(), F.array(closed)).when(F.col("o_rowid").isNull(), F.array(begun))
-        .when(F.col("o_pos") == F.col("n_pos"), F.array(struct("open", "o_rowid", "o_pos", F.col("o_from"), OPEN))).otherwise(F.array(closed, begun))
-    )
-    return old.join(rows, F.col("o_rowid") == F.col("n_rowid"), "full_outer").select(F.explode(what).alias("s")).select("s.*")
+def _settled(store: Store, table: str, manifest: Manifest, path: str) -> tuple[dict[str, tuple[str, ...]], dict[str, int]]:
+    """Paths and counts of a table whose open segments are in one folder again, the closed ones of since the last time in another."""
+    rows = store.spans(table, manifest.only_open(table)).withColumn("state", F.when(F.col("to_version") == OPEN, "open").otherwise("closed"))
+    states, counts = write_states(store, rows, path)
+    paths = {f"{table}_open": (states["open"],) if "open" in states else (), f"{table}_ended": ()}
+    if "closed" in states:
+        paths[f"{table}_closed"] = (*manifest.paths[f"{table}_closed"], states["closed"])
+    return paths, {f"{table}_open": counts["open"], f"{table}_ended": 0}
 
 
-def write_states(store: Store, df: DataFrame, path: str) -> dict[str, str]:
-    """Write rows by ``state``; the folders that came to be."""
-    df.write.partitionBy("state").parquet(f"{store.path}/{path}")
-    return {s: f"{path}/state={s}" for s in ("open", "closed") if store.files.exists(f"{store.path}/{path}/state={s}")}
-
-
-def advance(store: Store, data: str, schema: ArchiveSchema, incoming: Incoming, descriptor: SnapshotDescriptor | None) -> Manifest:
-    """Write the next version's tables; the manifest that will publish them."""
+def advance(store: Store, data: str, schema: ArchiveSchema, incoming: Incoming, descriptor: SnapshotDescriptor | None, partial: bool = False) -> Manifest:
+    """Write what changes with the next version; the manifest that will publish it. With ``partial`` the rows that aren't among the incoming ones stay."""
     m = store.manifest
     version = m.snapshots.next_version()
     snapshots = m.snapshots.append(version, descriptor)
     cells = m.cells | {cell_name(c, k): family(k)[1] for c, k in incoming.kinds.items()}
-    parts = {"segments": write_states(store, _segments(store, version, incoming, cells), f"{data}/segments"), "positions": write_states(store, _positions(store, version, incoming), f"{data}/positions")}
-    paths = dict(m.paths)
-    for table, states in parts.items():
-        paths[f"{table}_open"] = (states["open"],) if "open" in states else ()
-        if "closed" in states:
-            paths[f"{table}_closed"] = (*paths[f"{table}_closed"], states["closed"])
+    widened = store.replaced(cells=cells)
+    own = [cell_name(c, k) for c, k in incoming.kinds.items()]
+    same = F.lit(True)
+    for colid, kind in incoming.kinds.items():
+        same = same & same_cell(colid, kind, cells, "o_", "n_")
+    rows = incoming.rows.select(F.col("rowid").alias("n_rowid"), *[F.col(c).alias(f"n_{c}") for c in own])
+    placed = incoming.rows if incoming.placed is None else incoming.placed
+    places = placed.select(F.col("rowid").alias("n_rowid"), F.col("__pos").cast("bigint").alias("n_pos"))
+    changes = {"segments": _changes(store, "segments", version, rows, cells, same, widened, partial), "positions": _changes(store, "positions", version, places, {"pos": "bigint"}, F.col("o_pos") == F.col("n_pos"), widened, partial)}
+    paths, counts = dict(m.paths), dict(m.counts)
+    for table, df in changes.items():
+        states, n = write_states(store, df, f"{data}/{table}")
+        for state in ("open", "ended"):
+            part = f"{table}_{state}"
+            paths[part] = (*paths[part], *((states[state],) if state in states else ()))
+            counts[part] = counts.get(part, 0) + n[state]
+    after = Manifest(schema, snapshots, m.primary_key, m.row_counter + incoming.new_rows, max(m.next_key, incoming.next_key), paths, cells, counts)
+    for table in changes:
+        if counts[f"{table}_ended"] > min(ENDED_MOST, ENDED_SHARE * counts[f"{table}_open"]) or len(paths[f"{table}_open"]) > FOLDERS:
+            new_paths, new_counts = _settled(store, table, after, f"{data}/{table}-settled")
+            paths.update(new_paths)
+            counts.update(new_counts)
     if incoming.keys is not None and incoming.new_rows:
         incoming.keys.write.parquet(f"{store.path}/{data}/keys")
         paths["keys"] = (*paths["keys"], f"{data}/keys")
-    return Manifest(schema, snapshots, m.primary_key, m.row_counter + incoming.new_rows, max(m.next_key, incoming.next_key), paths, cells)
+    return after

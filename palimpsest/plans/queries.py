@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators.archive import Archive
 from palimpsest.operators.dataset import Expressions, RowFunction
+from palimpsest.plans.ranks import ranked
 from palimpsest.snapshots import SnapshotDescriptor
 from palimpsest.sources.documents import from_csv, from_json, from_spark
 from palimpsest.sources.sinks import write_csv, write_json
@@ -167,10 +168,9 @@ def positions_v2(spark, sf_dir):
 
 @query(f"""{_WITH} SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderkey) AS nth FROM v1""")
 def open_key_order(spark, sf_dir):
+    """Rows numbered in the order in which ``open`` gives them."""
     rows = _orders(spark, sf_dir).open(1)
-    from palimpsest.plans.ranks import ranked
-
-    numbered, _ = ranked(rows.select("o_orderkey"), [F.col("o_orderkey")], f"{_fresh(spark)}", "nth", 1)
+    numbered, _ = ranked(rows.select("o_orderkey"), [], _fresh(spark), "nth", 1)
     return numbered
 
 
@@ -287,28 +287,46 @@ def null_keys(spark, sf_dir):
 
 @query("""SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderpriority, o_orderstatus, o_orderkey) - 1 AS pos FROM orders""")
 def sorted_document(spark, sf_dir):
-    from palimpsest.plans.ranks import ranked
-
-    o = from_spark(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"))
-    rows, _ = ranked(o.df, [F.col("v_1"), F.col("v_2"), F.col("v_0")], _fresh(spark), "pos")
-    return rows.select(F.col("v_0").alias("o_orderkey"), "pos")
-
-
-_CUSTOMER = "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer"
+    """Rows numbered in the order in which a sorted document has them."""
+    doc = from_spark(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"))
+    rows, _ = ranked(doc.sorted(["o_orderpriority", "o_orderstatus", "o_orderkey"]).named(), [], _fresh(spark), "pos")
+    return rows.select("o_orderkey", "pos")
 
 
 def _customers(spark, sf_dir) -> Archive:
     return Archive.create(spark, None, _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), ["c_custkey"])
 
 
-@query(_CUSTOMER)
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, NULLIF(CAST(c_nationkey AS VARCHAR), '7') AS c_nationkey, c_mktsegment, c_custkey % 3 = 0 AS in_two_lines FROM customer""")
 def csv_roundtrip(spark, sf_dir):
-    """A version written as CSV and read again, all text."""
+    """A version written as compressed TSV and read again as a document: header, nulls, and values that go over two lines."""
+    path = f"{_fresh(spark)}.tsv"
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit("\n\"end\""))).otherwise(F.col("c_name")).alias("c_name"), F.nullif("c_nationkey", F.lit(7)).alias("c_nationkey"), "c_mktsegment")
+    write_csv(Archive.create(spark, None, rows, ["c_custkey"]).document(), path, none_as="\\N", gzip=True)
+    back = from_csv(spark, path, none_is="\\N").named()
+    return back.select("c_custkey", F.regexp_replace("c_name", "\n\"end\"$", "").alias("c_name"), "c_nationkey", "c_mktsegment", F.col("c_name").endswith("\n\"end\"").alias("in_two_lines"))
+
+
+@query("""SELECT c_custkey, c_name, ROW_NUMBER() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer""")
+def csv_positions(spark, sf_dir):
+    """A plain CSV file with skipped lines and a header, split over many tasks; rows have the order of the file."""
     path = f"{_fresh(spark)}.csv"
-    write_csv(_customers(spark, sf_dir).document(), path, none_as="\\N")
-    names = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
-    body = spark.read.options(header=True, nullValue="\\N").csv(path)
-    return body.select(*names)
+    rows = _table(spark, sf_dir, "customer").select(F.concat_ws(",", F.col("c_custkey").cast("string"), F.col("c_name")).alias("value"), F.col("c_custkey").alias("k"))
+    lead = spark.createDataFrame([("# made by the bank", -3), ("# two lines", -2), ("c_custkey,c_name", -1)], "value string, k long")
+    rows.union(lead).orderBy("k").select("value").write.text(path)
+    doc = from_csv(spark, path, skip_lines=2, infer=True)
+    return doc.df.select(F.col("v_0").alias("c_custkey"), F.col("v_1").alias("c_name"), F.col("__pos").alias("pos"))
+
+
+@query("""SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS code, c_acctbal AS balance, c_nationkey > 12 AS far FROM customer""")
+def json_typed(spark, sf_dir):
+    """A JSON document whose cells keep their types without being told: text of digits stays text."""
+    path = f"{_fresh(spark)}.json"
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("code"), F.col("c_acctbal").alias("balance"), (F.col("c_nationkey") > 12).alias("far"))
+    write_json(Archive.create(spark, None, rows, ["c_custkey"]).document(), path)
+    copy = from_json(spark, path)
+    copy.columns = [str(c) for c in copy.columns]
+    return Archive.create(spark, None, copy, ["c_custkey"]).checkout()
 
 
 @query("""SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_mktsegment FROM customer""")
@@ -366,6 +384,62 @@ def streamed_commits(spark, sf_dir):
     return a.checkout().groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
+@query(f"""{_WITH} SELECT COALESCE(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'INSERT' WHEN b.o_orderkey IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS op
+FROM v0 a FULL OUTER JOIN v1 b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus""")
+def decimal_keys(spark, sf_dir):
+    """Keys that a double can't tell apart."""
+    big = 9007199254740992
+    side = lambda v: _version(spark, sf_dir, v).select((F.col("o_orderkey") + F.lit(big)).cast("decimal(38,0)").alias("k"), "o_orderstatus")
+    a = Archive.create(spark, None, side(0), ["k"])
+    a.commit(side(1))
+    return a.diff(0, 1, positions=False).rows().select((F.col("key")[0]["whole"] - big).alias("o_orderkey"), "op")
+
+
+@query(f"""{_WITH} SELECT COALESCE(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'INSERT' WHEN b.o_orderkey IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS op
+FROM v0 a FULL OUTER JOIN v1 b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus""")
+def timestamp_keys(spark, sf_dir):
+    """Instants as keys, over an hour that a clock shows twice, committed from sessions in two zones."""
+    begin, zone = 1699156800, spark.conf.get("spark.sql.session.timeZone")
+    side = lambda v: _version(spark, sf_dir, v).select(F.timestamp_seconds(F.col("o_orderkey") + F.lit(begin)).alias("k"), "o_orderstatus")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        a = Archive.create(spark, None, side(0), ["k"])
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        a.commit(side(1))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    return a.diff(0, 1, positions=False).rows().select((F.col("key")[0]["whole"] / 1_000_000 - begin).cast("bigint").alias("o_orderkey"), "op")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey + 9007199254740992 END AS v FROM orders""")
+def row_function_nulls(spark, sf_dir):
+    """Whole numbers beside nulls stay whole in a Python row function."""
+    o = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey + 9007199254740991 END AS v")
+    a = Archive.create(spark, None, o, ["o_orderkey"])
+    a.apply(RowFunction(lambda rowid, r: [r[0], None if r[1] is None else r[1] + 1], ["o_orderkey", "v"], ["bigint", "bigint"]))
+    return a.checkout()
+
+
+@query("""SELECT o_orderkey, o_orderstatus, pos FROM (
+ SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 7 THEN 'U' ELSE o_orderstatus END AS o_orderstatus, ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders WHERE o_orderkey % 10 <> 0
+ UNION ALL SELECT o_orderkey, 'N', (SELECT COUNT(*) FROM orders WHERE o_orderkey % 10 <> 0) + ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1 FROM orders WHERE o_orderkey % 100 = 0)""")
+def upserted_rows(spark, sf_dir):
+    """A few rows merged into a version: those with a known key in their place, the others after all."""
+    o = _table(spark, sf_dir, "orders")
+    a = Archive.create(spark, None, o.where("o_orderkey % 10 <> 0").select("o_orderkey", "o_orderstatus"), ["o_orderkey"])
+    a.upsert(o.where("o_orderkey % 100 IN (0, 7)").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 100 = 0 THEN 'N' ELSE 'U' END AS o_orderstatus"))
+    return a.checkout(position=True).withColumnRenamed("__pos", "pos")
+
+
+@query("""SELECT * FROM (VALUES (1, 'UPDATE', NULL, NULL, 1, 2), (2, 'UPDATE', NULL, NULL, 2, 1), (3, 'UPDATE', 'o_totalprice', 'o_price', NULL, NULL), (4, 'DELETE', NULL, NULL, NULL, NULL), (5, 'INSERT', NULL, NULL, NULL, NULL))
+ AS t(colid, op, old_name, new_name, old_pos, new_pos) WHERE (SELECT COUNT(*) FROM orders) > 0""")
+def diff_schema_v1_v2(spark, sf_dir):
+    """What happened to the columns from version 1 to version 2."""
+    found = _orders(spark, sf_dir).diff(1, 2).schema()
+    names = ["colid", "op", "old_name", "new_name", "old_pos", "new_pos"]
+    return spark.createDataFrame([tuple(c[n] for n in names) for c in found], "colid int, op string, old_name string, new_name string, old_pos int, new_pos int")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of version 1 with what happened to them since version 0."""
     a = _orders(spark, sf_dir, 3)

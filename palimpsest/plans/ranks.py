@@ -23,9 +23,10 @@ def ranked(df: DataFrame, order: list[Column], path: str, name: str, start: int
     counts = sorted((r["p"], r["n"]) for r in back.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
     offsets, total = [], start
     for p, n in counts:
-        offsets += [F.lit(p), F.lit(total)]
+        offsets.append((p, total))
         total += n
     if not offsets:
         return back.withColumn(name, F.lit(None).cast("bigint")).drop("__mid"), 0
-    before = F.element_at(F.create_map(*[o.cast("bigint") for o in offsets]), part)
-    return back.withColumn(name, before + F.col("__mid").bitwiseAND(F.lit((1 << _BITS) - 1))).drop("__mid"), total - start
+    before = spark.createDataFrame(offsets, "__part long, __before long")  # one row a partition
+    placed = back.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return placed.withColumn(name, F.col("__before") + F.col("__mid").bitwiseAND(F.lit((1 << _BITS) - 1))).drop("__mid", "__part", "__before"), total - start

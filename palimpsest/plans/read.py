@@ -6,24 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.cells import as_text, value_at
-from palimpsest.plans.merge import OPEN
-from palimpsest.store import Store
-
-
-def alive(df: DataFrame, version: int) -> DataFrame:
-    return df.where((F.col("from_version") <= version) & (F.col("to_version") >= version))
-
-
-def table_at(store: Store, table: str, version: int) -> DataFrame:
-    """Segments or positions of one version."""
-    return alive(store.read(f"{table}_open"), version).unionByName(alive(store.read(f"{table}_closed"), version))
+from palimpsest.store import OPEN, Store
 
 
 def whole(store: Store, table: str) -> DataFrame:
     """All segments or positions; those that are open end with the last version."""
     last = store.manifest.snapshots.next_version() - 1
-    both = store.read(f"{table}_open").unionByName(store.read(f"{table}_closed"))
-    return both.withColumn("to_version", F.least("to_version", F.lit(last)))
+    return store.spans(table).withColumn("to_version", F.least("to_version", F.lit(last)))
 
 
 def rows_at(store: Store, version: int, positions: bool = True, keys: bool = False) -> tuple[DataFrame, list[str]]:
@@ -31,9 +20,9 @@ def rows_at(store: Store, version: int, positions: bool = True, keys: bool = Fal
     m = store.manifest
     columns, kinds = m.schema.at_version(version), m.schema.kinds_at(version)
     values = [value_at(c.colid, kinds[c.colid], m.cells).alias(f"v_{i}") for i, c in enumerate(columns)]
-    out = table_at(store, "segments", version).select("rowid", *values)
+    out = store.spans("segments", alive=version).select("rowid", *values)
     if positions:
-        out = out.join(table_at(store, "positions", version).select("rowid", "pos"), "rowid")
+        out = out.join(store.spans("positions", alive=version).select("rowid", "pos"), "rowid")
     if keys:
         out = out.join(store.read("keys").select("rowid", "key"), "rowid")
     return out, columns
@@ -99,6 +88,6 @@ def nested_rows(store: Store) -> DataFrame:
 
 def truncated(store: Store, table: str, version: int) -> DataFrame:
     """Segments or positions as they were when ``version`` was the last, with their ``state``."""
-    both = store.read(f"{table}_open").unionByName(store.read(f"{table}_closed")).where(F.col("from_version") <= version)
+    both = store.spans(table).where(F.col("from_version") <= version)
     stays = F.col("to_version") >= version
     return both.withColumn("state", F.when(stays, "open").otherwise("closed")).withColumn("to_version", F.when(stays, OPEN).otherwise(F.col("to_version")))

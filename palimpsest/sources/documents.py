@@ -18,7 +18,7 @@ from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column as SparkColumn
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,10 +189,22 @@ def from_pandas(spark: SparkSession, df: pd.DataFrame) -> Document:
     return from_rows(spark, columns, [(k, idx, [v[k] for v in values]) for k, idx in enumerate(df.index.tolist())])
 
 
-def _ordered_lines(lines: DataFrame) -> DataFrame:
-    """Lines with ``__pos`` in the order of the files."""
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return lines.sparkSession.createDataFrame(numbered, T.StructType([*lines.schema.fields, T.StructField("__pos", T.LongType())]))
+def _in_file_order(lines: DataFrame) -> DataFrame:
+    """Lines (``__file``, ``__start`` and ``__nth`` of each) with ``__pos`` in the order of the files, without those that are a file's first line and its ``__head``. Rows aren't moved: only some numbers a split of the files are."""
+    splits = lines.groupBy("__file", "__start").agg(F.min("__nth").alias("__first"), F.count("*").alias("__n"), F.min_by("__head", "__nth").alias("__headed"))
+    lost = ((F.col("__start") == 0) & F.col("__headed")).cast("int")
+    before = F.sum(F.col("__n") - lost).over(Window.orderBy("__file", "__start")) - F.col("__n") + lost  # one row a split
+    placed = lines.join(splits.select("__file", "__start", (F.col("__first") + lost).alias("__first"), before.alias("__before")), ["__file", "__start"])
+    return placed.where("__nth >= __first").withColumn("__pos", F.col("__before") + F.col("__nth") - F.col("__first")).drop("__file", "__start", "__nth", "__head", "__first", "__before")
+
+
+def _broken_lines(spark: SparkSession, path: str, quote: str, encoding: str) -> bool:
+    """Whether some quoted value of a CSV file goes over a line's end, for then the file can't be split."""
+    if not quote:
+        return False
+    lines = spark.read.options(sep="\x01", quote="", encoding=encoding).schema("line string").csv(path)
+    odd = F.pmod(F.length("line") - F.length(F.replace(F.col("line"), F.lit(quote), F.lit(""))), F.lit(2)) == 1
+    return lines.where(odd).limit(1).count() > 0
 
 
 def delimiter_of(path: str, delim: str | None = None) -> str:
@@ -203,16 +215,18 @@ def delimiter_of(path: str, delim: str | None = None) -> str:
 
 
 def from_csv(
-    spark: SparkSession, path: str, header: list | None = None, delim: str | None = None, quotechar: str = '"', encoding: str = "UTF-8", none_is: str | None = None, skip_lines: int = 0, compressed: bool | None = None, infer: bool = False
+    spark: SparkSession, path: str, header: list | None = None, delim: str | None = None, quotechar: str = '"', encoding: str = "UTF-8", none_is: str | None = None, skip_lines: int = 0, compressed: bool | None = None, infer: bool = False, kinds: dict[str, str] | None = None, multiline: bool | None = None
 ) -> Document:
-    """A CSV or TSV file, plain or gzip. The first line names the columns unless ``header`` does; values are strings unless ``infer``; ``none_is`` is the text of a null; missing cells of short rows are null. The row index is the position."""
-    options = {"sep": delimiter_of(path, delim), "quote": quotechar, "escape": quotechar, "encoding": encoding, "multiLine": True, "nullValue": "\x00none", "emptyValue": ""}
+    """A CSV or TSV file, plain or gzip. The first line names the columns unless ``header`` does, and is left out wherever a file of a folder begins with it; values are strings unless ``infer`` or ``kinds`` (types by name, for columns whose values all have them); ``none_is`` is the text of a null; missing cells of short rows are null. The row index is the position. Files are read in splits unless values go over lines (``multiline``; found out if it isn't said)."""
     if compressed and not path.endswith(".gz"):
         raise ValueError("Spark tells gzip files by their extension .gz")
+    multiline = _broken_lines(spark, path, quotechar, encoding) if multiline is None else multiline
+    options = {"sep": delimiter_of(path, delim), "quote": quotechar, "escape": quotechar, "encoding": encoding, "multiLine": multiline, "nullValue": "\x00none", "emptyValue": ""}
     raw = spark.read.options(**options).option("mode", "PERMISSIVE")
     first = None
     if header is None:
-        lines = spark.read.options(sep="\x01", quote="", encoding=encoding).csv(path).limit(skip_lines + 50).collect()  # a header may have line breaks in quotes
+        files = spark.read.text(path).inputFiles()  # of a folder the first one in order has it
+        lines = spark.read.options(sep="\x01", quote="", encoding=encoding).csv(min(files)).limit(skip_lines + 50).collect() if files else []  # a header may have line breaks in quotes
         first = next(islice(csv.reader((f"{r[0]}\n" for r in lines), delimiter=options["sep"], quotechar=quotechar), skip_lines, None), None)
         if first is None:
             return empty_document(spark, [])
@@ -220,8 +234,12 @@ def from_csv(
     width = len(header)
     schema = T.StructType([*[T.StructField(f"_c{i}", T.StringType()) for i in range(width)], T.StructField("__bad", T.StringType())])
     body = raw.option("header", False).option("columnNameOfCorruptRecord", "__bad").schema(schema).csv(path)
-    rows = _ordered_lines(body.select(*[f"_c{i}" for i in range(width)], F.col("__bad").isNotNull().alias("__short")))
-    lead = skip_lines + (first is not None)
+    head = F.lit(first is not None and not skip_lines)  # then the first line of each file
+    for i, name in enumerate(header if first is not None else ()):
+        head = head & F.coalesce(F.col(f"_c{i}") == F.lit(name), F.lit(name == ""))
+    place = [head.alias("__head"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__nth")]
+    rows = _in_file_order(body.select(*[f"_c{i}" for i in range(width)], F.col("__bad").isNotNull().alias("__short"), *place))
+    lead = skip_lines + (first is not None) if skip_lines else 0
     if lead:
         rows = rows.where(F.col("__pos") >= lead).withColumn("__pos", F.col("__pos") - lead)
     values = []
@@ -229,15 +247,21 @@ def from_csv(
         v = F.when(F.col("__short") & F.col(f"_c{i}").isNull(), None).otherwise(F.coalesce(f"_c{i}", F.lit("")))
         values.append((F.when(v == none_is, None).otherwise(v) if none_is is not None else v).alias(f"v_{i}"))
     out = rows.select("__pos", F.col("__pos").alias("__idx"), *values)
-    return Document(inferred(out, width) if infer else out, list(header))
+    given = [(kinds or {}).get(str(c)) for c in header]
+    return Document(inferred(out, width, given) if infer or any(given) else out, list(header))
+
 
+_GUESSES = ("bigint", "double", "boolean")
 
-def inferred(df: DataFrame, width: int) -> DataFrame:
-    """Text columns as bigint, double or boolean where every value that isn't empty is one."""
-    tests = {}
+
+def inferred(df: DataFrame, width: int, given: list[str | None] = ()) -> DataFrame:
+    """Text columns of the ``given`` type where every value that isn't empty has it, else as bigint, double or boolean where every one is."""
+    tests, given = {}, list(given) or [None] * width
     for i in range(width):
         v = F.nullif(F.col(f"v_{i}"), F.lit(""))
-        for kind in ("bigint", "double", "boolean"):
+        for kind in dict.fromkeys([given[i], *_GUESSES] if given[i] else _GUESSES):
+            if kind == "string":
+                continue
             ok = v.isNull() | v.try_cast(kind).isNotNull()
             if kind == "bigint":
                 ok = v.isNull() | v.rlike(r"^[+-]?\d{1,18}$")
@@ -245,20 +269,14 @@ def inferred(df: DataFrame, width: int) -> DataFrame:
     found = df.agg(*[c.alias(n) for n, c in tests.items()]).first() if tests else {}
     picks = {}
     for i in range(width):
-        kind = next((k for k in ("bigint", "double", "boolean") if found[f"{k}_{i}"]), None)
+        if given[i] == "string":
+            continue
+        kind = next((k for k in ([given[i], *_GUESSES] if given[i] else _GUESSES) if found[f"{k}_{i}"]), None)
         if kind:
             picks[f"v_{i}"] = F.nullif(F.col(f"v_{i}"), F.lit("")).cast(kind)
     return df.withColumns(picks) if picks else df
 
 
-def _json_value(value):
-    if isinstance(value, dict):
-        for tag, read in (("$datetime", datetime.fromisoformat), ("$date", date.fromisoformat), ("$time", time.fromisoformat)):
-            if tag in value:
-                return read(value[tag].replace("Z", "+00:00"))
-    return value
-
-
 def json_default(value):
     """Dates and times with their tags, and arrays, for JSON."""
     if isinstance(value, datetime):
@@ -275,39 +293,66 @@ def json_default(value):
 def from_json(spark: SparkSession, path: str, kinds: dict[str, str] | None = None) -> Document:
     """A JSON-lines document: a line with the list of columns, then lines [position, row index, [values]].
 
-    Types come from ``kinds`` (by name) or from a look at all values: of one
-    kind they are typed, else text. A missing file is an empty document.
+    Each cell has its JSON type: a column whose values are of one kind is typed
+    (whole numbers and fractions as double), one of several kinds, or of times of
+    day, is tagged text. ``kinds`` says types by name. A missing file is an empty
+    document.
     """
     try:
         lines = spark.read.text(path)
-        first = lines.where(~F.col("value").startswith("[[")).limit(1)
         head = [r["value"] for r in lines.limit(1).collect()]
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return empty_document(spark, [])
         raise
-    del first
     if not head:
         return empty_document(spark, [])
     columns = [Column(c["name"], c["id"], c.get("index")) if isinstance(c, dict) else c for c in json.loads(head[0])]
-    rows = lines.where((F.col("value") != head[0]) & (F.trim("value") != ""))
-    part = rows.select(F.from_json("value", "array<string>").alias("r"))
-    values = F.from_json(F.col("r")[2], "array<string>")
-    out = part.select(F.col("r")[0].cast("bigint").alias("__pos"), F.col("r")[1].alias("__idx"), *[F.get(values, F.lit(i)).alias(f"v_{i}") for i in range(len(columns))])
-    given = [(kinds or {}).get(str(c)) for c in columns]
-    stamps = {f"v_{i}": F.coalesce(F.get_json_object(f"v_{i}", "$['$datetime']"), F.get_json_object(f"v_{i}", "$['$date']"), F.get_json_object(f"v_{i}", "$['$time']"), F.col(f"v_{i}")) for i in range(len(columns))}
-    out = out.withColumns(stamps) if stamps else out
-    if any(given):
-        out = out.withColumns({f"v_{i}": F.col(f"v_{i}").cast(k) for i, k in enumerate(given) if k})
-    elif columns:
-        out = inferred(out, len(columns))
-    number = F.col("__idx").try_cast("bigint")
-    whole = out.agg(F.min(F.col("__idx").isNull() | number.isNotNull()).alias("n")).first()["n"]
-    if whole is None or whole:
-        out = out.withColumn("__idx", F.when(number >= 0, number))
+    rows = lines.where((F.col("value") != head[0]) & (F.trim("value") != "")).select(F.parse_json("value").alias("r"))
+    cells = [c.alias(f"v_{i}") for i in range(len(columns)) for c in [_json_cell(f"$[2][{i}]")]]
+    out = rows.select(F.variant_get("r", "$[0]", "bigint").alias("__pos"), _json_cell("$[1]").alias("__idx"), *cells)
+    names = ["__idx", *[f"v_{i}" for i in range(len(columns))]]
+    found = out.agg(*[F.sort_array(F.collect_set(f"{n}.t")).alias(n) for n in names]).first()  # a few kinds a column
+    given = {f"v_{i}": (kinds or {}).get(str(c)) for i, c in enumerate(columns)}
+    out = out.withColumns({n: _json_typed(n, set(found[n]), given.get(n)) for n in names})
+    kind = out.schema["__idx"].dataType
+    if isinstance(kind, (T.LongType, T.DoubleType)):
+        index = F.col("__idx").cast("bigint")
+        out = out.withColumn("__idx", F.when(index >= 0, index))
+    elif isinstance(kind, T.StructType):
+        out = out.withColumn("__idx", F.col("__idx.v"))
+    elif not found["__idx"]:
+        out = out.withColumn("__idx", F.lit(None).cast("bigint"))
     return Document(out, columns)
 
 
+def _json_cell(path: str) -> SparkColumn:
+    """A value of the parsed line ``r`` as its kind and its text."""
+    cell = F.variant_get("r", path, "variant")
+    shape = F.schema_of_variant(cell)
+    stamps = {tag: F.variant_get("r", f"{path}['${tag}']", "string") for tag in ("datetime", "date", "time")}
+    kind = F.when(shape.startswith("OBJECT"), F.coalesce(*[F.when(c.isNotNull(), tag) for tag, c in stamps.items()], F.lit("json")))
+    kind = kind.when(shape.startswith("ARRAY"), "json").when(shape == "BIGINT", "int").when(shape == "BOOLEAN", "bool").when(shape == "STRING", "str")
+    text = F.coalesce(*[F.when(shape.startswith("OBJECT"), c) for c in stamps.values()], F.variant_get("r", path, "string"))
+    return F.when(cell.isNotNull() & (shape != "VOID"), F.struct(kind.otherwise("float").alias("t"), text.alias("v")))
+
+
+_JSON_KINDS = {"int": "bigint", "float": "double", "bool": "boolean", "str": "string", "datetime": "timestamp_ntz", "date": "date"}
+
+
+def _json_typed(name: str, found: set[str], kind: str | None) -> SparkColumn:
+    """The cells of a column as values of one type where they have one."""
+    text = F.col(f"{name}.v")
+    if kind:
+        return text.cast(kind)
+    if found == {"int", "float"}:
+        return text.cast("double")
+    if len(found) == 1 and (only := next(iter(found))) in _JSON_KINDS:
+        zoned = only == "datetime"  # a time with an offset is an instant
+        return F.coalesce(text.try_cast("timestamp_ntz"), text.cast("timestamp").cast("timestamp_ntz")) if zoned else text.cast(_JSON_KINDS[only])
+    return text if not found else F.col(name)
+
+
 def to_document(spark: SparkSession, doc, **options) -> Document:
     """Anything that a commit takes: a Document, a Spark or pandas DataFrame, or the path of a CSV, TSV or JSON-lines file."""
     if isinstance(doc, Document):

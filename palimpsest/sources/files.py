@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
 class Files:
-    """Reads, writes and swaps small files; tables themselves go through DataFrames."""
+    """Reads and makes small files; tables themselves go through DataFrames."""
 
     def __init__(self, spark: SparkSession):
         self._jvm = spark.sparkContext._jvm
+        self._gateway = spark.sparkContext._gateway
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
     def _at(self, path: str):
@@ -28,20 +33,32 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
-        """Write anew and move into place, so that readers see the old or the new text."""
+    def create(self, path: str, text: str) -> bool:
+        """Make a file that isn't there, whole or not at all; False if it is there. Of several writers one succeeds."""
         fs, p = self._at(path)
         fs.mkdirs(p.getParent())
-        _, draft = self._at(path + ".draft")
-        stream = fs.create(draft, True)
+        _, draft = self._at(f"{path}.{uuid.uuid4().hex}.draft")
+        stream = fs.create(draft, False)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if not fs.rename(draft, p):  # some stores don't rename onto a file
-            fs.delete(p, False)
-            if not fs.rename(draft, p):
-                raise OSError(f"cannot replace {path}")
+        try:
+            if fs.getScheme() == "file":  # a link isn't made over a file
+                os.link(draft.toUri().getPath(), p.toUri().getPath())
+            else:  # a rename that doesn't overwrite
+                options = self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self._conf).rename(draft, p, options)
+            return True
+        except FileExistsError:
+            return False
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in str(error.java_exception):
+                return False
+            raise
+        finally:
+            fs.delete(draft, False)
 
     def delete(self, path: str) -> None:
         fs, p = self._at(path)

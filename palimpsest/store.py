@@ -1,24 +1,32 @@
 """Where an archive lies: Parquet tables that are only ever added, and a manifest that names the current ones.
 
-    CURRENT                      name of the manifest that counts
-    manifest-N.json              snapshots, columns, key, counters, table paths
-    data/<commit>/segments/state=open|closed    rowid, from_version, to_version, cells
-    data/<commit>/positions/state=open|closed   rowid, pos, from_version, to_version
-    data/<commit>/keys                          rowid, key, occ
-
-A commit writes its tables under a folder of its own, then a manifest, and last
-swaps CURRENT, the one step that publishes it. A failed commit leaves files that
-no manifest names; ``vacuum`` deletes those and what no longer counts.
+    manifest-N.json              snapshots, columns, key, counters, table paths; the highest N counts
+    data/<commit>/segments/state=open|ended|closed    rowid, from_version, to_version, cells
+    data/<commit>/positions/state=open|ended|closed   rowid, pos, from_version, to_version
+    data/<commit>/keys                                rowid, key, occ
+
+A commit writes only what changes: the segments that begin (``open``), and for
+each that ends its row and versions (``ended``), which takes it out of the open
+ones of earlier commits. Readers broadcast the ended ones, so their number is
+bounded (``ENDED_MOST``, and ``ENDED_SHARE`` of the open ones): a commit that goes
+beyond it settles the table, open and ``closed`` segments in files of their own.
+
+A commit writes its tables under a folder of its own and last makes the next
+manifest, the one step that publishes it: a file that isn't there is made whole,
+by one writer only. A failed commit leaves files that no manifest names;
+``vacuum`` deletes those and what no longer counts.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.columns import ArchiveSchema
@@ -31,7 +39,12 @@ TABLES = {
     "positions": "rowid bigint, pos bigint, from_version int, to_version int",
     "keys": f"rowid bigint, key {KEY_TYPE.simpleString()}, occ int",
 }
-PARTS = ("segments_open", "segments_closed", "positions_open", "positions_closed", "keys")
+ENDED = "rowid bigint, from_version int, to_version int"
+PARTS = ("segments_open", "segments_ended", "segments_closed", "positions_open", "positions_ended", "positions_closed", "keys")
+OPEN = 2**31 - 1
+#: Ended segments that readers send to all tasks: 4 million rows of 16 bytes, and no more than a quarter of the open ones.
+ENDED_MOST, ENDED_SHARE = 4_000_000, 0.25
+KEPT_MANIFESTS = 8
 
 
 @dataclass(frozen=True)
@@ -43,25 +56,32 @@ class Manifest:
     next_key: int = 0  # above every row index that has been a key
     paths: dict[str, tuple[str, ...]] = field(default_factory=lambda: {p: () for p in PARTS})
     cells: dict[str, str] = field(default_factory=dict)  # physical cell columns and their types
+    counts: dict[str, int] = field(default_factory=dict)  # rows of the open and ended parts
 
     def to_json(self) -> str:
         return json.dumps({
             "schema": self.schema.to_json(), "snapshots": [s.to_json() for s in self.snapshots], "primary_key": self.primary_key,
-            "row_counter": self.row_counter, "next_key": self.next_key, "paths": self.paths, "cells": self.cells,
+            "row_counter": self.row_counter, "next_key": self.next_key, "paths": self.paths, "cells": self.cells, "counts": self.counts,
         }, indent=1)
 
+    def only_open(self, table: str) -> Manifest:
+        """The same without the closed segments of a table."""
+        return replace(self, paths=self.paths | {f"{table}_closed": ()})
+
     @classmethod
     def from_json(cls, text: str) -> Manifest:
         d = json.loads(text)
         return cls(
             ArchiveSchema.from_json(d["schema"]), SnapshotListing([Snapshot.from_json(s) for s in d["snapshots"]]), tuple(d["primary_key"]) if d["primary_key"] else None,
-            d["row_counter"], d["next_key"], {k: tuple(v) for k, v in d["paths"].items()}, d["cells"],
+            d["row_counter"], d["next_key"], {p: tuple(d["paths"].get(p, ())) for p in PARTS}, d["cells"], d.get("counts", {}),
         )
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share, for volatile archives; a temporary one only where the cluster names none."""
+    """The folder all executors share, for volatile archives; a temporary one only in a local session for which none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/") if found else tempfile.gettempdir()
 
 
@@ -77,13 +97,18 @@ class Store:
     def volatile(cls, spark: SparkSession) -> Store:
         return cls(spark, f"{scratch_dir(spark)}/archive-{uuid.uuid4().hex}")
 
+    def _numbers(self) -> list[int]:
+        return sorted(int(m[1]) for n in self.files.names(self.path) if (m := re.fullmatch(r"manifest-(\d+)\.json", n)))
+
     def load(self) -> Store:
-        name = self.files.read(f"{self.path}/CURRENT").strip()
-        self.manifest, self._number = Manifest.from_json(self.files.read(f"{self.path}/{name}")), int(name.split("-")[1].split(".")[0])
+        numbers = self._numbers()
+        if not numbers:
+            raise FileNotFoundError(f"there is no archive at {self.path}")
+        self.manifest, self._number = Manifest.from_json(self.files.read(f"{self.path}/manifest-{numbers[-1]:06d}.json")), numbers[-1]
         return self
 
     def exists(self) -> bool:
-        return self.files.exists(f"{self.path}/CURRENT")
+        return bool(self._numbers())
 
     def clear(self) -> None:
         self.files.delete(self.path)
@@ -94,21 +119,19 @@ class Store:
         return f"data/{self.manifest.snapshots.next_version():06d}-{uuid.uuid4().hex[:12]}"
 
     def publish(self, manifest: Manifest) -> None:
-        if self.exists():
-            current = self.files.read(f"{self.path}/CURRENT").strip()
-            if current != f"manifest-{self._number:06d}.json":
-                raise RuntimeError("the archive was changed by another writer; load it again")
-        name = f"manifest-{self._number + 1:06d}.json"
-        self.files.write(f"{self.path}/{name}", manifest.to_json())
-        self.files.write(f"{self.path}/CURRENT", name)
+        """Make the next manifest. Of two writers that began from the same one the second fails."""
+        last = self._numbers()[-1:]
+        if last and last[0] != self._number or not self.files.create(f"{self.path}/manifest-{self._number + 1:06d}.json", manifest.to_json()):
+            raise RuntimeError("the archive was changed by another writer; load it again")
         self.manifest, self._number = manifest, self._number + 1
 
     def read(self, part: str, manifest: Manifest | None = None) -> DataFrame:
         """One of ``PARTS``; a declared schema, so that nothing is inferred and old files lack new cells as nulls."""
         m = manifest or self.manifest
         table = part.split("_")[0]
-        schema = T.StructType.fromDDL(TABLES[table])
-        if table == "segments":
+        ended = part.endswith("_ended")
+        schema = T.StructType.fromDDL(ENDED if ended else TABLES[table])
+        if table == "segments" and not ended:
             for name, kind in m.cells.items():
                 schema.add(T.StructField(name, T.StructType.fromDDL(f"x {kind}")[0].dataType))
         paths = [f"{self.path}/{p}" for p in m.paths[part]]
@@ -116,17 +139,39 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
+    def spans(self, table: str, manifest: Manifest | None = None, alive: int | None = None) -> DataFrame:
+        """Segments or positions with the versions they held in, open ones to ``OPEN``; with ``alive`` those of one version. The filters reach the scans."""
+        m = manifest or self.manifest
+        rows, closed = self.read(f"{table}_open", m), self.read(f"{table}_closed", m)
+        if alive is not None:
+            rows = rows.where(F.col("from_version") <= alive)
+            closed = closed.where((F.col("from_version") <= alive) & (F.col("to_version") >= alive))
+        if m.paths[f"{table}_ended"]:
+            ended = F.broadcast(self.read(f"{table}_ended", m).withColumnsRenamed({"rowid": "__rowid", "from_version": "__from", "to_version": "__to"}))
+            names = rows.columns
+            rows = rows.join(ended, (F.col("rowid") == F.col("__rowid")) & (F.col("from_version") == F.col("__from")), "left")
+            rows = rows.where(F.col("__to").isNull() | (F.col("__to") >= alive)) if alive is not None else rows
+            rows = rows.withColumn("to_version", F.coalesce("__to", "to_version")).select(*names)
+        return rows.unionByName(closed) if m.paths[f"{table}_closed"] else rows
+
+    def living(self, table: str, manifest: Manifest | None = None) -> DataFrame:
+        """The segments or positions that are open now."""
+        m = manifest or self.manifest
+        rows = self.read(f"{table}_open", m)
+        if m.paths[f"{table}_ended"]:
+            ended = F.broadcast(self.read(f"{table}_ended", m).select(F.col("rowid").alias("__rowid"), F.col("from_version").alias("__from")))
+            rows = rows.join(ended, (F.col("rowid") == F.col("__rowid")) & (F.col("from_version") == F.col("__from")), "left_anti")
+        return rows
+
     def vacuum(self) -> list[str]:
         """Delete data folders and manifests that don't count any more; readers of older versions of the tables must be done."""
         used = {p.split("/")[1] for paths in self.manifest.paths.values() for p in paths}
         gone = [f"data/{n}" for n in self.files.names(f"{self.path}/data") if n not in used]
-        gone += [n for n in self.files.names(self.path) if n.startswith("manifest-") and n != f"manifest-{self._number:06d}.json"]
+        old = [f"manifest-{n:06d}.json" for n in self._numbers() if n <= self._number - KEPT_MANIFESTS]
+        gone += [n for n in self.files.names(self.path) if n in old or n.endswith(".draft")]
         for name in gone:
             self.files.delete(f"{self.path}/{name}")
         return gone
 
-    def with_paths(self, **new: tuple[str, ...]) -> dict[str, tuple[str, ...]]:
-        return self.manifest.paths | new
-
     def replaced(self, **fields) -> Manifest:
         return replace(self.manifest, **fields)

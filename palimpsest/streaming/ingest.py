@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from palimpsest.operators.archive import Archive
@@ -13,8 +12,8 @@ from palimpsest.snapshots import SnapshotDescriptor
 from palimpsest.store import Store
 
 
-def commit_batch(path: str, primary_key: list[str], append: bool = True) -> Callable[[DataFrame, int], None]:
-    """What ``foreachBatch`` takes. Each batch becomes a version: with ``append`` on top of the rows of the last one, whose rows of equal key it replaces, else in their place. A batch that was committed before is skipped, so a restart commits nothing twice."""
+def commit_batch(path: str, primary_key: list[str] | None, append: bool = True) -> Callable[[DataFrame, int], None]:
+    """What ``foreachBatch`` takes. Each batch becomes a version: with ``append`` on top of the rows of the last one, whose rows of equal key it replaces (without a key all its rows are new), else in their place. Only the rows of the batch are looked up and written. A batch that was committed before is skipped, so a restart commits nothing twice."""
 
     def commit(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -26,22 +25,17 @@ def commit_batch(path: str, primary_key: list[str], append: bool = True) -> Call
         archive = Archive(store.load())
         if any((s.action or {}).get("batch", -1) >= number for s in archive.snapshots()):
             return
-        rows = batch
-        if append:
-            last = archive.checkout()
-            same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in primary_key]
-            rows = last.alias("o").join(batch.select(*primary_key).alias("n"), same, "left_anti").unionByName(batch, allowMissingColumns=True)
-        archive.commit(rows, SnapshotDescriptor(f"batch {number}", action=tag))
+        (archive.upsert if append else archive.commit)(batch, SnapshotDescriptor(f"batch {number}", action=tag))
 
     return commit
 
 
-def ingest(source: DataFrame, path: str, primary_key: list[str], checkpoint: str, append: bool = True, **trigger) -> StreamingQuery:
+def ingest(source: DataFrame, path: str, primary_key: list[str] | None, checkpoint: str, append: bool = True, **trigger) -> StreamingQuery:
     """Start committing a stream; ``trigger`` as of ``writeStream.trigger``."""
     return source.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).foreachBatch(commit_batch(path, primary_key, append)).start()
 
 
-def ingest_once(source: DataFrame, path: str, primary_key: list[str], append: bool = True) -> Archive:
+def ingest_once(source: DataFrame, path: str, primary_key: list[str] | None, append: bool = True) -> Archive:
     """Commit all that the stream has by now, and return the archive."""
     ingest(source, path, primary_key, f"{path}-stream", append, availableNow=True).awaitTermination()
     return Archive.load(source.sparkSession, path)

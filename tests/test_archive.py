@@ -39,7 +39,7 @@ def test_commit_and_checkout(spark, tmp_path, key, persistent):
     if persistent:
         a = Archive.load(spark, path)
         left = {p.name for d in (tmp_path / "a" / "data").iterdir() for p in d.iterdir()}
-        assert left == {"segments", "positions", "keys"}
+        assert {"segments", "positions", "keys"} <= left <= {"segments", "positions", "keys", "segments-settled", "positions-settled"}
     for v, f in enumerate(FRAMES):
         got = values(a.checkout(v, order="position", row_id=True))
         assert [r[1:] for r in got] == f.values.tolist()
@@ -51,6 +51,119 @@ def test_commit_and_checkout(spark, tmp_path, key, persistent):
         assert [[r[0] for r in values(a.open(v))] for v in range(3)] == [[0, 1, 2, 3], [1, 4, 3, 5], [1, 4, 3, 6]]
 
 
+def bytes_of(path):
+    return sum(p.stat().st_size for p in path.rglob("*.parquet"))
+
+
+def test_a_small_commit_writes_little(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("id AS k", "sha2(CAST(id AS STRING), 256) AS v")
+    a = Archive.create(spark, str(tmp_path / "a"), rows, ["k"])
+    folders = lambda: {p.name: bytes_of(p) for p in (tmp_path / "a" / "data").iterdir()}
+    first = folders()
+    changed = rows.selectExpr("k", "CASE WHEN k % 2000 = 7 THEN 'new' ELSE v END AS v")
+    a.commit(changed.where("k <> 19999"))
+    a.upsert(spark.createDataFrame([(5, "five"), (70_000, "more")], "k long, v string"))
+    for name, size in folders().items():
+        assert name in first or size < 0.05 * sum(first.values())
+    expected = {r.k: r.v for r in changed.where("k <> 19999").collect()}
+    assert {r.k: r.v for r in a.checkout(1).collect()} == expected
+    assert {r.k: r.v for r in a.checkout(2).collect()} == expected | {5: "five", 70_000: "more"}
+    assert {r.k: r.v for r in a.checkout(0).collect()} == {r.k: r.v for r in rows.collect()}
+    assert a.diff(0, 1).describe()["rows"]["all_updated"] == 10 and a.diff(1, 2, positions=False).describe()["rows"]["inserted"] == 1
+    assert [r[0] for r in a.checkout(2, order="position").tail(1)] == [70_000]
+    a.rollback(1)
+    assert {r.k: r.v for r in a.checkout().collect()} == expected and a.lifetimes().where("to_version = 0").count() == 1
+
+
+def test_settling_changes_nothing(spark, monkeypatch):
+    from palimpsest.plans import merge
+
+    seen = []
+    for share in (0.0, 10.0):
+        monkeypatch.setattr(merge, "ENDED_SHARE", share)
+        a = Archive.create(spark, None, FRAMES[0], ["Name", "Age"])
+        for f in FRAMES[1:]:
+            a.commit(f)
+        a.upsert(frame([["Bob", 44], ["Zoe", 1]]))
+        seen.append([[values(a.checkout(v, order="position", row_id=True)) for v in range(6)], values(a.lifetimes().orderBy("rowid", "from_version")), values(a.diff(1, 4).rows().orderBy("rowid").select("rowid", "op", "old_pos", "new_pos"))])
+    assert seen[0] == seen[1] and seen[0][0][5][-1] == [8, "Zoe", 1]
+
+
+def test_of_two_writers_one_succeeds(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "a")
+    Archive.create(spark, path, FRAMES[0], ["Name", "Age"])
+    handles = [Archive.load(spark, path) for _ in range(4)]
+
+    def attempt(k):
+        try:
+            handles[k].commit(frame([["Alice", 32], [f"w{k}", k]]))
+            return k
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        won = [k for k in pool.map(attempt, range(4)) if k is not None]
+    last = Archive.load(spark, path)
+    assert len(won) == 1 and len(last.snapshots()) == 2 and [f"w{won[0]}", won[0]] in values(last.checkout())
+    assert all(last.store.files.create(f"{path}/x", "t") is wanted for wanted in (True, False))
+
+
+def test_upserts_without_a_key_append(spark):
+    a = Archive.create(spark, None, frame([["a", 1]]))
+    a.upsert(frame([["b", 2], ["c", 3]]))
+    a.upsert(spark.createDataFrame([("d", 4, True)], "Name string, Age long, More boolean"))
+    assert values(a.checkout(order="position", row_id=True)) == [[0, "a", 1, None], [1, "b", 2, None], [2, "c", 3, None], [3, "d", 4, True]]
+
+
+def test_exact_keys(spark):
+    from decimal import Decimal
+
+    near = [Decimal("9007199254740992"), Decimal("9007199254740993"), Decimal("0.1"), Decimal("0.1000000000000000000001"), Decimal("123456789012345678901234567.5")]
+    rows = lambda v: spark.createDataFrame([(str(d), v) for d in near], "s string, v int")
+    first, second = (rows(v).selectExpr("CAST(s AS decimal(38,0)) AS k", "v").where("k > 5") for v in (1, 2))
+    a = Archive.create(spark, None, first, ["k"])
+    a.commit(second)
+    assert a.keys().count() == 3 and a.diff(0, 1).describe()["rows"]["all_updated"] == 3
+    fine = rows(1).where("s < '0.2'").selectExpr("CAST(s AS decimal(38,30)) AS k", "v")
+    b = Archive.create(spark, None, fine, ["k"])
+    b.commit(spark.createDataFrame([(0.1, 5)], "k double, v int"))
+    assert b.keys().count() == 2 and b.diff(0, 1).describe()["rows"]["deleted"] == 1
+
+
+def test_instants_as_keys(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        rows = spark.range(2).selectExpr("timestamp_seconds(1699162200 + id * 3600) AS k", "id")  # half past one, twice
+        a = Archive.create(spark, None, rows, ["k"])
+        assert a.keys().count() == 2
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        a.commit(rows)
+        assert a.keys().count() == 2 and a.diff(0, 1).rows().count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_row_functions_keep_whole_numbers(spark):
+    big = 9007199254740993
+    a = Archive.create(spark, None, spark.createDataFrame([(1, big), (2, None)], "k long, v long"), ["k"])
+    a.apply(RowFunction(lambda rowid, r: r, ["k", "v"], ["bigint", "bigint"]))
+    assert sorted(values(a.checkout())) == [[1, big], [2, None]]
+
+
+def test_inferred_types_are_the_archives(spark, tmp_path):
+    for name, text in (("a", "k,v,w\n1,x,1\n2,y,2\n"), ("b", "k,v,w\n1,x,1.5\n2,,2\n"), ("c", "k,v,w\n1,x,1\nA7,y,2\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    a = Archive.create(spark, None, str(tmp_path / "a.csv"), ["k"], infer=True)
+    a.commit(str(tmp_path / "b.csv"), infer=True)
+    assert a.diff(0, 1).describe()["rows"] | {"updated_values": 0, "all_values": 0} == {"inserted": 0, "deleted": 0, "moved": 0, "updated": 2, "updated_values": 0, "all_updated": 2, "all_values": 0}
+    with pytest.raises(ValueError, match="key column k"):
+        a.commit(str(tmp_path / "c.csv"), infer=True)
+    assert len(a.snapshots()) == 2
+
+
 DIFFS = [
     frame([["Alice", 32], ["Bob", 45], ["Claire", 27], ["Dave", 23]]),
     frame([[32, "Alice", 180], [45, "Bob", 175], [27, "Claire", 168], [23, "Dave", 181]], columns=("Age", "Name", "Height")),

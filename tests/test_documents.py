@@ -70,6 +70,35 @@ def test_json_document(spark, tmp_path):
     assert [r.Name for r in a.checkout(order="key").collect()] == ["Bob", "Alice"]
 
 
+def test_json_values_keep_their_types(spark, tmp_path):
+    path = tmp_path / "t.json"
+    path.write_text('["s", "i", "f", "b", "m", "t", "d", "z"]\n[0, 0, ["01234", 7, 1, true, "1", {"$time": "08:30:00"}, {"$datetime": "2020-05-01T08:30:00"}, null]]\n[1, -1, ["5", null, 2.5, false, 1, {"$time": "09:00:00"}, null, null]]\n')
+    doc = from_json(spark, str(path))
+    assert rows(doc.select(["s"])) == [(0, 0, "01234"), (1, None, "5")]
+    got = [tuple(r[f"v_{k}"] for k in range(8)) for r in doc.df.orderBy("__pos").collect()]
+    assert [r[:4] for r in got] == [("01234", 7, 1.0, True), ("5", None, 2.5, False)]
+    assert [tuple(r[4]) for r in got] == [("str", "1"), ("int", "1")] and [tuple(r[5]) for r in got] == [("time", "08:30:00"), ("time", "09:00:00")]
+    assert [r[6:] for r in got] == [(datetime(2020, 5, 1, 8, 30), None), (None, None)]
+
+
+def test_csv_in_many_files_and_splits(spark, tmp_path):
+    lines = [f"{k},{'x' * (k % 50)}" for k in range(6000)]
+    d = tmp_path / "many"
+    d.mkdir()
+    cuts = [0, 10, 4000, 4001, 6000]
+    for n, (a, z) in enumerate(zip(cuts, cuts[1:])):
+        (d / f"p{n}.csv").write_text("\n".join((["k,v"] if not n else []) + lines[a:z]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        doc = from_csv(spark, str(d))
+        assert doc.df.rdd.getNumPartitions() > 3
+        got = [(r["__pos"], r["v_0"]) for r in doc.df.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(got) == [(k, str(k)) for k in range(6000)]
+
+
 def test_pandas_and_memory(spark):
     frame = pd.DataFrame({"Name": ["A", "B", "C"], "Age": [1.0, float("nan"), 3.0]}, index=[2, -1, 0])
     doc = from_pandas(spark, frame)
