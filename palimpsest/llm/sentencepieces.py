@@ -163,8 +163,13 @@ class Backend:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))  # both are read when the library first encodes a batch
         import sentencepiece
+        from tokenizers import decoders
 
         self.tokenizer = build(path)
+        # of the decoder's steps only byte fallback goes token by token; marker and first space are replaced in whole texts
+        model = read_model(path)
+        self.tokenizer.decoder = decoders.ByteFallback() if model.byte_fallback else decoders.Fuse()
+        self.marker, self.opening = model.escape, model.dummy_prefix
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         self.threads = threads
 
@@ -172,7 +177,9 @@ class Backend:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        texts = [t.replace(MARK, " ") for t in texts] if self.marker else texts
+        return [t.removeprefix(" ") for t in texts] if self.opening else texts
 
     def expected(self, texts: list[str]) -> list[list[int]]:
         return self.reference.encode(texts, num_threads=self.threads)

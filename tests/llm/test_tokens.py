@@ -86,6 +86,9 @@ def test_sentencepiece_parity(make):
         assert r.ids == processor.encode(text) and r.matched and r.n_tokens == len(r.ids), text
         assert r.restored == (processor.decode(r.ids) == text)
         assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+    backend, whole = sp.Backend(PIECE, 1), sp.build(PIECE)
+    ids = [processor.encode(t) for t in (*HARD, "\u2581a \u2581\u2581 b", "   ", "\u2603\u2581")]
+    assert backend.decode(ids) == whole.decode_batch(ids, skip_special_tokens=False) == [processor.decode(x) for x in ids]
     back = sp.decoded(sp.encoded(make([EN, None, FR]), PIECE), PIECE).orderBy("doc_id").collect()
     assert [r.decoded for r in back] == [EN, "", FR]
     assert sp.document_ids(make([]), PIECE).collect() == []
