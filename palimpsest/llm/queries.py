@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import fingerprints, hamming, language, linededup, mixing, sentencepieces, simhash, tokencounts, tokenfiles, wrappers
-from palimpsest.llm.common import read_table
+from palimpsest.llm.common import read_table, settle
 
 
 #: Target weights of the mix; sources that aren't named have the least of these.
@@ -66,7 +66,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = hamming.sign_codes(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    codes = settle(hamming.sign_codes(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
     return hamming.top_k(codes, codes.where("id % 100 = 0"), 10)
 
 

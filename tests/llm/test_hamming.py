@@ -21,8 +21,10 @@ def table(spark, rows):
     return spark.createDataFrame([(i, None if c is None else signed(c)) for i, c in rows], "id long, code long")
 
 
-@pytest.mark.parametrize("k", [1, 7])
-def test_top_k_against_brute_force(spark, k):
+@pytest.mark.parametrize("k, segments", [(1, 4), (7, 4), (7, 3), (4, 2)])
+def test_top_k_against_brute_force(spark, monkeypatch, k, segments):
+    monkeypatch.setattr(h, "SEGMENTS", ((1 << 62, segments),))
+    monkeypatch.setattr(h, "BLOCK", 5)
     r = random.Random(k)
     centres = [r.getrandbits(64) for _ in range(12)]
     codes = [(i, r.getrandbits(64)) for i in range(150)]
@@ -37,6 +39,21 @@ def test_top_k_against_brute_force(spark, k):
     assert got == brute(codes, queries, k)
 
 
+def test_all_rounds_without_a_scan(spark, monkeypatch):
+    """The rounds alone, as on a table with more codes than values are looked up."""
+    monkeypatch.setattr(h, "comb", lambda w, r: 0 if r < 6 else 1 << 40)
+    r = random.Random(3)
+    codes = [(i, r.getrandbits(64)) for i in range(60)] + [(100 + i, r.getrandbits(18)) for i in range(300)]
+    got = sorted(map(tuple, h.top_k(table(spark, codes), table(spark, codes[50:90]), 5).collect()))
+    assert got == brute(codes, codes[50:90], 5)
+
+
+def test_segments():
+    for n, m in ((10, 4), (1 << 21, 3), (1 << 27, 2)):
+        found = h.segments_for(n)
+        assert len(found) == m and found[0][0] == 0 and sum(w for _, w in found) == 64 and all(a + w == b for (a, w), (b, _) in zip(found, found[1:]))
+
+
 def test_few_rows_nulls_and_repeats(spark):
     codes = table(spark, [(1, 5), (1, 5), (2, 5), (3, 1 << 63), (None, 7), (4, None)])
     got = sorted(map(tuple, h.top_k(codes, codes, 10).collect()))
