@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,12 +82,19 @@ def key_bounds(df: DataFrame, key: str, parts: int) -> list:
     return sorted({row["least"], *(row["cuts"] or [])}) if row["least"] is not None else []
 
 
-def range_of(key: str, bounds: list):
-    """Number of the range that a row's key falls into; rows without a key fall into the first."""
-    if len(bounds) < 2:
-        return F.lit(0)
-    cuts = F.array(*[F.lit(b).cast("bigint") for b in bounds[1:]])
-    return F.coalesce(F.size(F.filter(cuts, lambda b: b <= F.col(key))), F.lit(0))
+def range_of(key: str, bounds: list) -> tuple[F.Column, F.Column]:
+    """Number of the range that a row's key falls into, found by bisection, and whether the key is its bound; rows without a key fall into the first and open none."""
+    if not bounds:
+        return F.lit(0), F.lit(False)
+    sorted_bounds = np.array(bounds, np.int64)
+
+    def place(keys: pa.Array) -> pa.Array:
+        own = keys.fill_null(bounds[0]).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.maximum(np.searchsorted(sorted_bounds, own, "right") - 1, 0)
+        return pa.array(2 * at + (sorted_bounds[at] == own), pa.int64())
+
+    found = F.arrow_udf(place, "long")(F.col(key))
+    return F.shiftright(found, 1).cast("int"), F.col(key).isNotNull() & (found % 2 == 1)
 
 
 def with_fields(schema: T.StructType, **kinds: str) -> T.StructType:

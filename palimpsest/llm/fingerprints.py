@@ -264,14 +264,13 @@ def compare_edited(docs: DataFrame, ranks: np.ndarray | None = None) -> DataFram
     ranks = corpus_ranks(docs) if ranks is None else ranks
     bounds = key_bounds(docs, "doc_id", parts_for(docs.sparkSession, text_bytes(docs)))
     n = max(1, len(bounds))
-    opens = F.col("doc_id").isin(bounds) if bounds else F.lit(False)
+    here, opens = range_of("doc_id", bounds)
     no_id = F.col("doc_id").isNull()
     if docs.where(no_id).limit(1).count():  # then they come first, and close the circle
         opens = F.when(no_id, True).otherwise(opens & (F.col("doc_id") != F.lit(bounds[0]))) if bounds else F.lit(True)
-    here = range_of("doc_id", bounds)
-    own = F.struct(here.alias("part"), F.lit(False).alias("tail"))
-    dealt = docs.withColumn("to", F.explode(F.when(opens, F.array(own, F.struct(((here + n - 1) % n).alias("part"), F.lit(True).alias("tail")))).otherwise(F.array(own))))
-    dealt = dealt.select("to.part", "to.tail", "doc_id", "text").repartition("part").sortWithinPartitions("part", "tail", F.asc_nulls_first("doc_id"), "text")
+    own, before = F.struct(F.col("here").alias("part"), F.lit(False).alias("tail")), F.struct(((F.col("here") + n - 1) % n).alias("part"), F.lit(True).alias("tail"))
+    dealt = docs.withColumns({"here": here, "opens": opens}).withColumn("to", F.explode(F.when(F.col("opens"), F.array(own, before)).otherwise(F.array(own))))
+    dealt = dealt.select("to.part", "to.tail", "doc_id", "text").repartitionById(n, "part").sortWithinPartitions("part", "tail", F.asc_nulls_first("doc_id"), "text")
 
     def apply(batches):
         last = None  # (part, doc_id, text, features, digest) that waits for its next text
