@@ -28,12 +28,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import with_fields
+from palimpsest.llm.common import by_bytes, with_fields
 
 #: Fixed value: the split of byte-level vocabularies.
 _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _NONE = np.int64(1) << 60
+#: Characters beyond which a pre-token or a run of them isn't kept after its batch.
+LONG = 256
 
 
 def byte_letters() -> dict[int, str]:
@@ -144,6 +146,9 @@ class TokenCounter:
         words = self.words
         for u, s in zip(units, split):
             self.units[u] = sum(words[w] for w in s)
+        for w in new:
+            if len(w) > LONG:
+                del words[w]
 
     def counts(self, texts: list[str]) -> list[int]:
         if self.library:
@@ -168,6 +173,9 @@ class TokenCounter:
             out[k] += units[u]
         for k, p in pieces:
             out[k] += sum(map(units.__getitem__, p))
+        for u in new:
+            if len(u) > LONG:
+                del units[u]
         return out
 
 
@@ -185,7 +193,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, text: str =
         counter = _counters[tokenizer]
         for batch in batches:
             texts = [x or "" for x in batch.column(at).to_pylist()]
-            n = [c for a in range(0, len(texts), 256) for c in counter.counts(texts[a : a + 256])]
+            n = [c for a, z in by_bytes(texts) for c in counter.counts(texts[a:z])]
             yield pa.RecordBatch.from_arrays([
                 *batch.columns, pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([c > limit for c in n], pa.bool_()),
             ], [*batch.schema.names, "n_bytes", "n_tokens", "over_limit"])
