@@ -309,12 +309,12 @@ def from_json(spark: SparkSession, path: str, kinds: dict[str, str] | None = Non
         return empty_document(spark, [])
     columns = [Column(c["name"], c["id"], c.get("index")) if isinstance(c, dict) else c for c in json.loads(head[0])]
     rows = lines.where((F.col("value") != head[0]) & (F.trim("value") != "")).select(F.parse_json("value").alias("r"))
-    cells = [c.alias(f"v_{i}") for i in range(len(columns)) for c in [_json_cell(f"$[2][{i}]")]]
-    out = rows.select(F.variant_get("r", "$[0]", "bigint").alias("__pos"), _json_cell("$[1]").alias("__idx"), *cells)
+    cells = [c.alias(f"v_{i}") for i in range(len(columns)) for c in [json_cell(F.variant_get("r", f"$[2][{i}]", "variant"))]]
+    out = rows.select(F.variant_get("r", "$[0]", "bigint").alias("__pos"), json_cell(F.variant_get("r", "$[1]", "variant")).alias("__idx"), *cells)
     names = ["__idx", *[f"v_{i}" for i in range(len(columns))]]
     found = out.agg(*[F.sort_array(F.collect_set(f"{n}.t")).alias(n) for n in names]).first()  # a few kinds a column
     given = {f"v_{i}": (kinds or {}).get(str(c)) for i, c in enumerate(columns)}
-    out = out.withColumns({n: _json_typed(n, set(found[n]), given.get(n)) for n in names})
+    out = out.withColumns({n: json_typed(n, set(found[n]), given.get(n)) for n in names})
     kind = out.schema["__idx"].dataType
     if isinstance(kind, (T.LongType, T.DoubleType)):
         index = F.col("__idx").cast("bigint")
@@ -326,21 +326,20 @@ def from_json(spark: SparkSession, path: str, kinds: dict[str, str] | None = Non
     return Document(out, columns)
 
 
-def _json_cell(path: str) -> SparkColumn:
-    """A value of the parsed line ``r`` as its kind and its text."""
-    cell = F.variant_get("r", path, "variant")
+def json_cell(cell: SparkColumn) -> SparkColumn:
+    """A JSON value, given as a variant, as its kind and its text."""
     shape = F.schema_of_variant(cell)
-    stamps = {tag: F.variant_get("r", f"{path}['${tag}']", "string") for tag in ("datetime", "date", "time")}
+    stamps = {tag: F.try_variant_get(cell, f"$['${tag}']", "string") for tag in ("datetime", "date", "time")}
     kind = F.when(shape.startswith("OBJECT"), F.coalesce(*[F.when(c.isNotNull(), tag) for tag, c in stamps.items()], F.lit("json")))
     kind = kind.when(shape.startswith("ARRAY"), "json").when(shape == "BIGINT", "int").when(shape == "BOOLEAN", "bool").when(shape == "STRING", "str")
-    text = F.coalesce(*[F.when(shape.startswith("OBJECT"), c) for c in stamps.values()], F.variant_get("r", path, "string"))
+    text = F.coalesce(*[F.when(shape.startswith("OBJECT"), c) for c in stamps.values()], F.variant_get(cell, "$", "string"))
     return F.when(cell.isNotNull() & (shape != "VOID"), F.struct(kind.otherwise("float").alias("t"), text.alias("v")))
 
 
 _JSON_KINDS = {"int": "bigint", "float": "double", "bool": "boolean", "str": "string", "datetime": "timestamp_ntz", "date": "date"}
 
 
-def _json_typed(name: str, found: set[str], kind: str | None) -> SparkColumn:
+def json_typed(name: str, found: set[str], kind: str | None) -> SparkColumn:
     """The cells of a column as values of one type where they have one."""
     text = F.col(f"{name}.v")
     if kind:
