@@ -13,7 +13,10 @@ the shorter chain of the best match in the longer one.
 Defined cases: a null text counts as empty; a text without bytes has a digest
 without filters; one of fewer than 64 bytes has itself as its only feature; two
 digests without filters are alike (1), one with and one without are not (0).
-Windows of entropy under 100 (runs of few symbols) are no features.
+Windows of entropy under 100 (runs of few symbols) are no features. Very long
+texts are read in segments; an empty table gives an empty result; rows without a
+doc_id, and rows of one doc_id, lie in one range; other columns are kept
+(``fingerprint`` is replaced) or, in the comparison, not read.
 """
 
 from __future__ import annotations

@@ -25,7 +25,9 @@ Defined cases: null texts and null doc_ids are left as they are, and own
 nothing; lines differ by case but not by white space at their ends; blank lines
 neither match nor part blocks; rows that share a doc_id are one document to the
 others, keep what they share with each other, and lose each their own places only; a document of which nothing
-but blank lines is left has an empty text.
+but blank lines is left has an empty text; a text of very many lines is keyed and
+aligned in time proportional to them (times a logarithm); an empty table gives an
+empty result; other columns are kept whatever their names.
 """
 
 from __future__ import annotations

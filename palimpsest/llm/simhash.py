@@ -23,7 +23,9 @@ where it is linked to the centre. That is linear in the number of classes.
 Defined cases: null texts are empty; a text without words has fingerprint zero
 and is linked like any other; fewer words than a shingle make one shingle of
 all of them. Words are split at the six ASCII white-space characters, and only
-A-Z are lower-cased.
+A-Z are lower-cased. A very long text takes memory in proportion to its length
+for the one moment it is hashed; an empty table gives an empty result; columns
+besides doc_id and the text aren't read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import settle
@@ -162,12 +164,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 3, crowd:
 
 
 def deduplicated(docs: DataFrame, text: str = "text", words: int = 5, crowd: int = 256) -> DataFrame:
-    """The documents of which each component keeps the one of smallest doc_id; columns as given. Rows without a doc_id stay, as no id tells them apart; of rows that share an id one stays."""
+    """The documents of which each component keeps the one of smallest doc_id; columns as given. Rows without a doc_id stay, as no id tells them apart; of rows that share an id the one of the least text hash stays."""
     found = near_duplicates(docs.where("doc_id is not null"), text, words, crowd)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     ided = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
     twice = ided.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.limit(1).count():
-        again = ided.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        ided = ided.join(twice, "doc_id", "left_anti").union(again)
+        order = Window.partitionBy("doc_id").orderBy(F.xxhash64(text), text)
+        again = ided.join(twice, "doc_id", "left_semi").select(F.struct("*").alias("row"), "doc_id", text).withColumn("nth", F.row_number().over(order))
+        ided = ided.join(twice, "doc_id", "left_anti").union(again.where("nth = 1").select("row.*"))
     return ided.union(docs.where("doc_id is null"))

@@ -14,7 +14,9 @@ them, as is the library's default. Vocabularies of other kinds (``.model``
 files, or other pre-tokenizers) are counted by their library.
 
 Defined cases: a null text is empty and has no tokens; lone surrogates count as
-'?', like in any UTF-8 column; equal texts have equal counts.
+'?', like in any UTF-8 column; equal texts have equal counts; a very long text is
+a batch of its own, and what is long in it isn't remembered; an empty table gives
+an empty result; other columns are kept (those of the results are replaced).
 """
 
 from __future__ import annotations
