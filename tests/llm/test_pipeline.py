@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 import sentencepiece
 
 import corpus_pipeline as pipeline
@@ -52,9 +53,21 @@ def test_stages_keep_the_columns(spark):
         assert kept.columns == docs.columns and 0 < kept.count() <= n
 
 
+@pytest.mark.parametrize("name, table", [("op5_mixing", "documents"), ("op10_main_text", "pages")])
+def test_queries_against_sql(spark, name, table):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    expected = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, sf)
+    assert got.columns == expected.columns and sorted(map(tuple, got.collect())) == sorted(expected.fetchall())
+
+
 def test_queries_cover_their_tables(spark):
     q = queries.queries()
-    assert [name.split("_")[0] for name in q] == [f"op{k}" for k in range(1, 11)] and list(queries.oracle_sql()) == ["op5_mixing"]
+    assert [name.split("_")[0] for name in q] == [f"op{k}" for k in range(1, 11)] and list(queries.oracle_sql()) == ["op5_mixing", "op10_main_text"]
     docs, n_pages = spark.read.parquet(f"{SF}/documents.parquet").count(), spark.read.parquet(f"{SF}/pages.parquet").count()
     for name in ("op1_fingerprints", "op2_simhash", "op3_language", "op4_token_files", "op9_token_counts"):
         assert q[name](spark, SF).count() == docs
