@@ -30,8 +30,9 @@ def kept_by_loops(rows, words=5, similarity=0.8):
     return sorted(i for i in root if root[i] == i)
 
 
-@pytest.mark.parametrize("crowd", [256, 3])
-def test_every_pair_at_the_similarity_is_met_and_others_stay(make, crowd):
+@pytest.mark.parametrize("crowd, small", [(256, 1000), (24, 0), (3, 1000)])
+def test_every_pair_at_the_similarity_is_met_and_others_stay(make, monkeypatch, crowd, small):
+    monkeypatch.setattr(n, "SMALL", small)
     r = random.Random(4)
     rows = []
     for k in range(30):
@@ -46,6 +47,17 @@ def test_every_pair_at_the_similarity_is_met_and_others_stay(make, crowd):
     assert sorted(x.doc_id for x in kept.collect()) == expected and len(expected) < len(rows) - 60
 
 
+def test_similar_sets_share_least_shingles():
+    r = np.random.default_rng(2)
+    shared = []
+    for _ in range(300):
+        a = r.integers(0, 1 << 63, 270).astype(np.uint64)
+        b = np.unique(np.concatenate((a[30:], r.integers(0, 1 << 63, 30).astype(np.uint64))))  # Jaccard 0.8
+        shared.append(int((n.least_shingles(np.unique(a)) == n.least_shingles(b)).sum()))
+    assert min(shared) > 0 and abs(np.mean(shared) / n.DRAWS - 0.8) < 0.03 and np.var(shared) < 1.5 * n.DRAWS * 0.16
+    assert not len(n.least_shingles(np.empty(0, np.uint64))) and len(set(n.least_shingles(np.array([7], np.uint64)).tolist())) == n.DRAWS
+
+
 def test_prefixes_of_similar_sets_meet():
     r = np.random.default_rng(1)
     for _ in range(200):
