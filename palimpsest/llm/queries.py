@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import fingerprints, hamming, language, linededup, mixing, sentencepieces, simhash, tokencounts, tokenfiles, wrappers
+from palimpsest.llm import fingerprints, hamming, infilling, language, linededup, mixing, sentencepieces, simhash, tokencounts, tokenfiles, wrappers
 from palimpsest.llm.common import read_table, settle
 
 
@@ -57,6 +57,27 @@ SELECT page_id, url, text, length(text) AS n_chars FROM whole
 """
 
 
+#: The transformation by its statement: units by a regular expression, draws from the digest's hex digits.
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+u AS (SELECT doc_id, t, h, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS units FROM d),
+c AS (
+  SELECT doc_id, t, units, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS c2,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM u),
+p AS (
+  SELECT doc_id, t, n, form, array_to_string(units[1:least(c1, c2)], '') AS pre, array_to_string(units[least(c1, c2) + 1:greatest(c1, c2)], '') AS mid,
+    array_to_string(units[greatest(c1, c2) + 1:], '') AS suf
+  FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(read_table(spark, sf_dir, "documents"))
 
@@ -99,14 +120,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.digests(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_fingerprints, op2_simhash, op3_language, op4_token_files, op5_mixing, op6_hamming_top_k, op7_sentencepiece,
-        op8_line_dedup, op9_token_counts, op10_main_text,
+        op8_line_dedup, op9_token_counts, op10_main_text, op13_fill_in_middle,
     ]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """The mix and the articles; the tests hold the others against brute force, round trips and held-out accuracy."""
-    return {"op5_mixing": OP5_SQL, "op10_main_text": OP10_SQL}
+    return {"op5_mixing": OP5_SQL, "op10_main_text": OP10_SQL, "op13_fill_in_middle": OP13_SQL}
