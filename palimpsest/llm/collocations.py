@@ -40,7 +40,7 @@ from palimpsest.llm.common import shared_path
 from palimpsest.sources.files import Files
 
 #: Words in a block before it is written (a document stays whole), and characters of a text that are split at a time.
-BLOCK, SLICE = 1_000_000, 4 << 20
+BLOCK, SLICE = 250_000, 4 << 20
 #: Bits of the largest filter (32 MB), bits for each phrase below that, and places that a phrase sets.
 BITS, BITS_EACH, PLACES = 1 << 28, 16, 4
 SEEDS = 16
