@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import collocations, fingerprints, hamming, infilling, language, linededup, mixing, sentencepieces, simhash, tokencounts, tokenfiles, wrappers
+from palimpsest.llm import collocations, fingerprints, hamming, infilling, language, linededup, mixing, scoring, sentencepieces, simhash, tokencounts, tokenfiles, wrappers
 from palimpsest.llm.common import read_table, settle
 
 
@@ -152,6 +152,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op12_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.held_out_scores(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infilling.digests(read_table(spark, sf_dir, "documents"))
 
@@ -160,7 +164,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_fingerprints, op2_simhash, op3_language, op4_token_files, op5_mixing, op6_hamming_top_k, op7_sentencepiece,
         op8_line_dedup, op9_token_counts, op10_main_text, op11_collocations,
-        op13_fill_in_middle,
+        op12_model_scores, op13_fill_in_middle,
     ]
     return {f.__name__: f for f in own}
 
