@@ -1,15 +1,14 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
-A 64-bit code is cut into segments, each with an index of its own: four of 16
-bits, three from a million different codes on, two from 64 million on, so that a
-bucket stays small. Round r looks up, in every index, all values that differ from
+A 64-bit code is cut into segments of about log2(n) bits for n different codes,
+each with an index of its own, so that a bucket holds about one code. Round r looks up, in every index, all values that differ from
 the query's segment in exactly r bits. With m segments, codes within m r + m - 1
 bits of the query differ in at most r bits in some segment, so after round r all
 of those have been met and verified; a query is done when its k-th verified
 distance is covered by that bound, and only the others go on. Each pair is met
-once: in the first segment of those that differ least. Queries whose next round
-would look up more values than there are codes are held against all codes
-instead, in blocks of queries.
+once: in the first segment of those that differ least. No query is answered in
+any other way: a far k-th neighbour takes more rounds, which end where all values
+of a segment have been looked up.
 
 Equal codes are one entry with its count and its k + 1 smallest ids, and equal
 queries are asked once, so a vector that a third of all rows share costs no more
@@ -25,7 +24,7 @@ all are returned; an empty table gives an empty result; other columns aren't rea
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +33,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import settle
 
-#: Codes up to which there are so many segments.
-SEGMENTS = ((1 << 20, 4), (1 << 26, 3), (1 << 62, 2))
-#: Queries held against all codes at once.
-BLOCK = 50_000
+#: The narrowest segment in bits.
+NARROWEST = 4
 
 
 def sign_codes(vectors: DataFrame, key: str, vector: str, seed: int = 7) -> DataFrame:
@@ -62,7 +59,7 @@ def sign_codes(vectors: DataFrame, key: str, vector: str, seed: int = 7) -> Data
 
 def segments_for(n: int) -> list[tuple[int, int]]:
     """(shift, width) of each segment for ``n`` codes."""
-    m = next(m for most, m in SEGMENTS if n <= most)
+    m = max(1, round(64 / max(NARROWEST, log2(max(n, 1)))))
     widths = [64 // m + (k < 64 % m) for k in range(m)]
     return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
 
@@ -95,35 +92,6 @@ def _probes(queries: DataFrame, segments: list[tuple[int, int]], r: int) -> Data
     return queries.select("query", "bound").mapInArrow(apply, "query long, bound int, part int, value long")
 
 
-def _scanned(entries: DataFrame, queries: DataFrame, n_queries: int, most: int) -> DataFrame:
-    """``query, code, least, n, distance``: the ``most`` nearest codes of each query in each task, from all codes. Blocks of ``BLOCK`` queries go to the tasks; a task keeps its best only."""
-    out, blocks = None, max(1, -(-n_queries // BLOCK))
-    for b in range(blocks):
-        asked = np.array([r[0] for r in queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).select("query").collect()], np.int64)
-        held = entries.sparkSession.sparkContext.broadcast(asked)
-
-        def apply(batches, held=held):
-            own, kind = held.value, [("distance", "i4"), ("least", "i8"), ("code", "i8"), ("n", "i8")]
-            best = np.zeros((len(own), most), kind)
-            best["distance"] = 65  # none yet
-            for batch in batches:
-                codes, least, n = (batch.column(k).to_numpy() for k in range(3))
-                for a in range(0, len(own), 1024):
-                    for c in range(0, len(codes), 256):
-                        z = slice(c, c + 256)
-                        part = np.empty((len(own[a : a + 1024]), len(codes[z])), kind)
-                        part["distance"] = np.bitwise_count(own[a : a + 1024, None].view(np.uint64) ^ codes[None, z].view(np.uint64))
-                        part["least"], part["code"], part["n"] = least[z], codes[z], n[z]
-                        best[a : a + 1024] = np.sort(np.concatenate((best[a : a + 1024], part), 1), axis=1, order=["distance", "least"])[:, :most]
-            asked, flat = np.repeat(own, most), best.ravel()
-            met = flat["distance"] <= 64
-            yield pa.RecordBatch.from_arrays([pa.array(asked[met]), *[pa.array(np.ascontiguousarray(flat[x][met])) for x in ("code", "least", "n", "distance")]], ["query", "code", "least", "n", "distance"])
-
-        found = settle(entries.select("code", "least", "n").mapInArrow(apply, "query long, code long, least long, n long, distance int"))
-        out = found if out is None else out.union(found)
-    return out
-
-
 def _best(df: DataFrame, n: int) -> DataFrame:
     order = Window.partitionBy("query").orderBy("distance", "least")
     return df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("place")
@@ -138,27 +106,21 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     wanted = min(k + 1, entries.agg(F.sum("n")).first()[0] or 0)
     asked = queries.where("id is not null and code is not null").select("id", "code").distinct()
     open_codes = settle(asked.select(F.col("code").alias("query")).distinct().withColumn("bound", F.lit(64)))
-    n_codes = entries.count()
-    segments = segments_for(n_codes)
+    segments = segments_for(entries.count())
     index = settle(entries.select("code", "least", "n", _per_segment("code", segments).alias("s")).select("code", "least", "n", "s.part", "s.value"))
     found = done = None
-    r, all_met = 0, False
-    while wanted and not all_met and (n_open := open_codes.count()):
+    r = 0
+    while wanted and not open_codes.isEmpty():
         differ = F.col("code").bitwiseXOR(F.col("query"))
-        all_met = sum(comb(w, r) for _, w in segments) > n_codes
-        if all_met:
-            merged = _scanned(entries, open_codes, n_open, k + 1)
-        else:
-            probes = _probes(open_codes, segments, r).withColumnsRenamed({"part": "part_", "value": "value_"})
-            once = F.lit(True)
-            for s, segment in enumerate(segments):
-                bits = F.bit_count(_segment(differ, segment))
-                once = once & F.when(F.col("part") > s, bits > r).otherwise(bits >= r)
-            met = index.join(probes, (F.col("part") == F.col("part_")) & (F.col("value") == F.col("value_")) & once & (F.bit_count(differ) <= F.col("bound")))
-            met = met.select("query", "code", "least", "n", F.bit_count(differ).alias("distance"))
-            merged = met if found is None else found.union(met)
-        found = settle(_best(merged, k + 1))
-        covered = 64 if all_met else len(segments) * (r + 1) - 1
+        probes = _probes(open_codes, segments, r).withColumnsRenamed({"part": "part_", "value": "value_"})
+        once = F.lit(True)
+        for s, segment in enumerate(segments):
+            bits = F.bit_count(_segment(differ, segment))
+            once = once & F.when(F.col("part") > s, bits > r).otherwise(bits >= r)
+        met = index.join(probes, (F.col("part") == F.col("part_")) & (F.col("value") == F.col("value_")) & once & (F.bit_count(differ) <= F.col("bound")))
+        met = met.select("query", "code", "least", "n", F.bit_count(differ).alias("distance"))
+        found = settle(_best(met if found is None else found.union(met), k + 1))
+        covered = len(segments) * (r + 1) - 1
         running = F.sum("n").over(Window.partitionBy("query").orderBy("distance", "least"))
         state = found.withColumn("so_far", running).where(F.col("so_far") >= wanted).groupBy("query").agg(F.min("distance").alias("kth"))
         state = open_codes.select("query").join(state, "query", "left").withColumn("finished", F.coalesce(F.col("kth") <= covered, F.lit(False)) | F.lit(covered >= 64))

@@ -21,10 +21,11 @@ def table(spark, rows):
     return spark.createDataFrame([(i, None if c is None else signed(c)) for i, c in rows], "id long, code long")
 
 
-@pytest.mark.parametrize("k, segments", [(1, 4), (7, 4), (7, 3), (4, 2)])
+@pytest.mark.parametrize("k, segments", [(1, None), (7, None), (7, 3), (4, 5)])
 def test_top_k_against_brute_force(spark, monkeypatch, k, segments):
-    monkeypatch.setattr(h, "SEGMENTS", ((1 << 62, segments),))
-    monkeypatch.setattr(h, "BLOCK", 5)
+    if segments:  # other widths than for so many codes
+        own = h.segments_for
+        monkeypatch.setattr(h, "segments_for", lambda n: own(2 ** (64 // segments)))
     r = random.Random(k)
     centres = [r.getrandbits(64) for _ in range(12)]
     codes = [(i, r.getrandbits(64)) for i in range(150)]
@@ -39,17 +40,26 @@ def test_top_k_against_brute_force(spark, monkeypatch, k, segments):
     assert got == brute(codes, queries, k)
 
 
-def test_all_rounds_without_a_scan(spark, monkeypatch):
-    """The rounds alone, as on a table with more codes than values are looked up."""
-    monkeypatch.setattr(h, "comb", lambda w, r: 0 if r < 6 else 1 << 40)
+def test_far_neighbours_take_more_rounds(spark):
     r = random.Random(3)
     codes = [(i, r.getrandbits(64)) for i in range(60)] + [(100 + i, r.getrandbits(18)) for i in range(300)]
     got = sorted(map(tuple, h.top_k(table(spark, codes), table(spark, codes[50:90]), 5).collect()))
     assert got == brute(codes, codes[50:90], 5)
+    few = [(i, r.getrandbits(64)) for i in range(5)]  # every other row is wanted, however far
+    assert sorted(map(tuple, h.top_k(table(spark, few), table(spark, few), 9).collect())) == brute(few, few, 9)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_given_vectors(spark, sf):
+    """All queries of the given tables, every one of them ended by its bound, against all pairs."""
+    codes = h.sign_codes(spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet"), "vec_id", "embedding")
+    rows = [(r.id, r.code % (1 << 64)) for r in codes.collect()]
+    got = sorted(map(tuple, h.top_k(codes, codes.where("id % 100 = 0"), 10).collect()))
+    assert got == brute(rows, [x for x in rows if x[0] % 100 == 0], 10) and not hasattr(h, "_scanned")
 
 
 def test_segments():
-    for n, m in ((10, 4), (1 << 21, 3), (1 << 27, 2)):
+    for n, m in ((0, 16), (10, 16), (500, 7), (2000, 6), (51_000, 4), (1 << 21, 3), (1 << 32, 2)):
         found = h.segments_for(n)
         assert len(found) == m and found[0][0] == 0 and sum(w for _, w in found) == 64 and all(a + w == b for (a, w), (b, _) in zip(found, found[1:]))
 
