@@ -40,7 +40,7 @@ from palimpsest.llm.common import shared_path
 from palimpsest.sources.files import Files
 
 #: Words in a block before it is written (a document stays whole), and characters of a text that are split at a time.
-BLOCK, SLICE = 250_000, 4 << 20
+BLOCK, SLICE = 500_000, 4 << 20
 #: Bits of the largest filter (32 MB), bits for each phrase below that, and places that a phrase sets.
 BITS, BITS_EACH, PLACES = 1 << 28, 16, 4
 SEEDS = 16
@@ -89,7 +89,7 @@ class _Block:
         lead = lang.encode() + b"\0"
         ids = np.array([0, *(xxhash.xxh3_64_intdigest(lead + w, seed) for w in words)], np.uint64)
         counts = np.bincount(codes, minlength=len(ids))[1:]
-        return lang, [w.decode() for w in words], counts, ids[1:].view(np.int64), codes.tobytes(), np.flatnonzero(codes).astype(np.int32).tobytes()
+        return lang, [w.decode() for w in words], counts, ids[1:].view(np.int64), codes.tobytes(), np.packbits(codes != 0).tobytes()
 
 
 def first_relation(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -171,7 +171,7 @@ def _unpacked(batch: pa.RecordBatch):
     """Numbers of words (from code 1 on), codes and starts of each block."""
     for ids, codes, starts in zip(*batch.columns):
         own = np.append(np.zeros(1, np.uint64), ids.values.to_numpy().view(np.uint64))
-        yield own, np.frombuffer(codes.as_py(), np.int32), np.frombuffer(starts.as_py(), np.int32)
+        yield own, np.frombuffer(codes.as_py(), np.int32), np.flatnonzero(np.unpackbits(np.frombuffer(starts.as_py(), np.uint8)))
 
 
 def extended(ids: np.ndarray, codes: np.ndarray, starts: np.ndarray, length: int, frequent: Filter) -> tuple[np.ndarray, np.ndarray]:
@@ -197,8 +197,10 @@ def next_relation(relation: DataFrame, length: int, frequent: Filter) -> DataFra
             for ids, codes, starts in _unpacked(batch):
                 codes, starts = extended(ids, codes, starts, length, own)
                 if len(starts):  # of the words only those that are left
+                    begins = np.zeros(len(codes), bool)
+                    begins[starts] = True
                     left, codes = np.unique(np.append(codes, np.int32(0)), return_inverse=True)
-                    values = ids[left[1:]].view(np.int64), codes[:-1].astype(np.int32).tobytes(), starts.tobytes()
+                    values = ids[left[1:]].view(np.int64), codes[:-1].astype(np.int32).tobytes(), np.packbits(begins).tobytes()
                     yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, (pa.list_(pa.int64()), pa.binary(), pa.binary()))], ["ids", "codes", "starts"])
 
     return relation.select("ids", "codes", "starts").mapInArrow(apply, "ids array<long>, codes binary, starts binary")
@@ -226,7 +228,7 @@ def phrase_counts(relation: DataFrame, length: int) -> DataFrame:
 
 def _written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

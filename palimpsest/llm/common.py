@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Send rows to Python by ``rows`` rather than Spark's 10,000, unless the session says otherwise: whole texts are large, and both sides hold a batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
+    """Send rows to Python by ``rows`` and about ``size`` bytes rather than Spark's 10,000 and 64 MB, unless the session says otherwise: whole texts are large, and both sides hold a batch."""
+    for name, default, own in (("maxRecordsPerBatch", "10000", rows), ("maxBytesPerBatch", "67108864b", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, str(own))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
