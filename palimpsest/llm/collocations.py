@@ -292,5 +292,5 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int
             found = found.join(frequent.select(F.col("i_0").alias(f"i_{k}"), F.col("word").alias(f"w_{k}"), *([F.col("lang")] if k == 0 else [])), f"i_{k}")
         ranked.append(found.select("lang", F.concat_ws(" ", *[f"w_{k}" for k in range(length)]).alias("phrase"), "a", "l", "r", "score"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = reduce(DataFrame.union, ranked).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
-    return best.join(F.broadcast(totals), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    best = reduce(DataFrame.union, ranked).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)  # each task keeps its own best before the rest move
+    return best.join(F.broadcast(totals), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
