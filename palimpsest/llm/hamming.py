@@ -1,7 +1,8 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
-A 64-bit code is cut into segments of about log2(n) bits for n different codes,
-each with an index of its own, so that a bucket holds about one code. Round r looks up, in every index, all values that differ from
+A 64-bit code is cut into segments of about log2(n) - 2 bits for n different codes,
+each with an index of its own, so that a bucket holds about four codes: wider ones
+would make a query look up more empty buckets than it meets codes. Round r looks up, in every index, all values that differ from
 the query's segment in exactly r bits. With m segments, codes within m r + m - 1
 bits of the query differ in at most r bits in some segment, so after round r all
 of those have been met and verified; a query is done when its k-th verified
@@ -59,7 +60,7 @@ def sign_codes(vectors: DataFrame, key: str, vector: str, seed: int = 7) -> Data
 
 def segments_for(n: int) -> list[tuple[int, int]]:
     """(shift, width) of each segment for ``n`` codes."""
-    m = max(1, round(64 / max(NARROWEST, log2(max(n, 1)))))
+    m = max(1, round(64 / max(NARROWEST, log2(max(n, 1)) - 2)))
     widths = [64 // m + (k < 64 % m) for k in range(m)]
     return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
 

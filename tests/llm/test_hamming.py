@@ -59,7 +59,7 @@ def test_given_vectors(spark, sf):
 
 
 def test_segments():
-    for n, m in ((0, 16), (10, 16), (500, 7), (2000, 6), (51_000, 4), (1 << 21, 3), (1 << 32, 2)):
+    for n, m in ((0, 16), (10, 16), (500, 9), (2000, 7), (51_000, 5), (1 << 21, 3), (1 << 32, 2)):
         found = h.segments_for(n)
         assert len(found) == m and found[0][0] == 0 and sum(w for _, w in found) == 64 and all(a + w == b for (a, w), (b, _) in zip(found, found[1:]))
 
