@@ -15,7 +15,7 @@ from palimpsest.functions.columns import ArchiveSchema, Column, primary_key_ids
 from palimpsest.functions.keys import key_of, python_order
 from palimpsest.operators.dataset import Transform, action_text, as_operator
 from palimpsest.plans import compare, read
-from palimpsest.plans.merge import Incoming, advance, matched, write_states
+from palimpsest.plans.merge import Incoming, advance, last_of_key, matched, upserted
 from palimpsest.plans.ranks import ranked
 from palimpsest.snapshots import Snapshot, SnapshotDescriptor, SnapshotListing
 from palimpsest.sources.documents import Document, to_document
@@ -63,8 +63,8 @@ class Archive:
         self.store = store
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str | None = None, doc=None, primary_key=None, descriptor: SnapshotDescriptor | None = None, replace: bool = False, **options) -> Archive:
-        """A new archive in a folder, or a volatile one in the shared scratch folder. A key needs a first document."""
+    def create(cls, spark: SparkSession, path: str | None = None, doc=None, primary_key=None, descriptor: SnapshotDescriptor | None = None, replace: bool = False, batch: tuple[str, int] | None = None, fold: bool = False, **options) -> Archive:
+        """A new archive in a folder, or a volatile one in the shared scratch folder. A key needs a first document. ``batch`` and ``fold`` are those of ``commit``."""
         store = Store(spark, path) if path else Store.volatile(spark)
         if store.exists():
             if not replace:
@@ -79,7 +79,7 @@ class Archive:
         document = to_document(spark, doc, **options)
         key = primary_key_ids(document.columns, primary_key)
         store.manifest = Manifest(primary_key=tuple(key) if key else None)
-        out.commit(document, descriptor)
+        out.commit(document, descriptor, batch=batch, fold=fold)
         return out
 
     @classmethod
@@ -130,14 +130,14 @@ class Archive:
                     raise ValueError(f"the values of key column {name} are not all {known[name]}, as they were until now; without infer they are text")
         return document
 
-    def commit(self, doc, descriptor: SnapshotDescriptor | None = None, renamed: dict[str, str] | None = None, validate: bool = False, **options) -> Snapshot:
-        """Merge a document as the next version. ``renamed`` says which old name a new one stands for; ``validate`` asks that a keyed document comes in key order. A failure leaves the archive as it was."""
-        return self._merged(self._document(doc, options), descriptor, renamed, validate)
+    def commit(self, doc, descriptor: SnapshotDescriptor | None = None, renamed: dict[str, str] | None = None, validate: bool = False, batch: tuple[str, int] | None = None, fold: bool = False, **options) -> Snapshot:
+        """Merge a document as the next version. ``renamed`` says which old name a new one stands for; ``validate`` asks that a keyed document comes in key order; with ``fold`` the last of the rows of equal key counts, else they are rows of their own. ``batch`` is the name of a stream and the number of its batch, kept with the version in one step. A failure leaves the archive as it was."""
+        return self._merged(self._document(doc, options), descriptor, renamed, validate, batch=batch, fold=fold)
 
-    def upsert(self, doc, descriptor: SnapshotDescriptor | None = None, **options) -> Snapshot:
-        """Make a version from the last one and a few rows: those take the place of the rows of equal key, or come after all others; without a key all are new. Other rows are neither moved nor written."""
+    def upsert(self, doc, descriptor: SnapshotDescriptor | None = None, batch: tuple[str, int] | None = None, **options) -> Snapshot:
+        """Make a version from the last one and a few rows. Of given rows of equal key the last counts; it takes the place of the rows of that key (that of the first, if there are more), or comes after all others. Without a key all given rows are new. Only files of the buckets that the given keys and rows fall into are read, and no other row is moved or written."""
         if self.is_empty():
-            return self.commit(doc, descriptor, **options)
+            return self.commit(doc, descriptor, batch=batch, fold=True, **options)
         document = self._document(doc, options)
         last = self.snapshots().last_snapshot().version
         given = [c.name if isinstance(c, Column) else str(c) for c in document.columns]
@@ -147,9 +147,9 @@ class Archive:
         order.sort(key=lambda x: columns.index(x[0]) if x[0] in columns else len(columns))
         values = [(F.col(v) if v else F.lit(None).cast(kinds[c.colid])).alias(f"v_{i}") for i, (c, v) in enumerate(order)]
         rest = [c for c in document.df.columns if not c.startswith("v_") and (c != "__idx" or self.primary_key)]
-        return self._merged(Document(document.df.select(*rest, *values), [c for c, _ in order], document.order), descriptor, partial=True)
+        return self._merged(Document(document.df.select(*rest, *values), [c for c, _ in order], document.order), descriptor, partial=True, batch=batch)
 
-    def _merged(self, document: Document, descriptor: SnapshotDescriptor | None, renamed: dict[str, str] | None = None, validate: bool = False, partial: bool = False) -> Snapshot:
+    def _merged(self, document: Document, descriptor: SnapshotDescriptor | None, renamed: dict[str, str] | None = None, validate: bool = False, partial: bool = False, batch: tuple[str, int] | None = None, fold: bool = False) -> Snapshot:
         m = self.store.manifest
         version = m.snapshots.next_version()
         m.snapshots.append(version, descriptor)  # fails here, before anything is written
@@ -158,25 +158,25 @@ class Archive:
         if m.primary_key and not set(m.primary_key) <= set(ids):
             raise ValueError("the document lacks a key column")
         data = self.store.new_data()
-        rows, cells = self._keyed(document, ids, data)
+        rows, cells = self._keyed(document, ids, data, partial)
         if validate and m.primary_key:
             self._in_order(rows)
-        if partial and not m.primary_key:
-            rows = rows.withColumn("__key", F.lit(None).cast(rows.schema["__key"].dataType))
-        incoming = matched(self.store, rows, cells, bool(m.primary_key), data, few=partial)
-        incoming.kinds = dict(zip(ids, document.kinds))
-        if partial:  # rows that are there keep their place
-            places = self.store.living("positions")
-            top = places.agg(F.max("pos")).first()[0]
-            after = incoming.rows.select("rowid", "__pos").join(places.select("rowid"), "rowid", "left_anti").withColumnRenamed("__pos", "__at")
-            incoming.placed, _ = ranked(after, [F.col("__at")], f"{self.store.path}/{data}/placed", "__pos", 0 if top is None else top + 1)
+        if fold and m.primary_key and not partial:
+            rows = last_of_key(rows, cells)
+        incoming = (upserted if partial else matched)(self.store, rows, cells, bool(m.primary_key), data)
+        incoming.kinds, incoming.batches = dict(zip(ids, document.kinds)), dict([batch] if batch else [])
         self.store.publish(advance(self.store, data, schema, incoming, descriptor, partial))
-        for part in ("document", "matched", "new", "unnamed", "placed"):  # steps of the commit that no table reads any more
-            self.store.files.delete(f"{self.store.path}/{data}/{part}")
+        self._tidy(data)
         return self.snapshots().last_snapshot()
 
-    def _keyed(self, document: Document, ids: list[int], data: str) -> tuple[DataFrame, list[str]]:
-        """Rows with ``__key``, ``__pos`` and cells under their physical names."""
+    def _tidy(self, data: str) -> None:
+        """Delete the steps of a commit that no table reads any more."""
+        for name in self.store.files.names(f"{self.store.path}/{data}"):
+            if name not in ("segments", "positions", "keys", "segments-settled", "positions-settled", "keys-settled"):
+                self.store.files.delete(f"{self.store.path}/{data}/{name}")
+
+    def _keyed(self, document: Document, ids: list[int], data: str, partial: bool) -> tuple[DataFrame, list[str]]:
+        """Rows with ``__key``, ``__pos`` and cells under their physical names, written if they are needed more than once."""
         df, pk = document.df, self.primary_key
         if pk:
             parts = [(F.col(f"v_{ids.index(c)}"), df.schema[f"v_{ids.index(c)}"].dataType) for c in pk]
@@ -196,7 +196,11 @@ class Archive:
             df = df.withColumn("__key", key_of([(F.col("__pos"), T.LongType())]))
         names = [cell_name(c, k) for c, k in zip(ids, document.kinds)]
         cells = [stored(F.col(f"v_{i}"), k).alias(n) for i, (n, k) in enumerate(zip(names, document.kinds))]
-        return df.select("__key", F.col("__pos").cast("bigint").alias("__pos"), *cells), names
+        out = df.select("__key", F.col("__pos").cast("bigint").alias("__pos"), *cells)
+        if document.has_positions and not partial:
+            out.write.parquet(f"{self.store.path}/{data}/document")
+            out = self.spark.read.schema(out.schema).parquet(f"{self.store.path}/{data}/document")
+        return out, names
 
     @staticmethod
     def _in_order(rows: DataFrame) -> None:
@@ -214,9 +218,12 @@ class Archive:
         """Make one version from each operator in a row, the first from ``origin`` (the last version by default). Rows keep their identity and position; what an operator drops the later ones don't see."""
         operators = [as_operator(o) for o in (operators if isinstance(operators, (list, tuple)) else [operators])]
         origin = self._existing(origin)
-        rows, columns = read.rows_at(self.store, origin)
-        current = rows.select(F.col("rowid").alias("__rowid"), F.col("pos").alias("__pos"), *[F.col(f"v_{i}").alias(str(c)) for i, c in enumerate(columns)])
-        before, out, manifest = list(columns), [], self.store.manifest
+        def snapshot(version: int) -> tuple[DataFrame, list]:
+            rows, columns = read.rows_at(self.store, version, labels=True)
+            return rows.select(F.col("rowid").alias("__rowid"), F.col("label").alias("__pos"), *[F.col(f"v_{i}").alias(str(c)) for i, c in enumerate(columns)]), columns
+
+        current, before = snapshot(origin)
+        out, manifest = [], self.store.manifest
         try:
             for op in operators:
                 version = self.snapshots().next_version()
@@ -233,12 +240,11 @@ class Archive:
                 schema, ids = self.schema().merge(fixed, version, None, None, kinds)
                 cells = [stored(F.col(f"`{n}`"), k).alias(cell_name(c, k)) for n, c, k in zip(names, ids, kinds)]
                 data = self.store.new_data()
-                incoming = Incoming(result.select(F.col("__rowid").alias("rowid"), "__pos", *cells), dict(zip(ids, kinds)))
+                incoming = Incoming(result.select(F.col("__rowid").alias("rowid"), "__pos", *cells), dict(zip(ids, kinds)), labels=True, frame=self.store.manifest.frame(origin))
                 self.store.manifest = advance(self.store, data, schema, incoming, op.descriptor())
                 out.append(self.snapshots().last_snapshot())
-                # the next operator reads what this one wrote, not its plan
-                rows, before = read.rows_at(self.store, version)
-                current = rows.select(F.col("rowid").alias("__rowid"), F.col("pos").alias("__pos"), *[F.col(f"v_{i}").alias(str(c)) for i, c in enumerate(before)])
+                self._tidy(data)
+                origin, (current, before) = version, snapshot(version)  # the next operator reads what this one wrote, not its plan
             after, self.store.manifest = self.store.manifest, manifest
             self.store.publish(after)
         except BaseException:
@@ -252,20 +258,12 @@ class Archive:
         return self.apply(Transform(lambda df: df, description=d.description, action=d.action, valid_time=d.valid_time), origin=self._existing(version))[0]
 
     def rollback(self, version: int) -> None:
-        """Forget everything after ``version``. Row and column identifiers aren't used again."""
+        """Forget everything after ``version``: the manifest says so, no data is read or written. Row and column identifiers aren't used again."""
         self._existing(version)
         m = self.store.manifest
-        data = self.store.new_data()
-        paths, counts = dict(m.paths), {}
-        for table in ("segments", "positions"):
-            states, n = write_states(self.store, read.truncated(self.store, table, version), f"{data}/{table}")
-            for s in ("open", "ended", "closed"):
-                paths[f"{table}_{s}"] = (states[s],) if s in states else ()
-            counts |= {f"{table}_open": n["open"], f"{table}_ended": 0}
-        living = read.whole(self.store, "segments").where(F.col("from_version") <= version).select("rowid").distinct()
-        self.store.read("keys").join(living, "rowid", "left_semi").write.parquet(f"{self.store.path}/{data}/keys")
-        paths["keys"] = (f"{data}/keys",)
-        self.store.publish(Manifest(m.schema.rollback(version), m.snapshots.rollback(version), m.primary_key, m.row_counter, m.next_key, paths, m.cells, counts))
+        frames = {v: f for v, f in m.frames.items() if v <= version}
+        # digests that live again may hold cells of any column
+        self.store.publish(m.replaced(schema=m.schema.rollback(version), snapshots=m.snapshots.rollback(version), paths=m.cut(version), frames=frames, digested=tuple(sorted(m.cells))))
 
     # reading
 
@@ -281,9 +279,9 @@ class Archive:
         """The table at a version, lazily, with each column's identifier in its metadata. ``order`` is position, key or None; ``row_id`` adds ``__index`` (row index, or row id where there is a key), ``position`` adds ``__pos``."""
         version = self._existing(version)
         index = row_id and not self.primary_key
-        rows, columns = read.rows_at(self.store, version, positions=position or order == "position", keys=index or order == "key")
+        rows, columns = read.rows_at(self.store, version, position, index or order == "key", labels=order == "position")
         if order == "position":
-            rows = rows.orderBy("pos")
+            rows = rows.orderBy("label")
         elif order == "key":
             rows = rows.orderBy("key", "rowid")
         out = [F.col(f"v_{i}").alias(str(c), metadata={"colid": c.colid, "colidx": c.colidx}) for i, c in enumerate(columns)]
@@ -295,12 +293,12 @@ class Archive:
 
     def open(self, version: int | None = None) -> DataFrame:
         """The rows of a version in key order, with ``__rowid``; may be read any number of times."""
-        rows, columns = read.rows_at(self.store, self._existing(version), positions=False, keys=True)
+        rows, columns = read.rows_at(self.store, self._existing(version), keys=True)
         return rows.orderBy("key", "rowid").select(F.col("rowid").alias("__rowid"), *[F.col(f"v_{i}").alias(str(c)) for i, c in enumerate(columns)])
 
     def document(self, version: int | None = None) -> Document:
         """A version as a document with its positions and row indexes, for the sinks."""
-        rows, columns = read.rows_at(self.store, self._existing(version), keys=True)
+        rows, columns = read.rows_at(self.store, self._existing(version), positions=True, keys=True)
         index = F.col("rowid") if self.primary_key else read.index_of(F.col("key"))
         return Document(rows.select(F.col("pos").alias("__pos"), index.alias("__idx"), *[f"v_{i}" for i in range(len(columns))]), columns)
 
@@ -335,7 +333,7 @@ class Archive:
 
     def keys(self) -> DataFrame:
         """``rowid, key, occ`` of every row that has ever been there."""
-        return self.store.read("keys")
+        return self.store.keys().select("rowid", "key", "occ")
 
     def register(self, name: str, versions: Iterable[int] | None = None) -> None:
         """Temporary views ``name_vN`` of versions, and ``name`` of the last, for SQL."""

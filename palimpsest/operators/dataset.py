@@ -16,7 +16,7 @@ from palimpsest.snapshots import SnapshotDescriptor
 
 
 class DatasetOperator:
-    """Makes a version's rows from an earlier one's: ``transform`` gets the named columns with ``__rowid`` and ``__pos`` and returns a DataFrame that keeps those two for the rows that stay."""
+    """Makes a version's rows from an earlier one's: ``transform`` gets the named columns with ``__rowid`` and ``__pos`` (a number that orders the rows) and returns a DataFrame that keeps those two for the rows that stay."""
 
     def __init__(self, columns: list | None = None, description: str | None = None, action: dict | None = None, valid_time=None):
         self.columns, self.description, self.action, self.valid_time = columns, description, action, valid_time

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.cells import as_text, family, value_at
-from palimpsest.plans.read import whole
+from palimpsest.plans.read import positions_at, whole
 from palimpsest.store import Store
 
 CELLS = "array<struct<colid int, old string, new string>>"
 
 
-def _side(store: Store, table: str, version: int, other: int | None, names: dict) -> DataFrame:
-    df = whole(store, table).where((F.col("from_version") <= version) & (F.col("to_version") >= version))
+def _side(store: Store, version: int, other: int | None, names: dict) -> DataFrame:
+    df = whole(store, "segments").where((F.col("from_version") <= version) & (F.col("to_version") >= version))
     if other is not None:
         df = df.where((F.col("from_version") > other) | (F.col("to_version") < other))
     return df.select(*[c.alias(n) for n, c in names.items()])
@@ -36,7 +36,7 @@ def row_changes(store: Store, before: int, after: int, positions: bool = True) -
     both_ids = sorted({*kinds_a, *kinds_b})
     a = {"a_rowid": F.col("rowid")} | {f"a_{c}": value_at(c, kinds_a[c], m.cells) for c in both_ids if c in kinds_a}
     b = {"b_rowid": F.col("rowid")} | {f"b_{c}": value_at(c, kinds_b[c], m.cells) for c in both_ids if c in kinds_b}
-    joined = _side(store, "segments", before, only[1], a).join(_side(store, "segments", after, only[0], b), F.col("a_rowid") == F.col("b_rowid"), "full_outer")
+    joined = _side(store, before, only[1], a).join(_side(store, after, only[0], b), F.col("a_rowid") == F.col("b_rowid"), "full_outer")
     changed = []
     for c in both_ids:
         old, new = F.col(f"a_{c}") if c in kinds_a else F.lit(None), F.col(f"b_{c}") if c in kinds_b else F.lit(None)
@@ -57,13 +57,12 @@ def row_changes(store: Store, before: int, after: int, positions: bool = True) -
     rows = joined.select(F.coalesce("a_rowid", "b_rowid").alias("rowid"), op.alias("op"), cells.alias("cells"))
     rows = rows.withColumn("cells", F.when(F.col("op") == "UPDATE", F.col("cells")).otherwise(F.array().cast(CELLS))).where((F.col("op") != "UPDATE") | (F.size("cells") > 0))
     if positions:
-        was = _side(store, "positions", before, after, {"rowid": F.col("rowid"), "old_pos": F.col("pos")})
-        now = _side(store, "positions", after, before, {"rowid": F.col("rowid"), "new_pos": F.col("pos")})
+        was, now = positions_at(store, before).withColumnRenamed("pos", "old_pos"), positions_at(store, after).withColumnRenamed("pos", "new_pos")
         moved = was.join(now, "rowid").where("old_pos <> new_pos")
         rows = rows.join(moved, "rowid", "full_outer").select("rowid", F.coalesce("op", F.lit("UPDATE")).alias("op"), F.coalesce("cells", F.array().cast(CELLS)).alias("cells"), "old_pos", "new_pos")
     else:
         rows = rows.withColumns({"old_pos": F.lit(None).cast("bigint"), "new_pos": F.lit(None).cast("bigint")})
-    return rows.join(store.read("keys").select("rowid", "key"), "rowid")
+    return rows.join(store.keys().select("rowid", "key"), "rowid")
 
 
 def described(changes: DataFrame) -> DataFrame:

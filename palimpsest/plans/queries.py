@@ -440,6 +440,51 @@ def diff_schema_v1_v2(spark, sf_dir):
     return spark.createDataFrame([tuple(c[n] for n in names) for c in found], "colid int, op string, old_name string, new_name string, old_pos int, new_pos int")
 
 
+@query("""SELECT o_orderkey, o_orderstatus, pos FROM (
+ SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 7 THEN 'second' ELSE o_orderstatus END AS o_orderstatus, ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders WHERE o_orderkey % 10 <> 0
+ UNION ALL SELECT o_orderkey, 'second', (SELECT COUNT(*) FROM orders WHERE o_orderkey % 10 <> 0) + ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1 FROM orders WHERE o_orderkey % 100 = 0)""")
+def upserted_repeats(spark, sf_dir):
+    """Given rows of equal key: the last one counts, also in a further upsert of the same keys."""
+    o = _table(spark, sf_dir, "orders")
+    a = Archive.create(spark, None, o.where("o_orderkey % 10 <> 0").select("o_orderkey", "o_orderstatus"), ["o_orderkey"])
+    some = o.where("o_orderkey % 100 IN (0, 7)")
+    for names in (("zero", "first"), ("third", "second")):
+        given = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("o_orderstatus")) for i, n in enumerate(names)])).alias("s")
+        doc = from_spark(some.select("o_orderkey", given).select("o_orderkey", "s.o_orderstatus", "s.i"), order_by=["i", "o_orderkey"])
+        a.upsert(doc.select(["o_orderkey", "o_orderstatus"]))
+    return a.checkout(position=True).withColumnRenamed("__pos", "pos")
+
+
+@query("""SELECT event_type, COUNT(*) AS n, COUNT(DISTINCT user_id) AS users FROM events GROUP BY event_type""")
+def two_streams(spark, sf_dir):
+    """Two streams, each with its own checkpoint, that commit to one archive in turn; each is started again at the end."""
+    from palimpsest.streaming.ingest import ingest_once
+
+    path = _fresh(spark)
+    events = spark.readStream.schema(_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]").select("event_id", "event_type", "user_id")
+    for part in (0, 1, 0, 1):
+        a = ingest_once(events.where(F.col("event_id") % 2 == part), path, ["event_id"], checkpoint=f"{path}-stream-{part}")
+    return a.checkout().groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+_FLAGGED = "ROW_NUMBER() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_linestatus) AS occ FROM lineitem"
+
+
+@query(f"""WITH a AS (SELECT l_returnflag, l_orderkey, l_linenumber, {_FLAGGED} WHERE l_partkey % 3 <> 0), b AS (SELECT l_returnflag, l_orderkey, l_linenumber, {_FLAGGED} WHERE l_partkey % 4 <> 0)
+SELECT COALESCE(a.l_returnflag, b.l_returnflag) AS l_returnflag, COALESCE(a.occ, b.occ) AS occ, CASE WHEN a.occ IS NULL THEN 'INSERT' WHEN b.occ IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS op
+FROM a FULL OUTER JOIN b ON a.l_returnflag = b.l_returnflag AND a.occ = b.occ
+WHERE a.occ IS NULL OR b.occ IS NULL OR (a.l_orderkey, a.l_linenumber) IS DISTINCT FROM (b.l_orderkey, b.l_linenumber)""")
+def hot_duplicate_key(spark, sf_dir):
+    """A key of three values that a third of all rows or more have each: their occurrences are numbered in chunks."""
+    rows = _table(spark, sf_dir, "lineitem")
+    order = ["l_orderkey", "l_linenumber", *(c for c in _LINE_ORDER if c != "l_returnflag")]
+    side = lambda n: from_spark(rows.where(F.col("l_partkey") % n != 0), order_by=order).select(["l_returnflag", "l_orderkey", "l_linenumber"])
+    a = Archive.create(spark, None, side(3), ["l_returnflag"])
+    a.commit(side(4))
+    changes = a.diff(0, 1, positions=False).rows().join(a.keys().select("rowid", "occ"), "rowid")
+    return changes.select(F.col("key")[0]["str"].alias("l_returnflag"), F.col("occ").cast("bigint").alias("occ"), "op")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of version 1 with what happened to them since version 0."""
     a = _orders(spark, sf_dir, 3)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column as SparkColumn
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.cells import as_text, value_at
-from palimpsest.store import OPEN, Store
+from palimpsest.plans.labels import with_positions
+from palimpsest.store import Store
 
 
 def whole(store: Store, table: str) -> DataFrame:
@@ -15,20 +17,52 @@ def whole(store: Store, table: str) -> DataFrame:
     return store.spans(table).withColumn("to_version", F.least("to_version", F.lit(last)))
 
 
-def rows_at(store: Store, version: int, positions: bool = True, keys: bool = False) -> tuple[DataFrame, list[str]]:
-    """``rowid``, ``v_0`` .. of the columns at ``version``, ``pos`` and ``key`` on request; and the columns."""
+def _covers(version: SparkColumn | int) -> SparkColumn:
+    return (F.col("from_version") <= version) & (F.col("to_version") >= version)
+
+
+def labels_at(store: Store, version: int) -> DataFrame:
+    """``rowid, label``: the rows of a version and what orders them."""
+    return store.spans("positions", alive=version).select("rowid", "label")
+
+
+def positions_at(store: Store, version: int) -> DataFrame:
+    """``rowid, pos`` of a version, none if the archive doesn't have it. Positions count among the rows of the version's frame: rows that an operator dropped leave their places empty."""
+    m = store.manifest
+    frame = m.frame(version)
+    if frame == version or not m.snapshots.has_version(version):
+        rows = labels_at(store, version) if m.snapshots.has_version(version) else labels_at(store, 0).where("false")
+        return with_positions(rows).select("rowid", "pos")
+    rows = whole(store, "positions").where(_covers(version) | _covers(frame))
+    rows = rows.groupBy("rowid").agg(F.max("label").alias("label"), F.bool_or(_covers(version)).alias("now"))
+    return with_positions(rows).where("now").select("rowid", "pos")
+
+
+def positions_of_all(store: Store) -> DataFrame:
+    """``rowid, version, pos`` of every row in every version."""
+    m = store.manifest
+    pairs = F.array(*[F.struct(F.lit(s.version).alias("v"), F.lit(m.frame(s.version)).alias("f")) for s in m.snapshots])
+    rows = whole(store, "positions").select("rowid", "label", "from_version", "to_version", F.explode(F.filter(pairs, lambda p: _covers(p["v"]) | _covers(p["f"]))).alias("p"))
+    rows = rows.groupBy("rowid", F.col("p.v").alias("version")).agg(F.max("label").alias("label"), F.bool_or(_covers(F.col("p.v"))).alias("now"))
+    return with_positions(rows, "version").where("now").select("rowid", "version", "pos")
+
+
+def rows_at(store: Store, version: int, positions: bool = False, keys: bool = False, labels: bool = False) -> tuple[DataFrame, list[str]]:
+    """``rowid``, ``v_0`` .. of the columns at ``version``, ``pos``, ``label`` (which orders like ``pos`` and costs less) and ``key`` on request; and the columns."""
     m = store.manifest
     columns, kinds = m.schema.at_version(version), m.schema.kinds_at(version)
     values = [value_at(c.colid, kinds[c.colid], m.cells).alias(f"v_{i}") for i, c in enumerate(columns)]
     out = store.spans("segments", alive=version).select("rowid", *values)
+    if labels:
+        out = out.join(labels_at(store, version), "rowid")
     if positions:
-        out = out.join(store.spans("positions", alive=version).select("rowid", "pos"), "rowid")
+        out = out.join(positions_at(store, version), "rowid")
     if keys:
-        out = out.join(store.read("keys").select("rowid", "key"), "rowid")
+        out = out.join(store.keys().select("rowid", "key"), "rowid")
     return out, columns
 
 
-def index_of(key: Column) -> Column:
+def index_of(key: SparkColumn) -> SparkColumn:
     """A row index as a number, from its key."""
     return key[0]["whole"]
 
@@ -70,9 +104,11 @@ def nested_rows(store: Store) -> DataFrame:
     """
     run = F.struct("from_version", "to_version")
     lives = lifetimes(store).groupBy("rowid").agg(F.sort_array(F.collect_list(run)).alias("versions"))
-    places = whole(store, "positions").groupBy("rowid", "pos").agg(F.sort_array(F.collect_list(run)).alias("versions"))
+    nth = F.row_number().over(Window.partitionBy("rowid", "pos").orderBy("version"))
+    held = positions_of_all(store).withColumn("run", F.col("version") - nth).groupBy("rowid", "pos", "run").agg(F.min("version").alias("from_version"), F.max("version").alias("to_version"))
+    places = held.groupBy("rowid", "pos").agg(F.sort_array(F.collect_list(run)).alias("versions"))
     places = places.groupBy("rowid").agg(F.sort_array(F.collect_list(F.struct("versions", "pos"))).alias("positions"))
-    out = store.read("keys").select("rowid", "key").join(lives, "rowid").join(places, "rowid")
+    out = store.keys().select("rowid", "key").join(lives, "rowid").join(places, "rowid")
     cells = None
     for colid in store.manifest.schema.columns:
         h = cell_history(store, colid).where("value is not null")
@@ -84,10 +120,3 @@ def nested_rows(store: Store) -> DataFrame:
     per_value = cells.groupBy("rowid", "colid", "value").agg(F.sort_array(F.collect_list(run)).alias("versions"))
     per_row = per_value.groupBy("rowid").agg(F.sort_array(F.collect_list(F.struct("colid", "versions", "value"))).alias("cells"))
     return out.join(per_row, "rowid", "left")
-
-
-def truncated(store: Store, table: str, version: int) -> DataFrame:
-    """Segments or positions as they were when ``version`` was the last, with their ``state``."""
-    both = store.spans(table).where(F.col("from_version") <= version)
-    stays = F.col("to_version") >= version
-    return both.withColumn("state", F.when(stays, "open").otherwise("closed")).withColumn("to_version", F.when(stays, OPEN).otherwise(F.col("to_version")))

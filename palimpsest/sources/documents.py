@@ -53,7 +53,7 @@ class Document:
 
     def select(self, columns) -> Document:
         at = column_index(self.columns, columns)
-        hidden = [c for c in ("__pos", "__idx") if c in self.df.columns]
+        hidden = [c for c in self.df.columns if not c.startswith("v_")]
         return Document(self.df.select(*hidden, *[F.col(f"v_{i}").alias(f"v_{k}") for k, i in enumerate(at)]), [self.columns[i] for i in at], self.order)
 
     def iterrows(self) -> Iterator[tuple]:

@@ -54,5 +54,6 @@ def test_stream_batches_are_committed_once(spark, tmp_path):
     spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string").write.mode("append").parquet(str(source))
     a = ingest_once(stream(), out, ["k"])
     assert sorted(map(tuple, a.checkout().collect())) == [(1, "a"), (2, "c"), (3, "d")] and len(a.snapshots()) == 2
-    commit_batch(path, ["k"])(spark.createDataFrame([(9, "x")], "k int, v string"), 1)
+    (name,) = a.store.manifest.batches  # the stream's own name: under another one the batch would be another stream's
+    commit_batch(path, ["k"], stream=name)(spark.createDataFrame([(9, "x")], "k int, v string"), 1)
     assert len(type(a).load(spark, path).snapshots()) == 2
