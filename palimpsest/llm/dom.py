@@ -48,7 +48,18 @@ PLAIN_WORDS = frozenset("no not has have with without is open opened closed enab
 STORY_WORDS = frozenset("article post entry story".split())
 BODY_WORDS = frozenset("body content text main".split())
 
-SURE, SOFT, ARTICLE, STORY = 1, 2, 4, 8
+# Of the words above those of what a host shows alike on all pages, which its pages then tell better than a word.
+FIXED_WORDS = frozenset("cookie cookies consent gdpr notice notices alert popup modal overlay banner masthead header newsletter subscribe signup login".split())
+# What a last word says of a name of three words or more that begins with one of the words above.
+PART_WORDS = frozenset("area bar block box button buttons container content form inner item items label link links list panel row section slot text title unit wrap wrapper".split())
+
+SURE, SOFT, ARTICLE, STORY, FIXED = 1, 2, 4, 8, 16
+
+
+def _said(token: list[str]) -> frozenset[str]:
+    """The words that a class or id names its element by: its last one and, if it is short or ends with a part's name, its first."""
+    first = token[:1] if len(token) < 3 or token[-1] in PART_WORDS else []
+    return SOFT_WORDS.intersection((*first, token[-1], "".join(token)))
 
 
 def words_of(token: str) -> list[str]:
@@ -63,11 +74,16 @@ def marks_of(name: str, role: str, tokens: list[list[str]], in_article: bool = F
         out |= ARTICLE
     said = [t for t in tokens if t and not PLAIN_WORDS.intersection(t)]
     named = {w for t in said for w in t}
-    # a token names its element by its first or its last word
-    if any(SOFT_WORDS.intersection((t[0], t[-1], "".join(t))) for t in said) and not (named & STORY_WORDS and named & {"header", "banner"}):
+    soft = frozenset().union(*map(_said, said)) if said else frozenset()
+    if soft and not (named & STORY_WORDS and named & {"header", "banner"}):
         out |= SOFT
+    else:
+        soft = frozenset()
     if name in SOFT_ELEMENTS and not (name == "header" and in_article) or role in SOFT_ROLES:
         out |= SOFT
+        soft |= {"header" if name == "header" or role == "banner" else name}
+    if soft and soft <= FIXED_WORDS:
+        out |= FIXED
     if any(STORY_WORDS.intersection(t) and BODY_WORDS.intersection(t) for t in said):
         out |= STORY
     return out

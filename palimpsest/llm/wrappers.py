@@ -7,19 +7,23 @@ a slot of its own shape. Over the host's distinct pages a slot has the number of
 pages, the most that agree in its text, and its mean share of a page's text,
 links left out.
 
-* A slot whose text is the same on nearly all pages is template: on ``share`` of
-  at least ``least`` pages, inside marked articles on ``sure_share`` of
-  ``sure_pages``.
+* A slot whose text is the same on most pages is template: on ``share`` of
+  at least ``least`` pages, inside marked articles and containers so named on
+  ``sure_share`` of ``sure_pages``. That text is dropped; where a page has another
+  one in the slot, it is judged like any varying text.
 * Varying slots are content or not by where the host's text lies. From the root
   on, the region narrows to a child as long as that child has over half of the
   text and ``dominant`` of what it and its largest rival have; what stands outside
   the region is no content, but for its h1 heading.
-  Lists of links are none either, unless inside an article.
+  Lists of links are none either, unless inside an article or where at least
+  ``least`` pages of the host show that they vary.
 * Marks are one feature of it. Text in article, main or a container so named
   weighs ``boost`` times. An element that says it is a menu, header, footer,
   sidebar, notice, advert, form or comments is out, but a class, id, form or
   header that only hints so is overruled where it holds nearly all text and
   there is no other article but a teaser. So no word blanks what surrounds the content.
+  What words say of notices, banners and headers counts for hosts of fewer than
+  ``least`` pages only: else it is their being the same that tells them.
 
 A host with one page is treated in the same way: by the density and the marks
 of that page. Copies of a page count once.
@@ -46,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import settle, with_fields
-from palimpsest.llm.dom import ARTICLE, SOFT, STORY, SURE, Page, folded, tree_matching
+from palimpsest.llm.dom import ARTICLE, FIXED, SOFT, STORY, SURE, Page, folded, tree_matching
 
 _HASH = 0x7FFFFFFFFFFFFFFF
 BROADCAST_BYTES = 8 << 20
@@ -95,15 +99,20 @@ def node_figures(blocks: list, raw: list) -> dict[int, tuple[int, float, float]]
 
 
 def decided(tree: list, figures: dict[int, tuple[int, int, float, float]], by: Evidence) -> tuple[list[int], list[int]]:
-    """(content, template): nodes of a folded tree, from the (pages, pages of one text, share of the text, share in links) of its nodes' slots."""
+    """(content, template): nodes of a folded tree, from the (pages, pages of one text, share of the text, share in links) of its nodes' slots. A node in both is content where a page's text isn't the slot's common one."""
     n = len(tree)
     kids: list[list[int]] = [[] for _ in tree]
     for k, (parent, _, _) in enumerate(tree):
         if parent >= 0:
             kids[parent].append(k)
-    marks = [m for _, _, m in tree]
+    pages_of = [figures[k][0] if k in figures else 0 for k in range(n)]
+    for k in range(n - 1, 0, -1):
+        pages_of[tree[k][0]] = max(pages_of[tree[k][0]], pages_of[k])
+    # the host's pages tell what is fixed better than words do
+    marks = [m & ~SOFT if m & FIXED and pages_of[k] >= by.least else m for k, (_, _, m) in enumerate(tree)]
     article, sure, hinted, story = [False] * n, [False] * n, [False] * n, [False] * n
-    for k, (parent, _, m) in enumerate(tree):
+    for k, (parent, _, _) in enumerate(tree):
+        m = marks[k]
         up = (lambda flags: parent >= 0 and flags[parent])
         sure[k] = up(sure) or bool(m & SURE)
         hinted[k] = up(hinted) or bool(m & SOFT) and not sure[k]
@@ -111,7 +120,7 @@ def decided(tree: list, figures: dict[int, tuple[int, int, float, float]], by: E
         story[k] = up(story) or bool(m & (ARTICLE | STORY))
     own, template = [0.0] * n, []
     for k, (pages, same, share, _) in figures.items():
-        constant = (same >= by.sure_share * pages and pages >= by.sure_pages) if article[k] else (same > by.share * pages and pages >= by.least)
+        constant = (same >= by.sure_share * pages and pages >= by.sure_pages) if story[k] else (same > by.share * pages and pages >= by.least)
         if constant:
             template.append(k)
         else:
@@ -131,10 +140,10 @@ def decided(tree: list, figures: dict[int, tuple[int, int, float, float]], by: E
     for k in range(n - 1, 0, -1):
         nested[tree[k][0]] = nested[tree[k][0]] or nested[k]
     hint = [False] * n
-    for k, (parent, _, m) in enumerate(tree):
+    for k, (parent, _, _) in enumerate(tree):
         if parent >= 0 and hint[parent]:
             hint[k] = True
-        elif m & SOFT and not sure[k]:
+        elif marks[k] & SOFT and not sure[k]:
             most = text[k] >= by.dominant * text[0] > 0
             overruled = nested[k] or most if not marked else most and marked < by.teaser * text[0]
             hint[k] = not overruled
@@ -156,9 +165,9 @@ def decided(tree: list, figures: dict[int, tuple[int, int, float, float]], by: E
         path.add(at)
     inside, content = [False] * n, []
     for k, (parent, _, _) in enumerate(tree):
-        listed = linked[k] > by.links * (linked[k] + plain[k]) and not article[k] and k not in path
+        listed = linked[k] > by.links * (linked[k] + plain[k]) and not article[k] and k not in path and pages_of[k] < by.least
         inside[k] = (k == at or parent >= 0 and inside[parent] or k in headings) and not out[k] and not listed
-        if inside[k] and k not in gone:
+        if inside[k]:
             content.append(k)
     return content, sorted(template)
 
@@ -211,7 +220,7 @@ def _aligned(batches):
 
 
 def slots(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``host, shape, tree`` of each shape, and ``host, shape, node, pages, same, share, links`` of each of its nodes that has contents."""
+    """``host, shape, tree`` of each shape, and ``host, shape, node, pages, same, common, share, links`` of each of its nodes that has contents."""
     distinct = settle(_figures(pages).groupBy("host", "shape", "page").agg(F.first("tree").alias("tree"), F.first("nodes").alias("nodes")))
     shapes = settle(distinct.groupBy("host", "shape").agg(F.count("*").alias("n"), F.first("tree").alias("tree")))
     reference = shapes.groupBy("host").agg(F.max_by("tree", F.struct("n", F.length("tree"), "tree")).alias("reference"))
@@ -220,31 +229,34 @@ def slots(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = aligned.select("host", "shape", "node", F.when(F.col("slot") >= 0, -1).otherwise(F.col("shape")).alias("at"), F.when(F.col("slot") >= 0, F.col("slot")).otherwise(F.col("node")).alias("slot"))
     nodes = distinct.select("host", "shape", F.explode("nodes").alias("x")).select("host", "shape", "x.*")
     per_text = nodes.join(placed, ["host", "shape", "node"]).groupBy("host", "at", "slot", "text").agg(F.count("*").alias("n"), F.sum("share").alias("share"), F.sum("links").alias("links"))
-    found = per_text.groupBy("host", "at", "slot").agg(F.sum("n").alias("pages"), F.max("n").alias("same"), (F.sum("share") / F.sum("n")).alias("share"), (F.sum("links") / F.sum("n")).alias("links"))
-    return shapes.select("host", "shape", "tree"), placed.join(found, ["host", "at", "slot"]).select("host", "shape", "node", "pages", "same", "share", "links")
+    found = per_text.groupBy("host", "at", "slot").agg(F.sum("n").alias("pages"), F.max("n").alias("same"), F.max_by("text", F.struct("n", "text")).alias("common"), (F.sum("share") / F.sum("n")).alias("share"), (F.sum("links") / F.sum("n")).alias("links"))
+    return shapes.select("host", "shape", "tree"), placed.join(found, ["host", "at", "slot"]).select("host", "shape", "node", "pages", "same", "common", "share", "links")
 
 
 def induced(pages: DataFrame, by: Evidence = Evidence()) -> DataFrame:
-    """``host, shape, content, template``: the nodes of each page shape that are content, and those that are template."""
+    """``host, shape, content, template, common``: the nodes of each page shape that are content, those that are template, and the hashes of what these have in common."""
     shapes, nodes = slots(pages)
-    listed = nodes.groupBy("host", "shape").agg(F.collect_list(F.struct("node", "pages", "same", "share", "links")).alias("nodes"))
+    listed = nodes.groupBy("host", "shape").agg(F.collect_list(F.struct("node", "pages", "same", "common", "share", "links")).alias("nodes"))
 
     def decide(batches):
         for batch in batches:
             found = []
             for tree, nodes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                found.append(decided(json.loads(tree), {x["node"]: (x["pages"], x["same"], x["share"], x["links"]) for x in sorted(nodes or [], key=lambda x: x["node"])}, by))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in range(2)]], ["host", "shape", "content", "template"])
+                each = {x["node"]: x for x in sorted(nodes or [], key=lambda x: x["node"])}
+                content, template = decided(json.loads(tree), {k: (x["pages"], x["same"], x["share"], x["links"]) for k, x in each.items()}, by)
+                found.append((content, template, [each[k]["common"] for k in template]))
+            kinds = (pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([f[k] for f in found], pa.list_(x)) for k, x in enumerate(kinds)]], ["host", "shape", "content", "template", "common"])
 
-    return shapes.join(listed, ["host", "shape"], "left").select("host", "shape", "tree", "nodes").mapInArrow(decide, "host string, shape long, content array<int>, template array<int>")
+    return shapes.join(listed, ["host", "shape"], "left").select("host", "shape", "tree", "nodes").mapInArrow(decide, "host string, shape long, content array<int>, template array<int>, common array<long>")
 
 
 def _texts(pages: DataFrame) -> DataFrame:
-    """``row`` (the given columns but html), host, shape and entries of each page."""
+    """``row`` (the given columns but html), host, shape and entries of each page, each with the hash of all text of its node."""
     rest = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    kind = pa.list_(pa.struct([("node", pa.int32()), ("block", pa.int32()), ("text", pa.string())]))
-    schema = with_fields(rows.select("row").schema, host="string", shape="long", blocks="array<struct<node int, block int, text string>>")
+    kind = pa.list_(pa.struct([("node", pa.int32()), ("block", pa.int32()), ("text", pa.string()), ("all", pa.int64())]))
+    schema = with_fields(rows.select("row").schema, host="string", shape="long", blocks="array<struct<node int, block int, text string, all long>>")
 
     def apply(batches):
         for batch in batches:
@@ -252,9 +264,10 @@ def _texts(pages: DataFrame) -> DataFrame:
                 part = batch.slice(a, 64)
                 shapes, found = [], []
                 for source in part.column(2).to_pylist():
-                    tree, blocks, _ = page_blocks(source)
+                    tree, blocks, raw = page_blocks(source)
                     shapes.append(_shape(tree)[0])
-                    found.append([{"node": n, "block": b, "text": t} for n, b, t, _ in blocks])
+                    whole = node_figures(blocks, raw)
+                    found.append([{"node": n, "block": b, "text": t, "all": whole[n][0]} for n, b, t, _ in blocks])
                 hosts = pa.array([_host(u) for u in part.column(1).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), hosts, pa.array(shapes, pa.int64()), pa.array(found, kind)], ["row", "host", "shape", "blocks"])
 
@@ -263,11 +276,13 @@ def _texts(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame, **evidence) -> DataFrame:
     """Every page with ``text`` and ``n_chars`` in the place of ``html`` (other columns are kept, those names replaced); ``evidence`` is that of ``Evidence``."""
-    found = settle(induced(pages, Evidence(**evidence))).select("host", "shape", "content")
-    size = found.agg(F.sum(F.length("host") + 4 * F.size("content") + 32).alias("n")).first()["n"] or 0
+    both = F.arrays_zip(F.col("template").alias("node"), F.col("common").alias("all"))
+    found = settle(induced(pages, Evidence(**evidence))).select("host", "shape", "content", F.filter(both, lambda x: F.array_contains("content", x["node"])).alias("dropped"))
+    size = found.agg(F.sum(F.length("host") + 4 * F.size("content") + 12 * F.size("dropped") + 32).alias("n")).first()["n"] or 0
     # where the table is small, page texts aren't shuffled; else a hot host's pages are split by the adaptive join
     found = F.broadcast(found) if size <= BROADCAST_BYTES else found
-    kept = F.filter("blocks", lambda b: F.array_contains("content", b["node"]))
+    common = lambda b: F.array_contains("dropped", F.struct(b["node"].alias("node"), b["all"].alias("all")))
+    kept = F.filter("blocks", lambda b: F.array_contains("content", b["node"]) & ~common(b))
     lines = F.transform("kept", lambda b, k: F.concat(F.when(k == 0, "").when(F.get("kept", k - 1)["block"] == b["block"], " ").otherwise("\n"), b["text"]))
     joined = _texts(pages).join(found, ["host", "shape"], "left").select("row", F.coalesce(kept, F.array()).alias("kept"))
     return joined.select("row.*", F.array_join(lines, "").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -182,3 +182,59 @@ def test_columns_and_empty_table(spark):
     rows = w.main_text(df).collect()
     assert len(rows) == 2 and rows[0].asDict() == {"page_id": 1, "url": "u", "shape": 7, "host": 8, "node": 9, "text": "x & y", "n_chars": 5}
     assert w.main_text(pages(spark, [])).collect() == []
+
+
+def texts(spark, body, n=12, wrap="<html><body><div class=top>Welcome to the site</div>{}<div class=end>All rights reserved</div></body></html>"):
+    rows = [(k, f"http://one.example/{k}", wrap.format(body(k))) for k in range(n)]
+    return {r.page_id: r.text for r in w.main_text(pages(spark, rows)).collect()}
+
+
+def test_only_the_common_text_of_a_slot_goes(spark):
+    body = lambda k: f"<div class=story><div class=summary>{'Warm' if k % 4 == 3 else 'No change.'}</div><p>text {k} goes on for a while</p></div>"
+    got = texts(spark, body)
+    assert all(t == ("Warm\n" if k % 4 == 3 else "") + f"text {k} goes on for a while" for k, t in got.items())
+
+
+def test_lists_of_links_that_vary_stay(spark):
+    body = lambda k: f"<div class=post-content><p>story {k} is told here</p><h2>References</h2><ul><li><a href=a{k}>paper {k}</a><li><a href=b{k}>another of {k}</a></ul></div>"
+    got = texts(spark, body, 8)
+    assert all(t == f"story {k} is told here\nReferences\npaper {k}\nanother of {k}" for k, t in got.items())
+
+
+def test_words_give_way_to_what_a_host_shows(spark):
+    body = lambda k: f"<article><section class=cookies><h2>How to bake cookies, part {k}</h2><p>flour {k}</p></section><p>rest {k}</p><div class=comment-policy-change>The policy of {k}</div><div class=cookie-bar>We use cookies</div></article>"
+    got = texts(spark, body, 14)
+    assert all(t == f"How to bake cookies, part {k}\nflour {k}\nrest {k}\nThe policy of {k}" for k, t in got.items())
+    heads = texts(spark, lambda k: f"<div class=story><header><h1>Title {k}</h1></header><p>long text of {k}</p></div>")
+    assert all(t == f"Title {k}\nlong text of {k}" for k, t in heads.items())
+
+
+@pytest.mark.parametrize("token, soft", [("comment-policy-change", False), ("comment-list", True), ("cookie-banner-wrapper", True), ("policy-comments", True), ("ads", True), ("loads", False), ("AdSlotLabel", True)])
+def test_names_of_elements(token, soft):
+    from palimpsest.llm.dom import SOFT, marks_of, words_of
+
+    assert bool(marks_of("div", "", [words_of(token)]) & SOFT) is soft
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_induction_against_plain_rules(spark, seed):
+    """Random hosts of one layout: every slot by itself, from the texts that all pages have in it."""
+    import random
+    from collections import Counter
+
+    r = random.Random(seed)
+    names = ["a", "b", "c", "d", "e", "f"]
+    same = {x: r.choice([0.0, 0.2, 0.7, 1.0]) for x in names}
+    n = r.randint(4, 9)
+    values = [{x: (f"common {x}" if r.random() < same[x] else f"own {x} {k}") for x in names} for k in range(n)]
+    wrap = "<html><body><main>{}</main></body></html>"
+    rows = [(k, "http://r.example/", wrap.format(f"<p>page {k} itself</p>" + "".join(f"<section class=s{x}>{v[x]}</section>" for x in names))) for k, v in enumerate(values)]
+    evidence = {"sure_share": 0.5, "sure_pages": 3}
+    got = {x.page_id: x.text for x in w.main_text(pages(spark, rows), **evidence).collect()}
+    for k, v in enumerate(values):
+        lines = [f"page {k} itself"]
+        for x in names:
+            text, count = Counter(u[x] for u in values).most_common(1)[0]
+            if not (count >= 0.5 * n and v[x] == text):
+                lines.append(v[x])
+        assert got[k] == "\n".join(lines)
