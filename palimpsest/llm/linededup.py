@@ -8,11 +8,13 @@ the context of the line before it, of its text alone and not of its context.
 A line's length is its words, or its characters where a script has no spaces.
 
 Owners of single lines tear a block apart where an earlier document has some of
-its lines. So with ``runs`` every run of lines is keyed too: from each line on,
-and up to each line, the shortest of ``least_words`` words. A run that an earlier
-document has goes. That is exact: a line lies in a block of that many words
-shared with any earlier document if and only if one of its runs does. A run is
-aligned by itself, so it may stand in another order or repeatedly.
+its lines. So with ``runs`` every run of lines names a pair too: from each line on,
+and up to each line, the shortest of ``least_words`` words, with the first document
+that has it. A line lies in a block of that many words shared with any earlier
+document if and only if one of its runs is shared, so those pairs are all that
+matter. The shared runs of a pair are dealt on patience piles, each of which rises
+in both documents and so aligns them; blocks that stand in another order or
+repeatedly are further piles, and what lies on one diagonal of a pile is one block.
 
 Each pair is aligned by patience: the lines that are unique in both documents
 and rare in the corpus are the anchors, their longest increasing run of
@@ -148,6 +150,31 @@ def aligned_blocks(shared: list[tuple[int, int, bool, int, int]], rare: int) ->
     return out + [(b[0], b[4], sum(x[4] for x in block)) for b in block]
 
 
+def aligned_runs(shared: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(place, lines) of the aligned blocks of a pair, from its shared runs (place, owner's place, lines), by patience piles."""
+    tops: list[int] = []
+    piles: list[list[tuple[int, int, int]]] = []
+    for run in sorted(set(shared)):
+        k = bisect_left(tops, run[1]) - 1  # of the piles that go on rising the one that has risen most
+        if k < 0:
+            tops.insert(0, run[1])
+            piles.insert(0, [run])
+        else:
+            tops[k] = run[1]
+            piles[k].append(run)
+    out = []
+    for pile in piles:
+        begin, own, end = pile[0][0], pile[0][1], pile[0][0] + pile[0][2]
+        for place, owner, lines in pile[1:]:
+            if place - owner == begin - own and place <= end:
+                end = max(end, place + lines)
+            else:
+                out.append((begin, end - begin))
+                begin, own, end = place, owner, place + lines
+        out.append((begin, end - begin))
+    return sorted(out)
+
+
 def without_lines(text: str, found: list[tuple[int, int, int]], least_words: int, copied: float, runs: list[tuple[int, int]] = ()) -> tuple[str, int, int, int, int]:
     """(text that is left, lines, words, lines deleted, words deleted)."""
     lines = text.split("\n")
@@ -223,7 +250,7 @@ def overlaps(docs: DataFrame, text: str = "text", least_words: int = 10, rare: i
 
 
 def repeated_runs(docs: DataFrame, text: str = "text", least_words: int = 10, whole: bool = False) -> DataFrame:
-    """``doc_id, row, runs``: (place, lines) of the runs of every row that an earlier document has; ``whole`` adds shorter texts that an earlier document is."""
+    """``doc_id, row, runs``: (place, lines) of the blocks of every row that are aligned with an earlier document; ``whole`` adds shorter texts that an earlier document is."""
 
     def keys(batches):
         for batch in batches:
@@ -236,9 +263,18 @@ def repeated_runs(docs: DataFrame, text: str = "text", least_words: int = 10, wh
 
     rows = _rows(docs, text)
     keyed = rows.mapInArrow(keys, "key binary, doc_id long, row long, place int, lines int")
-    owners = keyed.groupBy("key").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("last")).where("last > own")
-    shared = keyed.join(settle(owners.select("key", "own")), "key").where("doc_id > own")
-    return shared.groupBy("doc_id", "row").agg(F.collect_list(F.struct("place", "lines")).alias("runs"))
+    owners = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("own"), F.max("doc_id").alias("last")).where("last > own.doc_id")
+    shared = keyed.join(settle(owners.select("key", "own")), "key").where("doc_id > own.doc_id")
+    pairs = shared.groupBy("doc_id", "row", F.col("own.doc_id").alias("owner")).agg(F.collect_list(F.struct("place", F.col("own.place").alias("own_place"), "lines")).alias("shared"))
+
+    def align(batches):
+        kind = pa.list_(pa.struct([("place", pa.int32()), ("lines", pa.int32())]))
+        for batch in batches:
+            found = [[{"place": p, "lines": n} for p, n in aligned_runs([tuple(s.values()) for s in shared])] for shared in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["doc_id", "row", "runs"])
+
+    each = pairs.select("doc_id", "row", "shared").mapInArrow(align, "doc_id long, row long, runs array<struct<place int, lines int>>")
+    return each.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def _after_deletion(docs: DataFrame, text: str = "text", least_words: int = 10, copied: float = 0.8, rare: int = 64, runs: bool = False) -> DataFrame:

@@ -67,3 +67,34 @@ def test_rows_of_one_id_lose_their_own_places_only(make):
 def test_short_copies(make):
     got = result(d.deduplicated_lines(make([(1, "As. The\nend.", "en", "s"), (2, "As. The\n\nend.", "en", "s"), (3, "As. The\nend. No.", "en", "s"), (4, f"As. The\nend.\n{line(1)}", "en", "s")]), runs=True))
     assert [got[i][1] for i in (1, 2, 3, 4)] == [0, 2, 0, 0] and got[2][0] == ""
+
+
+def test_patience_piles_align_all_shared_runs():
+    """Piles rise in both documents, and together they hold every run."""
+    import random
+
+    from palimpsest.llm.linededup import aligned_runs
+
+    r = random.Random(4)
+    for _ in range(200):
+        shared = [(r.randrange(30), r.randrange(30), r.randint(1, 4)) for _ in range(r.randint(1, 20))]
+        got = aligned_runs(shared)
+        assert {p + i for p, _, n in shared for i in range(n)} == {p + i for p, n in got for i in range(n)}
+    assert aligned_runs([(0, 10, 3), (1, 11, 3), (4, 14, 2)]) == [(0, 6)]  # one diagonal, one block
+    assert aligned_runs([(0, 10, 3), (5, 0, 3)]) == [(0, 3), (5, 3)]  # the other order
+    assert aligned_runs([(0, 10, 3), (5, 10, 3)]) == [(0, 3), (5, 3)]  # a block twice
+    assert len(aligned_runs([(k, 50_000 - k, 1) for k in range(20_000)])) == 20_000
+
+
+def test_runs_come_through_the_alignment(spark, make, monkeypatch):
+    """Without what the alignment returns no run is deleted."""
+    from palimpsest.llm import linededup
+
+    lines = [f"line {k} of the passage that both have" for k in range(6)]
+    docs = make(["\n".join(lines[:2]), "\n".join(["own words at the top of it", *lines, "and the end"]), "\n".join(["another begin for this one", *lines[3:], *lines[:3]])])
+    got = {r.doc_id: r.text for r in linededup.deduplicated_lines(docs, runs=True).collect()}
+    assert got[2] == "another begin for this one" and got[1].split("\n")[0] == "own words at the top of it" and lines[2] in got[1]
+    none = linededup.repeated_runs(docs).selectExpr("doc_id", "row", "filter(runs, x -> false) AS runs")
+    monkeypatch.setattr(linededup, "repeated_runs", lambda *args, **kwargs: none)
+    left = {r.doc_id: r.text for r in linededup.deduplicated_lines(docs, runs=True).collect()}
+    assert left[2] != got[2]
