@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import types as T
-
 
 class Column(str):
     """A column name with an identifier (``colid``) and, in a snapshot, a place (``colidx``)."""
@@ -204,7 +202,3 @@ def primary_key_ids(columns: list, primary_key) -> list[int] | None:
             raise ValueError(f"{'unknown' if not found else 'ambiguous'} key column {name}")
         out += found
     return out
-
-
-def field_kind(kind: T.DataType) -> str:
-    return kind.simpleString()

@@ -4,11 +4,12 @@
 each row, with the versions it was there in, its positions, and the values of its
 cells with their versions. A version that isn't said is the row's.
 
-    {"r": 0, "k": "A", "t": [[0, 3]], "p": {"v": 0}, "c": {"0": {"v": "A"}, "1": [{"t": [[0, 0]], "v": 32}, {"t": [[1, 3]], "v": 33}]}}
+    {"r": 5, "k": "pier", "t": [[2, 4], [6, 6]], "p": [{"t": [[2, 2]], "v": 17}, {"t": [[3, 4], [6, 6]], "v": 12}], "c": {"0": {"v": "pier"}, "3": {"t": [[4, 4]], "v": 8.25}}}
 
 Rows are parsed once, by Spark; each version is then a selection of them that is
 committed, so a row keeps its identity by its key or row index. Values keep their
-JSON types. Times of the snapshots are kept.
+JSON types, and row indexes too: numbers, texts or lists, and where they are of
+several kinds, all of them with their kind. Times of the snapshots are kept.
 """
 
 from __future__ import annotations
@@ -55,11 +56,10 @@ def _time(value):
     return as_time(value["$datetime"] if isinstance(value, dict) else value)
 
 
-def _rows(spark: SparkSession, path: str) -> DataFrame:
-    """The parsed rows, written once to the shared folder."""
+def _rows(spark: SparkSession, path: str, copy: str) -> DataFrame:
+    """The parsed rows, written once to ``copy``."""
     schema = f"k variant, t {_SPANS}, p variant, c map<string,variant>"
     parsed = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", schema).alias("r")).select("r.*")
-    copy = f"{scratch_dir(spark)}/import-{uuid.uuid4().hex}"
     parsed.write.parquet(copy)
     return spark.read.schema(parsed.schema).parquet(copy)
 
@@ -69,10 +69,19 @@ def import_archive(spark: SparkSession, source: str, path: str | None = None) ->
     files = Files(spark)
     meta = json.loads(files.read(f"{source}/metadata.dat"))
     name = next((n for n in ("rows.dat", "rows.dat.gz") if files.exists(f"{source}/{n}")), "rows.dat")
-    rows = _rows(spark, f"{source}/{name}")
+    copy = f"{scratch_dir(spark)}/import-{uuid.uuid4().hex}"
+    try:
+        return _imported(spark, meta, _rows(spark, f"{source}/{name}", copy), path)
+    finally:
+        files.delete(copy)
+
+
+def _imported(spark: SparkSession, meta: dict, rows: DataFrame, path: str | None) -> Archive:
     key, archive, names = meta.get("primaryKey"), None, {}
+    # the kinds of all row indexes, so that one of them is the same key in every version
+    indexes = set() if key else {r[0] for r in rows.select(json_cell(F.col("k"))["t"]).distinct().collect()} - {None}
     snapshots = sorted(meta.get("snapshots", []), key=lambda s: s["v"])
-    for number, snapshot in enumerate(snapshots):
+    for snapshot in snapshots:
         version = snapshot["v"]
         columns = sorted((_value_py(c["p"], version), c["c"], str(_value_py(c["n"], version))) for c in meta["schema"] if _covers_py(c["t"], version))
         alive = rows.where(_covers(F.col("t"), version))
@@ -81,7 +90,7 @@ def import_archive(spark: SparkSession, source: str, path: str | None = None) ->
             *[json_cell(_value_at(F.col("c")[str(colid)], version)).alias(f"v_{i}") for i, (_, colid, _) in enumerate(columns)],
         )
         kinds = cells.agg(*[F.sort_array(F.collect_set(f"v_{i}.t")).alias(f"v_{i}") for i in range(len(columns))], F.lit(0).alias("one")).first()
-        index = [] if key else [F.col("__idx.v").cast("bigint").alias("__idx")]
+        index = [] if key else [json_typed("__idx", indexes, None).alias("__idx")]
         document = Document(cells.select("__pos", *index, *[json_typed(f"v_{i}", set(kinds[f"v_{i}"]), None).alias(f"v_{i}") for i in range(len(columns))]), [n for _, _, n in columns])
         about = SnapshotDescriptor(snapshot.get("d"), _time(snapshot["vt"]), snapshot.get("a"))
         renamed = {names[c]: n for _, c, n in columns if c in names and names[c] != n}

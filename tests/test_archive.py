@@ -12,16 +12,16 @@ from palimpsest.snapshots import SnapshotDescriptor, SnapshotListing
 from palimpsest.sources.documents import empty_document, from_rows, untagged
 
 
-def frame(rows, index=None, columns=("Name", "Age")):
+def frame(rows, index=None, columns=("Berth", "Draught")):
     return pd.DataFrame(rows, columns=list(columns), index=None if index is None else pd.Index(index, dtype=object))
 
 
 FRAMES = [
-    frame([["Alice", 32], ["Bob", 45], ["Claire", 27], ["Alice", 23]]),
-    frame([["Alice", 32], ["Bob", 44], ["Claire", 27], ["Dave", 23]], [0, 1, 2, 3]),
-    frame([["Dave", 33], ["Claire", 27], ["Bob", 44], ["Alice", 32]], [3, 2, 1, 0]),
-    frame([["Alice", 32], ["Eve", 25], ["Claire", 27], ["Bob", 44]], [0, None, 2, 1]),
-    frame([["Alice", 32], ["Claire", 27], ["Bob", 44]], [0, 2, 1]),
+    frame([["Nadia", 32], ["Oskar", 45], ["Petra", 27], ["Nadia", 23]]),
+    frame([["Nadia", 32], ["Oskar", 44], ["Petra", 27], ["Quint", 23]], [0, 1, 2, 3]),
+    frame([["Quint", 33], ["Petra", 27], ["Oskar", 44], ["Nadia", 32]], [3, 2, 1, 0]),
+    frame([["Nadia", 32], ["Rosa", 25], ["Petra", 27], ["Oskar", 44]], [0, None, 2, 1]),
+    frame([["Nadia", 32], ["Petra", 27], ["Oskar", 44]], [0, 2, 1]),
 ]
 
 
@@ -29,7 +29,7 @@ def values(df):
     return [list(r) for r in df.collect()]
 
 
-@pytest.mark.parametrize("key", [["Name", "Age"], None])
+@pytest.mark.parametrize("key", [["Berth", "Draught"], None])
 @pytest.mark.parametrize("persistent", [True, False])
 def test_commit_and_checkout(spark, tmp_path, key, persistent):
     path = str(tmp_path / "a") if persistent else None
@@ -47,7 +47,7 @@ def test_commit_and_checkout(spark, tmp_path, key, persistent):
             assert [r[0] for r in got] == [4 if i is None else i for i in f.index]
     if key:
         names = [(r.key[0]["str"], r.key[1]["whole"]) for r in a.keys().orderBy("key").collect()]
-        assert names == [("Alice", 23), ("Alice", 32), ("Bob", 44), ("Bob", 45), ("Claire", 27), ("Dave", 23), ("Dave", 33), ("Eve", 25)]
+        assert names == [("Nadia", 23), ("Nadia", 32), ("Oskar", 44), ("Oskar", 45), ("Petra", 27), ("Quint", 23), ("Quint", 33), ("Rosa", 25)]
         assert [[r[0] for r in values(a.open(v))] for v in range(3)] == [[0, 1, 2, 3], [1, 4, 3, 5], [1, 4, 3, 6]]
 
 
@@ -81,10 +81,10 @@ def test_settling_changes_nothing(spark, monkeypatch):
     seen = []
     for share in (0.0, 10.0):
         monkeypatch.setattr(merge, "ENDED_SHARE", share)
-        a = Archive.create(spark, None, FRAMES[0], ["Name", "Age"])
+        a = Archive.create(spark, None, FRAMES[0], ["Berth", "Draught"])
         for f in FRAMES[1:]:
             a.commit(f)
-        a.upsert(frame([["Bob", 44], ["Zoe", 1]]))
+        a.upsert(frame([["Oskar", 44], ["Zoe", 1]]))
         seen.append([[values(a.checkout(v, order="position", row_id=True)) for v in range(6)], values(a.lifetimes().orderBy("rowid", "from_version")), values(a.diff(1, 4).rows().orderBy("rowid").select("rowid", "op", "old_pos", "new_pos"))])
     assert seen[0] == seen[1] and seen[0][0][5][-1] == [8, "Zoe", 1]
 
@@ -93,12 +93,12 @@ def test_of_two_writers_one_succeeds(spark, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 
     path = str(tmp_path / "a")
-    Archive.create(spark, path, FRAMES[0], ["Name", "Age"])
+    Archive.create(spark, path, FRAMES[0], ["Berth", "Draught"])
     handles = [Archive.load(spark, path) for _ in range(4)]
 
     def attempt(k):
         try:
-            handles[k].commit(frame([["Alice", 32], [f"w{k}", k]]))
+            handles[k].commit(frame([["Nadia", 32], [f"w{k}", k]]))
             return k
         except RuntimeError:
             return None
@@ -113,7 +113,7 @@ def test_of_two_writers_one_succeeds(spark, tmp_path):
 def test_upserts_without_a_key_append(spark):
     a = Archive.create(spark, None, frame([["a", 1]]))
     a.upsert(frame([["b", 2], ["c", 3]]))
-    a.upsert(spark.createDataFrame([("d", 4, True)], "Name string, Age long, More boolean"))
+    a.upsert(spark.createDataFrame([("d", 4, True)], "Berth string, Draught long, More boolean"))
     assert values(a.checkout(order="position", row_id=True)) == [[0, "a", 1, None], [1, "b", 2, None], [2, "c", 3, None], [3, "d", 4, True]]
 
 
@@ -165,10 +165,10 @@ def test_inferred_types_are_the_archives(spark, tmp_path):
 
 
 DIFFS = [
-    frame([["Alice", 32], ["Bob", 45], ["Claire", 27], ["Dave", 23]]),
-    frame([[32, "Alice", 180], [45, "Bob", 175], [27, "Claire", 168], [23, "Dave", 181]], columns=("Age", "Name", "Height")),
-    frame([[180, 32, "Alice"], [168, 27, "Claire"], [181, 24, "Dave"]], [0, 2, 3], columns=("Height", "Age", "Name")),
-    frame([[180, 32, "Alice"], [169, 27, "Claire"], [181, 24, "Dave"]], [0, 2, 3], columns=("Size", "Age", "Name")),
+    frame([["Nadia", 32], ["Oskar", 45], ["Petra", 27], ["Quint", 23]]),
+    frame([[32, "Nadia", 180], [45, "Oskar", 175], [27, "Petra", 168], [23, "Quint", 181]], columns=("Draught", "Berth", "Depth")),
+    frame([[180, 32, "Nadia"], [168, 27, "Petra"], [181, 24, "Quint"]], [0, 2, 3], columns=("Depth", "Draught", "Berth")),
+    frame([[180, 32, "Nadia"], [169, 27, "Petra"], [181, 24, "Quint"]], [0, 2, 3], columns=("Size", "Draught", "Berth")),
 ]
 
 
@@ -176,7 +176,7 @@ def test_diff_counts(spark):
     a = Archive.create(spark, None, DIFFS[0])
     a.commit(DIFFS[1])
     a.commit(DIFFS[2])
-    a.commit(DIFFS[3], renamed={"Height": "Size"})
+    a.commit(DIFFS[3], renamed={"Depth": "Size"})
     expected = [(0, 1, (0, 1, 2), (0, 0, 4)), (1, 2, (0, 0, 3), (1, 0, 2)), (2, 3, (0, 0, 1), (0, 0, 1))]
     for old, new, columns, rows in expected:
         d = a.diff(old, new)
@@ -190,7 +190,7 @@ def test_diff_counts(spark):
 
 
 def test_diff_of_moved_rows(spark):
-    a = Archive.create(spark, None, frame([["A", 1], ["B", 2], ["C", 3]]), ["Name"])
+    a = Archive.create(spark, None, frame([["A", 1], ["B", 2], ["C", 3]]), ["Berth"])
     a.commit(frame([["B", 2], ["C", 4]]))
     d = a.diff(0, 1)
     assert d.describe()["rows"] == {"inserted": 0, "deleted": 1, "moved": 2, "updated": 0, "updated_values": 0, "all_updated": 1, "all_values": 1}
@@ -199,7 +199,7 @@ def test_diff_of_moved_rows(spark):
 
 def test_rollback(spark, tmp_path):
     path = str(tmp_path / "a")
-    frames = [FRAMES[0], frame([["Alice", 32, 180], ["Bob", 45, 170], ["Claire", 27, 160], ["Alice", 23, 150]], columns=("Name", "Age", "Height")), FRAMES[1]]
+    frames = [FRAMES[0], frame([["Nadia", 32, 180], ["Oskar", 45, 170], ["Petra", 27, 160], ["Nadia", 23, 150]], columns=("Berth", "Draught", "Depth")), FRAMES[1]]
     a = Archive.create(spark, path, frames[0])
     for f in frames[1:]:
         a.commit(f)
@@ -221,24 +221,24 @@ def test_rollback(spark, tmp_path):
 def test_apply(spark):
     a = Archive.create(spark, None, FRAMES[0])
     made = a.apply([
-        Expressions(set={"Age": "Age + 1"}, description="older", action={"op": "inc"}),
-        Expressions(where="Name <> 'Bob'", rename={"Name": "Person"}),
-        RowFunction(lambda i, r: [r[0].upper(), r[1], r[1] / 2] if r[1] > 24 else None, ["Person", "Age", "Half"], ["string", "bigint", "double"]),
+        Expressions(set={"Draught": "Draught + 1"}, description="older", action={"op": "inc"}),
+        Expressions(where="Berth <> 'Oskar'", rename={"Berth": "Mooring"}),
+        RowFunction(lambda i, r: [r[0].upper(), r[1], r[1] / 2] if r[1] > 24 else None, ["Mooring", "Draught", "Half"], ["string", "bigint", "double"]),
     ])
     assert [s.version for s in made] == [1, 2, 3] and made[0].action == {"op": "inc"} and made[0].description == "older"
-    assert values(a.checkout(1, order="position")) == [["Alice", 33], ["Bob", 46], ["Claire", 28], ["Alice", 24]]
-    assert values(a.checkout(2, order="position", position=True)) == [[0, "Alice", 33], [2, "Claire", 28], [3, "Alice", 24]]
-    assert values(a.checkout(3, order="position")) == [["ALICE", 33, 16.5], ["CLAIRE", 28, 14.0]]
-    assert [c["new_name"] for c in a.schema().diff(1, 2)] == ["Person"]
-    a.apply(Expressions(where="Age < 30"), origin=0)
-    assert values(a.checkout(order="position")) == [["Claire", 27], ["Alice", 23]]
+    assert values(a.checkout(1, order="position")) == [["Nadia", 33], ["Oskar", 46], ["Petra", 28], ["Nadia", 24]]
+    assert values(a.checkout(2, order="position", position=True)) == [[0, "Nadia", 33], [2, "Petra", 28], [3, "Nadia", 24]]
+    assert values(a.checkout(3, order="position")) == [["NADIA", 33, 16.5], ["PETRA", 28, 14.0]]
+    assert [c["new_name"] for c in a.schema().diff(1, 2)] == ["Mooring"]
+    a.apply(Expressions(where="Draught < 30"), origin=0)
+    assert values(a.checkout(order="position")) == [["Petra", 27], ["Nadia", 23]]
     assert [r.version for r in a.snapshots_df().collect()] == [0, 1, 2, 3, 4]
     with pytest.raises(ValueError):
-        a.apply(Expressions(where="Age < 30"), origin=9)
+        a.apply(Expressions(where="Draught < 30"), origin=9)
 
 
 def test_restore(spark):
-    a = Archive.create(spark, None, FRAMES[0], ["Name", "Age"], SnapshotDescriptor(valid_time=datetime(2024, 1, 1)))
+    a = Archive.create(spark, None, FRAMES[0], ["Berth", "Draught"], SnapshotDescriptor(valid_time=datetime(2024, 1, 1)))
     a.commit(FRAMES[2])
     before = values(a.checkout(0, order="position", row_id=True))
     assert a.restore(0).version == 2 and values(a.checkout(2, order="position", row_id=True)) == before
@@ -246,13 +246,13 @@ def test_restore(spark):
 
 
 def test_failed_commit_and_apply_change_nothing(spark):
-    a = Archive.create(spark, None, FRAMES[0], ["Name"], SnapshotDescriptor(valid_time=datetime(2024, 5, 1)))
+    a = Archive.create(spark, None, FRAMES[0], ["Berth"], SnapshotDescriptor(valid_time=datetime(2024, 5, 1)))
     with pytest.raises(ValueError):
         a.commit(FRAMES[1], SnapshotDescriptor(valid_time=datetime(2024, 4, 1)))
     with pytest.raises(ValueError, match="key"):
-        a.commit(frame([[1]], columns=("Age",)))
+        a.commit(frame([[1]], columns=("Draught",)))
     with pytest.raises(Exception):
-        a.apply([Expressions(set={"Age": "Age + 1"}), Expressions(where="no_such_column = 1")])
+        a.apply([Expressions(set={"Draught": "Draught + 1"}), Expressions(where="no_such_column = 1")])
     assert len(a.snapshots()) == 1 and a.checkout().count() == 4
 
 
@@ -286,8 +286,8 @@ def test_columns_keep_identity(spark):
     a = Archive.create(spark, None, FRAMES[0])
     out = a.checkout(0)
     assert [f.metadata for f in out.schema] == [{"colid": 0, "colidx": 0}, {"colid": 1, "colidx": 1}]
-    a.commit(out.withColumnRenamed("Age", "Years"), row_index=None, order_by="Name")
-    assert [(str(c), c.colid) for c in a.schema().at_version(1)] == [("Name", 0), ("Years", 1)]
+    a.commit(out.withColumnRenamed("Draught", "Years"), row_index=None, order_by="Berth")
+    assert [(str(c), c.colid) for c in a.schema().at_version(1)] == [("Berth", 0), ("Years", 1)]
     twice = from_rows(spark, [Column("A", 0), Column("A", 1)], [(0, 0, [1, 2])])
     assert values(Archive.create(spark, None, twice).checkout()) == [[1, 2]]
 
@@ -309,7 +309,7 @@ def test_empty_documents_and_archives(spark):
 
 
 def test_validate_wants_key_order(spark):
-    a = Archive.create(spark, None, frame([["B", 1], ["A", 2]]), ["Name"])
+    a = Archive.create(spark, None, frame([["B", 1], ["A", 2]]), ["Berth"])
     with pytest.raises(ValueError, match="order"):
         a.commit(frame([["B", 1], ["A", 2]]), validate=True)
     a.commit(frame([["A", 2], ["A", 2], ["B", 1]]), validate=True)
@@ -344,9 +344,9 @@ def test_concurrent_writers_are_told(spark, tmp_path):
 
 
 def test_scan_is_pruned(spark):
-    a = Archive.create(spark, None, FRAMES[0], ["Name"])
+    a = Archive.create(spark, None, FRAMES[0], ["Berth"])
     a.commit(FRAMES[1])
-    plan = a.checkout(0).select("Age")._jdf.queryExecution().executedPlan().toString()
+    plan = a.checkout(0).select("Draught")._jdf.queryExecution().executedPlan().toString()
     scans = plan[plan.index("PushedFilters") :]  # whose text is cut short
     assert "PushedFilters: [IsNotNull(from_version), IsNotNull(to_version), LessThanOrEqual(from_versio" in scans and "c_0_str" not in scans
 

@@ -5,9 +5,9 @@ from palimpsest.functions.versions import Versions
 
 
 def test_versions_hold_runs():
-    v = Versions.of((1, 5), (7, 9), 11, (14, 16), 18)
-    assert [x for x in range(20) if v.contains(x)] == [1, 2, 3, 4, 5, 7, 8, 9, 11, 14, 15, 16, 18]
-    assert v.last_version() == 18 and not v.is_empty() and Versions().last_version() is None
+    v = Versions.of(0, (4, 6), (10, 13), 20)
+    assert [x for x in range(25) if v.contains(x)] == [0, 4, 5, 6, 10, 11, 12, 13, 20]
+    assert v.last_version() == 20 and not v.is_empty() and Versions().last_version() is None
     assert str(Versions.of(1, (3, 4))) == "[1, 3-4]"
 
 
@@ -20,23 +20,23 @@ def test_versions_append():
         Versions.of((3, 1))
 
 
-@pytest.mark.parametrize("version", range(1, 13))
+@pytest.mark.parametrize("version", range(0, 18))
 def test_versions_rollback(version):
-    v = Versions.of((2, 3), (5, 7), 9, (11, 12))
+    v = Versions.of(1, (4, 8), (10, 11), 15)
     back = v.rollback(version)
-    assert [x for x in range(15) if back.contains(x)] == [x for x in range(version + 1) if v.contains(x)]
+    assert [x for x in range(20) if back.contains(x)] == [x for x in range(version + 1) if v.contains(x)]
 
 
 def test_schema_merge_by_name_and_id():
-    one, ids = ArchiveSchema().merge(["Name", "Age", "Salary"], 0, None)
+    one, ids = ArchiveSchema().merge(["Vessel", "Draught", "Tonnage"], 0, None)
     assert ids == [0, 1, 2]
-    two, ids = one.merge(["Name", Column("BDate", 1), "Gender", "Salary"], 1, 0)
+    two, ids = one.merge(["Vessel", Column("Opened", 1), "Harbour", "Tonnage"], 1, 0)
     assert ids == [0, 1, 3, 2]
-    three, ids = two.merge(["BDate", "Name", "Gender", "Address"], 2, 1)
+    three, ids = two.merge(["Opened", "Vessel", "Harbour", "Flag"], 2, 1)
     assert ids == [1, 0, 3, 4]
-    assert [(str(c), c.colid) for c in three.at_version(2)] == [("BDate", 1), ("Name", 0), ("Gender", 3), ("Address", 4)]
+    assert [(str(c), c.colid) for c in three.at_version(2)] == [("Opened", 1), ("Vessel", 0), ("Harbour", 3), ("Flag", 4)]
     assert three.at_version(9) == []
-    assert [str(c) for c in three.rollback(0).at_version(0)] == ["Name", "Age", "Salary"]
+    assert [str(c) for c in three.rollback(0).at_version(0)] == ["Vessel", "Draught", "Tonnage"]
     assert set(three.rollback(0).columns) == {0, 1, 2}
 
 
@@ -48,14 +48,14 @@ def test_dropped_name_gets_a_new_identifier():
 
 
 def test_renamed_and_ambiguous():
-    s, _ = ArchiveSchema().merge(["Name", "Height"], 0, None)
-    s, ids = s.merge(["Name", "Size"], 1, 0, {"Height": "Size"})
-    assert ids == [0, 1] and s.diff(0, 1) == [{"colid": 1, "op": "UPDATE", "old_name": "Height", "new_name": "Size", "old_pos": None, "new_pos": None}]
+    s, _ = ArchiveSchema().merge(["Vessel", "Depth"], 0, None)
+    s, ids = s.merge(["Vessel", "Fathoms"], 1, 0, {"Depth": "Fathoms"})
+    assert ids == [0, 1] and s.diff(0, 1) == [{"colid": 1, "op": "UPDATE", "old_name": "Depth", "new_name": "Fathoms", "old_pos": None, "new_pos": None}]
     twice, _ = ArchiveSchema().merge([Column("A", 0), Column("A", 1)], 0, None)
     with pytest.raises(ValueError, match="unique"):
         twice.merge(["A"], 1, 0)
     with pytest.raises(ValueError, match="multiple"):
-        s.merge([Column("Name", 0), "Name"], 2, 0)
+        s.merge([Column("Vessel", 0), "Vessel"], 2, 0)
 
 
 def test_document_schema_and_references():
@@ -65,19 +65,19 @@ def test_document_schema_and_references():
         document_schema([Column("A", 1), Column("B", 1)])
     with pytest.raises(ValueError):
         to_schema(["A", Column("B", 0)])
-    schema = to_schema(["Name", "A", "A"])
+    schema = to_schema(["Vessel", "A", "A"])
     assert column_ref(schema, 2) == ("A", 2) and column_ref(schema, "A") == ("A", 1) and column_ref(schema, schema[2]) == ("A", 2)
-    assert column_index(schema, ["A", 0]) == [1, 0] and select_clause(schema, "Name") == (["Name"], [0])
+    assert column_index(schema, ["A", 0]) == [1, 0] and select_clause(schema, "Vessel") == (["Vessel"], [0])
     for bad in (3, -1, "B", Column("A", 0, 7), True):
         with pytest.raises(ValueError):
             column_ref(schema, bad)
 
 
 def test_primary_key():
-    assert primary_key_ids(["Name", "Age"], ["Age"]) == [1] and primary_key_ids(["Name"], None) is None
+    assert primary_key_ids(["Vessel", "Draught"], ["Draught"]) == [1] and primary_key_ids(["Vessel"], None) is None
     assert primary_key_ids([Column("A", 5), Column("A", 7)], [Column("A", 7)]) == [7]
     with pytest.raises(ValueError, match="Unknown|unknown"):
-        primary_key_ids(["Name"], "SSN")
+        primary_key_ids(["Vessel"], "Hull")
     with pytest.raises(ValueError, match="ambiguous"):
         primary_key_ids([Column("A", 5), Column("A", 7)], "A")
 

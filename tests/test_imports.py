@@ -52,3 +52,15 @@ def test_versions_are_brought_over(spark, tmp_path, keyed):
 def test_an_archive_without_snapshots(spark, tmp_path):
     source = put(tmp_path / "old", {"primaryKey": None, "schema": [], "snapshots": [], "rowcount": 0}, [])
     assert import_archive(spark, source).is_empty()
+
+
+@pytest.mark.parametrize("indexes", [["b", "a", "ü"], [3, "3", "x"], [[1, 2], [1, 3], [0]], [1.5, 2, 0.25]])
+def test_row_indexes_of_any_kind(spark, tmp_path, indexes):
+    """Each row keeps its identity by its index, whatever that is, over versions that have other rows."""
+    meta = {"schema": [{"c": 0, "t": [[0, 2]], "n": {"v": "V"}, "p": {"v": 0}}], "snapshots": [{"v": v, "vt": f"2024-01-0{v + 1}T00:00:00", "tt": f"2024-01-0{v + 1}T00:00:00", "d": ""} for v in range(3)]}
+    rows = [{"r": 0, "k": indexes[0], "t": [[0, 2]], "p": {"v": 0}, "c": {"0": [{"t": [[0, 0]], "v": "one"}, {"t": [[1, 2]], "v": "two"}]}}, {"r": 1, "k": indexes[1], "t": [[0, 0], [2, 2]], "p": {"v": 1}, "c": {"0": {"v": "away"}}}, {"r": 2, "k": indexes[2], "t": [[1, 2]], "p": {"v": 2}, "c": {"0": {"v": "new"}}}]
+    (tmp_path / "metadata.dat").write_text(json.dumps(meta))
+    (tmp_path / "rows.dat").write_text("\n".join(map(json.dumps, rows)))
+    a = import_archive(spark, str(tmp_path))
+    assert [sorted(r.V for r in a.checkout(v).collect()) for v in range(3)] == [["away", "one"], ["new", "two"], ["away", "new", "two"]]
+    assert sorted((r.from_version, r.to_version) for r in a.lifetimes().collect()) == [(0, 0), (0, 2), (1, 2), (2, 2)] and a.keys().count() == 3
