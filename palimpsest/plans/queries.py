@@ -485,6 +485,31 @@ def hot_duplicate_key(spark, sf_dir):
     return changes.select(F.col("key")[0]["str"].alias("l_returnflag"), F.col("occ").cast("bigint").alias("occ"), "op")
 
 
+@query(f"""{_WITH} SELECT COALESCE(a.o_orderkey, b.o_orderkey) AS o_orderkey, a.o_orderstatus AS was, b.o_orderstatus AS became
+FROM v0 a FULL OUTER JOIN v1 b ON a.o_orderkey = b.o_orderkey""")
+def imported_archive(spark, sf_dir):
+    """Two versions kept as JSON files, a line for each row with its versions and its cells' versions, imported and compared."""
+    import json
+
+    from palimpsest.sources.files import Files
+    from palimpsest.sources.imports import import_archive
+
+    path, key = _fresh(spark), F.col("o_orderkey")
+    old, new = F.col("o_orderstatus"), F.when(key % 5 == 1, "X").otherwise(F.col("o_orderstatus"))
+    before, after = key % 10 != 0, key % 7 != 0
+    held = F.when(before & after, "[[0, 1]]").when(before, "[[0, 0]]").otherwise("[[1, 1]]")
+    both = F.format_string('[{"t": [[0, 0]], "v": "%s"}, {"t": [[1, 1]], "v": "%s"}]', old, new)
+    cell = F.when(before & after & (old != new), both).otherwise(F.format_string('{"v": "%s"}', F.when(before, old).otherwise(new)))
+    line = F.format_string('{"r": %d, "k": %d, "t": %s, "p": {"v": %d}, "c": {"0": {"v": %d}, "1": %s}}', key, key, held, key, key, cell)
+    _table(spark, sf_dir, "orders").where(before | after).select(line.alias("value")).write.text(f"{path}/rows.dat")
+    columns = [{"c": k, "t": [[0, 1]], "n": {"v": n}, "p": {"v": k}} for k, n in enumerate(("o_orderkey", "o_orderstatus"))]
+    snapshots = [{"v": v, "vt": f"2024-01-0{v + 1}T00:00:00", "tt": f"2024-01-0{v + 1}T00:00:00", "d": ""} for v in (0, 1)]
+    Files(spark).create(f"{path}/metadata.dat", json.dumps({"schema": columns, "snapshots": snapshots}))
+    a = import_archive(spark, path)
+    was, became = (a.checkout(v, row_id=True).select(F.col("__index").alias("o_orderkey"), F.col("o_orderstatus").alias(n)) for v, n in ((0, "was"), (1, "became")))
+    return was.join(became, "o_orderkey", "full_outer")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of version 1 with what happened to them since version 0."""
     a = _orders(spark, sf_dir, 3)
