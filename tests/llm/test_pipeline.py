@@ -67,8 +67,8 @@ def test_queries_against_sql(spark, name, table):
 
 def test_queries_cover_their_tables(spark):
     q = queries.queries()
-    assert [name.split("_")[0] for name in q] == [f"op{k}" for k in range(1, 11)] and list(queries.oracle_sql()) == ["op5_mixing", "op10_main_text"]
+    assert [name.split("_")[0] for name in q] == [f"op{k}" for k in range(1, 14)] and list(queries.oracle_sql()) == ["op5_mixing", "op10_main_text", "op11_collocations", "op13_fill_in_middle"]
     docs, n_pages = spark.read.parquet(f"{SF}/documents.parquet").count(), spark.read.parquet(f"{SF}/pages.parquet").count()
-    for name in ("op1_fingerprints", "op2_simhash", "op3_language", "op4_token_files", "op9_token_counts"):
+    for name in ("op1_fingerprints", "op2_simhash", "op3_language", "op4_token_files", "op9_token_counts", "op12_model_scores", "op13_fill_in_middle"):
         assert q[name](spark, SF).count() == docs
     assert q["op10_main_text"](spark, SF).count() == n_pages
