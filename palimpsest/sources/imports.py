@@ -6,6 +6,9 @@ cells with their versions. A version that isn't said is the row's.
 
     {"r": 5, "k": "pier", "t": [[2, 4], [6, 6]], "p": [{"t": [[2, 2]], "v": 17}, {"t": [[3, 4], [6, 6]], "v": 12}], "c": {"0": {"v": "pier"}, "3": {"t": [[4, 4]], "v": 8.25}}}
 
+Older archives keep the rows as one JSON array, an element a line or all in one;
+the lines of either form are read in splits.
+
 Rows are parsed once, by Spark; each version is then a selection of them that is
 committed, so a row keeps its identity by its key or row index. Values keep their
 JSON types, and row indexes too: numbers, texts or lists, and where they are of
@@ -58,8 +61,9 @@ def _time(value):
 
 def _rows(spark: SparkSession, path: str, copy: str) -> DataFrame:
     """The parsed rows, written once to ``copy``."""
-    schema = f"k variant, t {_SPANS}, p variant, c map<string,variant>"
-    parsed = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", schema).alias("r")).select("r.*")
+    schema = f"array<struct<k: variant, t: {_SPANS}, p: variant, c: map<string,variant>>>"
+    objects = F.regexp_extract("value", r"(?s)^\s*\[?\s*(\{.*\})", 1)  # without what belongs to an array around them
+    parsed = spark.read.text(path).select(objects.alias("o")).where("o != ''").select(F.explode(F.from_json(F.concat(F.lit("["), "o", F.lit("]")), schema)).alias("r")).select("r.*")
     parsed.write.parquet(copy)
     return spark.read.schema(parsed.schema).parquet(copy)
 

@@ -1,9 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.operators.archive import Archive
-from palimpsest.sources.imports import import_archive
+from palimpsest.sources.imports import _rows, import_archive
 
 
 def put(path, meta, rows):
@@ -49,6 +50,18 @@ def test_versions_are_brought_over(spark, tmp_path, keyed):
     assert [(s.valid_time.month, s.transaction_time.day, s.description, s.action) for s in a.snapshots()] == [(v + 1, 2, f"load {v}", {"n": v}) for v in range(3)]
 
 
+@pytest.mark.parametrize("form", ["lines", "bracketed", "one"])
+def test_rows_as_one_array(spark, tmp_path, form):
+    """The older form, with each row on a line or all on one, gives what lines of rows give; brackets and commas in values are values."""
+    rows = [r | {"c": r["c"] | {"0": {"v": f"[{{,}}],{r['k']}\u2028]"}}} for r in ROWS]
+    texts = [json.dumps(r, ensure_ascii=False) for r in rows]
+    whole = {"lines": "[\n" + ",\n".join(texts) + "\n]\n", "bracketed": " [" + " ,\n\n".join(texts) + "] ", "one": "[" + ", ".join(texts) + "]"}[form]
+    (tmp_path / "array").write_text(whole)
+    (tmp_path / "plain").write_text("\n".join(texts))
+    read = [sorted(r[0] for r in _rows(spark, str(tmp_path / n), str(tmp_path / f"{n}-copy")).select(F.to_json(F.struct("k", "t", "p", "c"))).collect()) for n in ("array", "plain")]
+    assert read[0] == read[1] and len(read[0]) == len(rows) and "[{,}],01\u2028]" in "".join(read[0])
+
+
 def test_an_archive_without_snapshots(spark, tmp_path):
     source = put(tmp_path / "old", {"primaryKey": None, "schema": [], "snapshots": [], "rowcount": 0}, [])
     assert import_archive(spark, source).is_empty()
