@@ -218,12 +218,12 @@ def _states(version: int, kept: dict[str, Column | None], ended: Column, begun:
     return F.filter(F.array(F.when(ended, struct("ended", since, version - 1, False)), F.when(begun, struct("open", F.lit(version), OPEN, True))), lambda s: s.isNotNull())
 
 
-def write_states(store: Store, df: DataFrame, table: str, path: str, buckets: int) -> tuple[dict[str, Part], dict[str, int]]:
-    """Write rows by ``state`` in buckets; the folders that came to be, and the number of rows in each, with the largest label."""
+def write_states(store: Store, df: DataFrame, table: str, path: str, buckets: int, dealt: bool = False) -> tuple[dict[str, Part], dict[str, int]]:
+    """Write rows by ``state`` in buckets (in which they lie already if ``dealt``); the folders that came to be, and the number of rows in each, with the largest label."""
     seen = Observation()
     states = ("open", "ended", "closed")
     more = [F.max("label").alias("label")] if table == "positions" else []
-    store.write_bucketed(df, table, path, buckets, True, seen, *[F.count_if(F.col("state") == s).alias(s) for s in states], *more)
+    (store.write_dealt if dealt else store.write_bucketed)(df, table, path, buckets, True, seen, *[F.count_if(F.col("state") == s).alias(s) for s in states], *more)
     counts = seen.get
     return {s: Part(f"{path}/state={s}", buckets) for s in states if counts[s]}, counts
 
@@ -240,8 +240,8 @@ def _settled(store: Store, table: str, m: Manifest, path: str) -> Manifest:
     whole = tuple(p for p in m.paths[f"{table}_closed"] if p.cut is None)
     rest = tuple(p for p in m.paths[f"{table}_closed"] if p.cut is not None)
     own = m.replaced(paths=m.paths | {f"{table}_closed": rest})
-    rows = store.spans(table, own).withColumn("state", F.when(F.col("to_version") == OPEN, "open").otherwise("closed"))
-    states, counts = write_states(store, rows, table, path, m.buckets)
+    rows = store.spans(table, own, buckets=m.buckets).withColumn("state", F.when(F.col("to_version") == OPEN, "open").otherwise("closed"))
+    states, counts = write_states(store, rows, table, path, m.buckets, dealt=True)
     paths = {f"{table}_open": (states["open"],) if "open" in states else (), f"{table}_ended": (), f"{table}_closed": (*whole, *((states["closed"],) if "closed" in states else ()))}
     return m.replaced(paths=m.paths | paths, counts=m.counts | {f"{table}_open": counts["open"], f"{table}_ended": 0})
 

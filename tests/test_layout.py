@@ -258,3 +258,27 @@ def test_streams_that_race_lose_nothing(spark, tmp_path):
         list(pool.map(lambda s: commit_batch(path, ["k"], stream=str(s))(spark.createDataFrame([(s, "v")], "k int, v string"), 0), (1, 2, 3)))
     a = Archive.load(spark, path)
     assert sorted(r.k for r in a.checkout().collect()) == [0, 1, 2, 3] and len(a.snapshots()) == 4
+
+
+def test_many_ended_rows_are_not_sent_through_the_driver(spark, tmp_path, monkeypatch):
+    keys = spark.range(40).selectExpr("id AS k", "id AS v")
+    a = Archive.create(spark, str(tmp_path / "a"), keys, ["k"])
+    monkeypatch.setattr("palimpsest.store.SENT", 3)
+    monkeypatch.setattr(merge, "ENDED_SHARE", 0.25)
+    plans, wrote = [], a.store.write_dealt
+    monkeypatch.setattr(a.store, "write_dealt", lambda df, *args: (plans.append(df._jdf.queryExecution().executedPlan().toString()), wrote(df, *args)))
+    a.commit(keys.where("k % 8 > 0"))  # 5 rows end, and stay in a folder of ended ones
+    assert a.store.manifest.paths["segments_ended"] and "Broadcast" not in a.checkout(1)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.k for r in a.checkout(1).collect()) == [k for k in range(40) if k % 8] and a.checkout(0).count() == 40
+    plans.clear()
+    a.commit(keys.selectExpr("k", "v + k % 2 AS v"))  # 20 more: the table is settled
+    settled = [p for p in plans if "__rowid" in p]
+    assert not a.store.manifest.paths["segments_ended"] and settled and not any("Broadcast" in p for p in settled)
+    assert all(p.count("Exchange ") == 2 for p in settled)  # each side is moved once
+    assert sorted(map(tuple, a.checkout(2).collect())) == [(k, k + k % 2) for k in range(40)]
+    assert sorted(map(tuple, a.checkout(1).collect())) == [(k, k) for k in range(40) if k % 8]
+    assert sorted(map(tuple, a.checkout(0).collect())) == [(k, k) for k in range(40)]
+    a.upsert(spark.createDataFrame([(k, -k) for k in range(5)], "k long, v long"))
+    a.commit(keys.where("k > 1"))
+    assert sorted(map(tuple, a.checkout(3).collect())) == [(k, -k if k < 5 else k + k % 2) for k in range(40)]
+    assert sorted(map(tuple, a.checkout().collect())) == [(k, k) for k in range(2, 40)]
