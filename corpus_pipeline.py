@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.llm.common import read_table, shared_path, small_batches
 from palimpsest.llm.language import known_language
@@ -46,11 +47,23 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return interleaved(docs, TARGETS)
 
 
+def in_file_order(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``doc_id, source, text`` of documents read from files, with ``mix_position``, a document's place (from 0) in the order that the files hold, which is that of the mix."""
+    place = docs.metadataColumn("_metadata")
+    held = docs.select("doc_id", "source", "text", place.getField("file_name").alias("file"), place.getField("row_index").alias("nth"))
+    before, n = [], 0
+    for name, rows in sorted((r["file"], r["count"]) for r in held.groupBy("file").count().collect()):  # one row a file, whose name begins with the number of its task
+        before.append((name, n))
+        n += rows
+    starts = F.broadcast(spark.createDataFrame(before, "file string, before long"))
+    return held.join(starts, "file").select("doc_id", "source", "text", (F.col("before") + F.col("nth")).alias("mix_position"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as SentencePiece ids."""
+    """The documents as SentencePiece ids, with their places in the mix."""
     small_batches(spark)
-    found = encoded(docs.select("doc_id", "source", "text"), _MODEL)
-    return found.select("doc_id", "source", "ids", "n_tokens", "ids_crc32", "matched", "restored")
+    found = encoded(in_file_order(spark, docs), _MODEL)
+    return found.select("doc_id", "source", "ids", "n_tokens", "ids_crc32", "matched", "restored", "mix_position")
 
 
 STAGES = [

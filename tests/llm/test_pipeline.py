@@ -72,3 +72,22 @@ def test_queries_cover_their_tables(spark):
     for name in ("op1_fingerprints", "op2_simhash", "op3_language", "op4_token_files", "op9_token_counts", "op12_model_scores", "op13_fill_in_middle"):
         assert q[name](spark, SF).count() == docs
     assert q["op10_main_text"](spark, SF).count() == n_pages
+
+
+def test_the_ids_are_in_the_order_of_the_mix(spark, make, tmp_path):
+    from palimpsest.llm.mixing import mix_order
+
+    rows = [(k, t, lang, ("web", "books")[k % 2]) for k, t, lang, *_ in corpus(90)]
+    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    out = pipeline.run(spark, str(tmp_path)).collect()
+    kept = spark.createDataFrame([r for r in rows if r[0] in {o.doc_id for o in out}], "doc_id long, text string, lang string, source string")
+    expected = [r.doc_id for r in sorted(mix_order(kept, pipeline.TARGETS).collect(), key=lambda r: (r.mix_slot, r.mix_offset))]
+    assert [r.mix_position for r in sorted(out, key=lambda r: r.mix_position)] == list(range(len(out)))
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.mix_position)] == expected != sorted(expected)
+
+
+def test_places_in_many_files(spark, make, tmp_path):
+    rows = [(k, "x" * (k % 7 * 300), "aa", "s") for k in range(400)]
+    make(rows).repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "d"))
+    found = pipeline.in_file_order(spark, spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert sorted((r.mix_position, r.doc_id) for r in found) == [(k, k) for k in range(400)]
