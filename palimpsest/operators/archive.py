@@ -158,12 +158,13 @@ class Archive:
         if m.primary_key and not set(m.primary_key) <= set(ids):
             raise ValueError("the document lacks a key column")
         data = self.store.new_data()
-        rows, cells = self._keyed(document, ids, data, partial)
+        rows, cells, by_key = self._keyed(document, ids, data, partial)
         if validate and m.primary_key:
             self._in_order(rows)
         if fold and m.primary_key and not partial:
-            rows = last_of_key(rows, cells)
-        incoming = (upserted if partial else matched)(self.store, rows, cells, bool(m.primary_key), data)
+            rows, by_key = last_of_key(rows, cells), False  # folded rows leave gaps
+        keyed = bool(m.primary_key)
+        incoming = upserted(self.store, rows, cells, keyed, data) if partial else matched(self.store, rows, cells, keyed, data, by_key)
         incoming.kinds, incoming.batches = dict(zip(ids, document.kinds)), dict([batch] if batch else [])
         self.store.publish(advance(self.store, data, schema, incoming, descriptor, partial))
         self._tidy(data)
@@ -175,8 +176,8 @@ class Archive:
             if name not in ("segments", "positions", "keys", "segments-settled", "positions-settled", "keys-settled"):
                 self.store.files.delete(f"{self.store.path}/{data}/{name}")
 
-    def _keyed(self, document: Document, ids: list[int], data: str, partial: bool) -> tuple[DataFrame, list[str]]:
-        """Rows with ``__key``, ``__pos`` and cells under their physical names, written if they are needed more than once."""
+    def _keyed(self, document: Document, ids: list[int], data: str, partial: bool) -> tuple[DataFrame, list[str], bool]:
+        """Rows with ``__key``, ``__pos`` and cells under their physical names, written if they are needed more than once; and whether positions count them in key order, rows without a key last."""
         df, pk = document.df, self.primary_key
         if pk:
             parts = [(F.col(f"v_{ids.index(c)}"), df.schema[f"v_{ids.index(c)}"].dataType) for c in pk]
@@ -187,6 +188,7 @@ class Archive:
         else:
             key = None
         df = df.withColumn("__key", key) if key is not None else df
+        by_key = not document.has_positions and (key is None or not document.order)
         if not document.has_positions:
             order = document.order or ([F.col("__key")] if pk else [F.col("__key").asc_nulls_last()] if key is not None else [])
             values = [F.col(f"v_{i}") for i in range(len(ids)) if not isinstance(df.schema[f"v_{i}"].dataType, (T.MapType, T.VariantType))]
@@ -200,7 +202,7 @@ class Archive:
         if document.has_positions and not partial:
             out.write.parquet(f"{self.store.path}/{data}/document")
             out = self.spark.read.schema(out.schema).parquet(f"{self.store.path}/{data}/document")
-        return out, names
+        return out, names, by_key
 
     @staticmethod
     def _in_order(rows: DataFrame) -> None:

@@ -54,30 +54,39 @@ def key_hash() -> Column:
 
 
 def with_occurrences(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Rows with ``__occ``, the number of the row among those of its key, and the largest. Where keys repeat, rows are numbered within chunks of places, and the counts of a key in its chunks are added up, so that a key which many rows have is not one task's."""
-    whole = rows.withColumn("__kh", F.xxhash64("__key"))
-    if whole.groupBy("__kh").count().where("count > 1").isEmpty():
+    """Rows with ``__occ``, the number of the row among those of its key, and the most rows that have a key (or key hash). Keys of few rows are numbered by a window each; where a key has more than ``CHUNK``, rows are numbered within chunks of places, and the counts of a key in its chunks are added up, so that a key which many rows have is not one task's."""
+    hashed = F.xxhash64("__key")
+    most = rows.groupBy(hashed.alias("__kh")).count().agg(F.max("count")).first()[0] or 0
+    if most <= 1:
         return rows.withColumn("__occ", F.lit(1)), 1
+    if most <= CHUNK:  # sorted by the hash first, which costs less than by the key
+        nth = F.row_number().over(Window.partitionBy("__kh", "__key").orderBy("__pos"))
+        return rows.withColumn("__kh", hashed).withColumn("__occ", nth).drop("__kh"), most
     rows = rows.withColumn("__chunk", F.floor(F.col("__pos") / CHUNK))
     counts = rows.groupBy("__key", "__chunk").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("__key").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
     local = F.row_number().over(Window.partitionBy("__key", "__chunk").orderBy("__pos"))
-    out = rows.withColumn("__nth", local).join(counts, ["__key", "__chunk"]).withColumn("__occ", (F.col("__before") + F.col("__nth")).cast("int")).drop("__chunk", "__nth", "__before")
-    return out, out.agg(F.max("__occ")).first()[0] or 0
+    return rows.withColumn("__nth", local).join(counts, ["__key", "__chunk"]).withColumn("__occ", (F.col("__before") + F.col("__nth")).cast("int")).drop("__chunk", "__nth", "__before"), most
 
 
-def new_identities(store: Store, fresh: DataFrame, data: str, cells: list[str]) -> tuple[DataFrame, DataFrame, int]:
-    """Rows with new identifiers in key order, the keys to keep, and their number."""
-    new, n = ranked(fresh, [F.col("__key"), F.col("__pos")], f"{store.path}/{data}/new", "rowid", store.manifest.row_counter)
+def new_identities(store: Store, fresh: DataFrame, data: str, cells: list[str], placed: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """Rows with new identifiers in key order, the keys to keep, and their number. If they are ``placed``, their positions count them in this order already."""
+    if placed:
+        new, n = fresh.withColumn("rowid", F.col("__pos") + F.lit(store.manifest.row_counter)), fresh.count()
+    else:
+        new, n = ranked(fresh, [F.col("__key"), F.col("__pos")], f"{store.path}/{data}/new", "rowid", store.manifest.row_counter)
     return new.select("rowid", "__pos", *cells), new.select("rowid", F.col("__key").alias("key"), F.col("__occ").alias("occ")), n
 
 
-def matched(store: Store, doc: DataFrame, cells: list[str], keyed: bool, data: str) -> Incoming:
-    """Give each row of ``doc`` (``__key``, null for a row that is new whatever it holds, ``__pos``, cells) the identity it has in the archive, or a new one in key order."""
+def matched(store: Store, doc: DataFrame, cells: list[str], keyed: bool, data: str, by_key: bool = False) -> Incoming:
+    """Give each row of ``doc`` (``__key``, null for a row that is new whatever it holds, ``__pos``, cells) the identity it has in the archive, or a new one in key order. ``by_key`` says that positions count the rows in key order, those without one last."""
     m = store.manifest
     given, most = with_occurrences(doc if keyed else doc.where("__key is not null"))
-    old, fresh = None, given
+    if most > 1:  # read more than once, so numbered once
+        given.write.parquet(f"{store.path}/{data}/numbered")
+        given = store.spark.read.schema(given.schema).parquet(f"{store.path}/{data}/numbered")
+    old, fresh, first = None, given, not m.paths["keys"]
     with store.bucketed("keys") as keys:
         if keys is not None:
             keys = keys.select("rowid", F.col("key").alias("__k"), F.col("occ").alias("__o"), F.col("kh").alias("__h"))
@@ -88,7 +97,7 @@ def matched(store: Store, doc: DataFrame, cells: list[str], keyed: bool, data: s
             rows = store.spark.read.schema(rows.schema).parquet(f"{store.path}/{data}/matched")
             old = rows.where("rowid is not null").select("rowid", "__pos", *cells)
             fresh = rows.where("rowid is null").drop("rowid")
-    out, keys, n = new_identities(store, fresh, data, cells)
+    out, keys, n = new_identities(store, fresh, data, cells, by_key and first)
     next_key = m.next_key
     if not keyed:
         top = doc.agg(F.max(F.when(F.col("__key")[0]["kind"] == NUMBER, F.col("__key")[0]["whole"]))).first()[0]

@@ -282,3 +282,21 @@ def test_many_ended_rows_are_not_sent_through_the_driver(spark, tmp_path, monkey
     a.commit(keys.where("k > 1"))
     assert sorted(map(tuple, a.checkout(3).collect())) == [(k, -k if k < 5 else k + k % 2) for k in range(40)]
     assert sorted(map(tuple, a.checkout().collect())) == [(k, k) for k in range(2, 40)]
+
+
+def test_keys_of_few_rows_are_numbered_without_a_join(spark):
+    got, most = merge.with_occurrences(spark.range(60).selectExpr("id % 20 AS __key", "id AS __pos"))
+    assert most == 3 and "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["__pos"], r["__key"], r["__occ"]) for r in got.collect()) == [(k, k % 20, k // 20 + 1) for k in range(60)]
+
+
+def test_a_first_version_in_key_order_is_sorted_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(merge, "ranked", lambda *args: pytest.fail("rows are sorted again"))
+    rows = spark.createDataFrame([(5, "a"), (None, "b"), (3, "c"), (5, "d"), (9, "e")], "k long, v string")
+    a = Archive.create(spark, str(tmp_path / "a"), rows, ["k"])
+    monkeypatch.undo()
+    found = a.checkout(0, row_id=True, position=True).collect()
+    assert sorted(tuple(r) for r in found) == [(0, 0, 3, "c"), (1, 1, 5, "a"), (2, 2, 5, "d"), (3, 3, 9, "e"), (4, 4, None, "b")]
+    assert sorted((r.rowid, r.occ) for r in a.keys().collect()) == [(0, 1), (1, 1), (2, 2), (3, 1), (4, 1)]
+    a.commit(rows.where("v <> 'a'").union(spark.createDataFrame([(4, "f")], rows.schema)))
+    assert sorted(tuple(r) for r in a.checkout(1, row_id=True).collect()) == [(0, 3, "c"), (1, 5, "d"), (3, 9, "e"), (4, None, "b"), (5, 4, "f")]
