@@ -58,11 +58,11 @@ def row_changes(store: Store, before: int, after: int, positions: bool = True) -
     rows = rows.withColumn("cells", F.when(F.col("op") == "UPDATE", F.col("cells")).otherwise(F.array().cast(CELLS))).where((F.col("op") != "UPDATE") | (F.size("cells") > 0))
     if positions:
         was, now = positions_at(store, before).withColumnRenamed("pos", "old_pos"), positions_at(store, after).withColumnRenamed("pos", "new_pos")
-        moved = was.join(now, "rowid").where("old_pos <> new_pos")
+        moved = was.join(store.unsent(now), "rowid").where("old_pos <> new_pos")
         rows = rows.join(moved, "rowid", "full_outer").select("rowid", F.coalesce("op", F.lit("UPDATE")).alias("op"), F.coalesce("cells", F.array().cast(CELLS)).alias("cells"), "old_pos", "new_pos")
     else:
         rows = rows.withColumns({"old_pos": F.lit(None).cast("bigint"), "new_pos": F.lit(None).cast("bigint")})
-    return rows.join(store.keys().select("rowid", "key"), "rowid")
+    return rows.join(store.unsent(store.keys().select("rowid", "key")), "rowid")
 
 
 def described(changes: DataFrame) -> DataFrame:

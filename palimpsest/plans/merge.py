@@ -67,7 +67,7 @@ def with_occurrences(rows: DataFrame) -> tuple[DataFrame, int]:
     before = F.sum("__n").over(Window.partitionBy("__key").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
     local = F.row_number().over(Window.partitionBy("__key", "__chunk").orderBy("__pos"))
-    return rows.withColumn("__nth", local).join(counts, ["__key", "__chunk"]).withColumn("__occ", (F.col("__before") + F.col("__nth")).cast("int")).drop("__chunk", "__nth", "__before"), most
+    return rows.withColumn("__nth", local).join(counts.hint("merge"), ["__key", "__chunk"]).withColumn("__occ", (F.col("__before") + F.col("__nth")).cast("int")).drop("__chunk", "__nth", "__before"), most
 
 
 def new_identities(store: Store, fresh: DataFrame, data: str, cells: list[str], placed: bool = False) -> tuple[DataFrame, DataFrame, int]:
@@ -92,7 +92,7 @@ def matched(store: Store, doc: DataFrame, cells: list[str], keyed: bool, data: s
             keys = keys.select("rowid", F.col("key").alias("__k"), F.col("occ").alias("__o"), F.col("kh").alias("__h"))
             rows = given.withColumn("__kh", key_hash())
             same = (F.col("__kh") == F.col("__h")) & (F.col("__key") == F.col("__k")) & (F.col("__occ") == F.col("__o"))
-            rows = rows.join(keys, same, "left").drop("__k", "__o", "__h", "__kh")
+            rows = rows.join(store.unsent(keys), same, "left").drop("__k", "__o", "__h", "__kh")
             rows.write.parquet(f"{store.path}/{data}/matched")
             rows = store.spark.read.schema(rows.schema).parquet(f"{store.path}/{data}/matched")
             old = rows.where("rowid is not null").select("rowid", "__pos", *cells)
@@ -143,7 +143,7 @@ def upserted(store: Store, doc: DataFrame, cells: list[str], keyed: bool, data:
     found = spark.read.schema(found.schema).parquet(f"{store.path}/{data}/found")
     places = store.in_buckets("positions", _buckets(store, found, "rowid")).select(F.col("rowid").alias("__row"), "label")
     # a living row of the key before dead ones, then the one that was there first
-    at = places.join(found, F.col("__row") == F.col("rowid"), "right").groupBy("__key").agg(
+    at = store.unsent(places).join(found, F.col("__row") == F.col("rowid"), "right").groupBy("__key").agg(
         F.min(F.struct(F.col("label").isNull().alias("dead"), F.col("rowid"), F.col("label"))).alias("__own"), F.collect_list(F.when(F.col("label").isNotNull(), F.col("rowid"))).alias("__living")
     )
     rows = doc.join(at, "__key", "left")
@@ -200,7 +200,7 @@ def _joined(store: Store, incoming: Incoming, m: Manifest, cells: dict[str, str]
         rows.write.parquet(f"{store.path}/{data}/given")
         rows = store.spark.read.schema(rows.schema).parquet(f"{store.path}/{data}/given")
         places = store.in_buckets("positions", _buckets(store, rows, "n_rowid")).select(*[F.col(v).alias(k) for k, v in olds.items()])
-        return written(result(rows.join(places, F.col("n_rowid") == F.col("o_rowid"), "left"), there & differs))
+        return written(result(rows.join(store.unsent(places), F.col("n_rowid") == F.col("o_rowid"), "left"), there & differs))
     with store.bucketed("positions", m) as places:
         if places is None:
             none = [F.lit(None).cast("bigint" if k not in ("o_from", "o_since") else "int").alias(k) for k in olds]
@@ -215,7 +215,7 @@ def _joined(store: Store, incoming: Incoming, m: Manifest, cells: dict[str, str]
                 same = same & same_cell(colid, kind, cells, "s_", "n_")
             known = [c for c in cells if c in segments.columns]
             segments = segments.select(F.col("rowid").alias("s_rowid"), *[F.col(c).alias(f"s_{c}") for c in known], *[F.lit(None).cast(cells[c]).alias(f"s_{c}") for c in cells if c not in known])
-            return written(result(joined.join(segments, F.col("o_rowid") == F.col("s_rowid"), "left"), there & (is_new | ~same)))
+            return written(result(joined.join(store.unsent(segments), F.col("o_rowid") == F.col("s_rowid"), "left"), there & (is_new | ~same)))
 
 
 def _states(version: int, kept: dict[str, Column | None], ended: Column, begun: Column, since: Column) -> Column:

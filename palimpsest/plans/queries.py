@@ -137,7 +137,7 @@ def diff_schema_change_v1_v2(spark, sf_dir):
  (SELECT *, v - ROW_NUMBER() OVER (PARTITION BY o_orderkey ORDER BY v) AS grp FROM ({_EACH})) GROUP BY o_orderkey, grp""")
 def row_lifetimes(spark, sf_dir):
     a = _orders(spark, sf_dir)
-    return a.lifetimes().join(a.keys(), "rowid").select(_key("o_orderkey"), "from_version", "to_version")
+    return a.lifetimes().join(a.store.unsent(a.keys()), "rowid").select(_key("o_orderkey"), "from_version", "to_version")
 
 
 @query(f"""{_WITH}, s AS (SELECT 0 AS v, o_orderkey, o_orderstatus FROM v0 UNION ALL SELECT 1, o_orderkey, o_orderstatus FROM v1
@@ -146,7 +146,7 @@ SELECT o_orderkey, o_orderstatus AS value, MIN(v) AS from_version, MAX(v) AS to_
  (SELECT *, v - ROW_NUMBER() OVER (PARTITION BY o_orderkey, o_orderstatus ORDER BY v) AS grp FROM s) GROUP BY o_orderkey, o_orderstatus, grp""")
 def cell_history_status(spark, sf_dir):
     a = _orders(spark, sf_dir)
-    return a.cell_history("o_orderstatus").join(a.keys(), "rowid").select(_key("o_orderkey"), "value", "from_version", "to_version")
+    return a.cell_history("o_orderstatus").join(a.store.unsent(a.keys()), "rowid").select(_key("o_orderkey"), "value", "from_version", "to_version")
 
 
 @query(f"""{_WITH}, s AS ({_EACH}), f AS (SELECT o_orderkey, MIN(v) AS v FROM s GROUP BY o_orderkey)
@@ -239,7 +239,7 @@ FROM v0 a JOIN v1 b ON a.o_orderkey = b.o_orderkey GROUP BY 1, 2""")
 def sql_over_versions(spark, sf_dir):
     """Spark SQL over versions registered as views."""
     _orders(spark, sf_dir).register("archived_orders", [0, 1])
-    return spark.sql("""SELECT a.o_orderstatus AS was, b.o_orderstatus AS became, COUNT(*) AS n, COUNT(DISTINCT a.o_custkey) AS customers
+    return spark.sql("""SELECT /*+ MERGE(b) */ a.o_orderstatus AS was, b.o_orderstatus AS became, COUNT(*) AS n, COUNT(DISTINCT a.o_custkey) AS customers
         FROM archived_orders_v0 a JOIN archived_orders_v1 b ON a.o_orderkey = b.o_orderkey GROUP BY 1, 2""")
 
 
@@ -267,7 +267,7 @@ def duplicate_keys_lineitem(spark, sf_dir):
     order = ["l_orderkey", "l_linenumber", *_LINE_ORDER]
     a = Archive.create(spark, None, from_spark(rows.where("l_partkey % 3 <> 0"), order_by=order), ["l_orderkey", "l_linenumber"])
     a.commit(from_spark(rows.where("l_partkey % 4 <> 0"), order_by=order))
-    changes = a.diff(0, 1, positions=False).rows().join(a.keys().select("rowid", "occ"), "rowid")
+    changes = a.diff(0, 1, positions=False).rows().join(a.store.unsent(a.keys().select("rowid", "occ")), "rowid")
     return changes.select(F.col("key")[0]["whole"].alias("l_orderkey"), F.col("key")[1]["whole"].cast("int").alias("l_linenumber"), F.col("occ").cast("bigint").alias("occ"), "op")
 
 
@@ -481,7 +481,7 @@ def hot_duplicate_key(spark, sf_dir):
     side = lambda n: from_spark(rows.where(F.col("l_partkey") % n != 0), order_by=order).select(["l_returnflag", "l_orderkey", "l_linenumber"])
     a = Archive.create(spark, None, side(3), ["l_returnflag"])
     a.commit(side(4))
-    changes = a.diff(0, 1, positions=False).rows().join(a.keys().select("rowid", "occ"), "rowid")
+    changes = a.diff(0, 1, positions=False).rows().join(a.store.unsent(a.keys().select("rowid", "occ")), "rowid")
     return changes.select(F.col("key")[0]["str"].alias("l_returnflag"), F.col("occ").cast("bigint").alias("occ"), "op")
 
 

@@ -54,11 +54,11 @@ def rows_at(store: Store, version: int, positions: bool = False, keys: bool = Fa
     values = [value_at(c.colid, kinds[c.colid], m.cells).alias(f"v_{i}") for i, c in enumerate(columns)]
     out = store.spans("segments", alive=version).select("rowid", *values)
     if labels:
-        out = out.join(labels_at(store, version), "rowid")
+        out = out.join(store.unsent(labels_at(store, version)), "rowid")
     if positions:
-        out = out.join(positions_at(store, version), "rowid")
+        out = out.join(store.unsent(positions_at(store, version)), "rowid")
     if keys:
-        out = out.join(store.keys().select("rowid", "key"), "rowid")
+        out = out.join(store.unsent(store.keys().select("rowid", "key")), "rowid")
     return out, columns
 
 
@@ -108,7 +108,7 @@ def nested_rows(store: Store) -> DataFrame:
     held = positions_of_all(store).withColumn("run", F.col("version") - nth).groupBy("rowid", "pos", "run").agg(F.min("version").alias("from_version"), F.max("version").alias("to_version"))
     places = held.groupBy("rowid", "pos").agg(F.sort_array(F.collect_list(run)).alias("versions"))
     places = places.groupBy("rowid").agg(F.sort_array(F.collect_list(F.struct("versions", "pos"))).alias("positions"))
-    out = store.keys().select("rowid", "key").join(lives, "rowid").join(places, "rowid")
+    out = store.keys().select("rowid", "key").join(store.unsent(lives), "rowid").join(store.unsent(places), "rowid")
     cells = None
     for colid in store.manifest.schema.columns:
         h = cell_history(store, colid).where("value is not null")
@@ -119,4 +119,4 @@ def nested_rows(store: Store) -> DataFrame:
         return out.withColumn("cells", F.lit(None).cast("array<struct<colid int, versions array<struct<from_version int, to_version int>>, value string>>"))
     per_value = cells.groupBy("rowid", "colid", "value").agg(F.sort_array(F.collect_list(run)).alias("versions"))
     per_row = per_value.groupBy("rowid").agg(F.sort_array(F.collect_list(F.struct("colid", "versions", "value"))).alias("cells"))
-    return out.join(per_row, "rowid", "left")
+    return out.join(store.unsent(per_row), "rowid", "left")

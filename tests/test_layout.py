@@ -300,3 +300,31 @@ def test_a_first_version_in_key_order_is_sorted_once(spark, tmp_path, monkeypatc
     assert sorted((r.rowid, r.occ) for r in a.keys().collect()) == [(0, 1), (1, 1), (2, 2), (3, 1), (4, 1)]
     a.commit(rows.where("v <> 'a'").union(spark.createDataFrame([(4, "f")], rows.schema)))
     assert sorted(tuple(r) for r in a.checkout(1, row_id=True).collect()) == [(0, 3, "c"), (1, 5, "d"), (3, 9, "e"), (4, None, "b"), (5, 4, "f")]
+
+
+def test_tables_are_not_sent_through_the_driver(spark, tmp_path, monkeypatch):
+    """Their files are compressed, so Spark takes them for small and would send them to all tasks."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    a = Archive.create(spark, str(tmp_path / "a"), spark.range(40).selectExpr("id AS k", "id AS v"), ["k"])
+    monkeypatch.setattr("palimpsest.store.SENT", 3)
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, write = [], DataFrameWriter.parquet
+
+    def kept(self, path, *args, **kwargs):
+        if path.endswith(("/matched", "/joined")):
+            plans.append(plan_of(self._df))
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", kept)
+    a.commit(spark.range(8, 48).selectExpr("id AS k", "id + id % 2 AS v"))
+    a.commit(spark.range(48).selectExpr("id AS k", "CAST(id AS STRING) AS w"))  # a column goes, so cells are compared
+    assert len(plans) == 4 and sum("s_rowid" in p for p in plans) == 1
+    plans += [plan_of(x) for x in (a.diff(0, 1, positions=False).rows(), a.open(1), a.checkout(1, order="position"))]
+    sent = [x for p in plans for x in p.splitlines() if "BroadcastHashJoin" in x and "__part" not in x]  # a row a partition may be sent
+    assert all("SortMergeJoin" in p for p in plans) and not sent
+    assert sorted((r.k, r.v) for r in a.checkout(1).collect()) == [(k, k + k % 2) for k in range(8, 48)]
+    assert sorted(map(tuple, a.checkout(2, position=True).collect())) == [(k, k, str(k)) for k in range(48)]
+    assert {(r.key[0]["whole"], r.op) for r in a.diff(0, 1).rows("DELETE").collect()} == {(k, "DELETE") for k in range(8)}
+    a.upsert(spark.createDataFrame([(3, "x"), (50, "y")], "k long, w string"))
+    assert sorted(map(tuple, a.checkout().collect())) == [(k, "x" if k == 3 else str(k)) for k in range(48)] + [(50, "y")]
