@@ -163,17 +163,24 @@ class Backend:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))  # both are read when the library first encodes a batch
         import sentencepiece
-        from tokenizers import decoders
+        from tokenizers import decoders, normalizers
 
         self.tokenizer = build(path)
         # of the decoder's steps only byte fallback goes token by token; marker and first space are replaced in whole texts
         model = read_model(path)
         self.tokenizer.decoder = decoders.ByteFallback() if model.byte_fallback else decoders.Fuse()
         self.marker, self.opening = model.escape, model.dummy_prefix
+        # likewise marked before encoding, where no other step comes first: the normalizer's steps keep offsets that nothing reads
+        self.marked = not model.charsmap and not model.squeeze and not any(kind == USER for _, _, kind in model.pieces)
+        if self.marked:
+            self.tokenizer.normalizer = normalizers.Sequence([])
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         self.threads = threads
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        if self.marked:
+            texts = [" " + t if t else t for t in texts] if self.opening else texts
+            texts = [t.replace(" ", MARK) for t in texts] if self.marker else texts
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:

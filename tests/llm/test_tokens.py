@@ -94,6 +94,14 @@ def test_sentencepiece_parity(make):
     assert sp.document_ids(make([]), PIECE).collect() == []
 
 
+def test_texts_are_marked_before_they_are_encoded():
+    """The normalizer's steps took almost half of the time of an encoding."""
+    backend, whole = sp.Backend(PIECE, 1), sp.build(PIECE)
+    texts = [*HARD, "", " ", "   ", "\n ", " a", "\u2581a \u2581\u2581 b", "\u2603\u2581", "a  \u2581 ", "\0 a\r\n  b"]
+    assert whole.normalizer is not None and str(backend.tokenizer.normalizer) == "Sequence(normalizers=[])"
+    assert backend.encode(texts) == [whole.encode(t, add_special_tokens=False).ids for t in texts] == backend.expected(texts)
+
+
 def test_unigram_models_are_rebuilt(tmp_path):
     """A unigram model written by hand: pieces, unknown, and byte fallback off."""
     import struct
