@@ -11,6 +11,7 @@ import csv
 import json
 import math
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import date, datetime, time
@@ -290,6 +291,15 @@ def json_default(value):
     raise TypeError(f"cannot write {type(value).__name__} as JSON")
 
 
+def _first_line(lines: DataFrame) -> str | None:
+    """The first line of the first file, by name, that has any; Spark's own first row is of the largest file."""
+    for file in sorted(re.sub(":/+", ":/", f) for f in lines.inputFiles()):  # a scheme may be followed by one slash or by three
+        begin = lines.where((F.regexp_replace("_metadata.file_path", ":/+", ":/") == file) & (F.col("_metadata.file_block_start") == 0))
+        for row in begin.select("value").limit(1).collect():
+            return row["value"]
+    return None
+
+
 def from_json(spark: SparkSession, path: str, kinds: dict[str, str] | None = None) -> Document:
     """A JSON-lines document: a line with the list of columns, then lines [position, row index, [values]].
 
@@ -300,15 +310,15 @@ def from_json(spark: SparkSession, path: str, kinds: dict[str, str] | None = Non
     """
     try:
         lines = spark.read.text(path)
-        head = [r["value"] for r in lines.limit(1).collect()]
+        head = _first_line(lines)
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return empty_document(spark, [])
         raise
-    if not head:
+    if head is None:
         return empty_document(spark, [])
-    columns = [Column(c["name"], c["id"], c.get("index")) if isinstance(c, dict) else c for c in json.loads(head[0])]
-    rows = lines.where((F.col("value") != head[0]) & (F.trim("value") != "")).select(F.parse_json("value").alias("r"))
+    columns = [Column(c["name"], c["id"], c.get("index")) if isinstance(c, dict) else c for c in json.loads(head)]
+    rows = lines.where((F.col("value") != head) & (F.trim("value") != "")).select(F.parse_json("value").alias("r"))
     cells = [c.alias(f"v_{i}") for i in range(len(columns)) for c in [json_cell(F.variant_get("r", f"$[2][{i}]", "variant"))]]
     out = rows.select(F.variant_get("r", "$[0]", "bigint").alias("__pos"), json_cell(F.variant_get("r", "$[1]", "variant")).alias("__idx"), *cells)
     names = ["__idx", *[f"v_{i}" for i in range(len(columns))]]

@@ -121,3 +121,13 @@ def test_dispatch(spark, tmp_path):
     assert to_document(spark, spark.range(3), order_by="id").columns == ["id"]
     with pytest.raises(ValueError):
         to_document(spark, 7)
+
+
+def test_json_head_of_the_first_file(spark, tmp_path):
+    folder = tmp_path / "a b.json"
+    folder.mkdir()
+    (folder / "part-00000.txt").write_text("")
+    (folder / "part-00001.txt").write_text('["a","b"]\n[0,0,["x",1]]\n')
+    (folder / "part-00002.txt").write_text("".join(f'[{k},{k},["y{k}",{k}]]\n' for k in range(1, 200)))  # Spark reads the largest file first
+    back = from_json(spark, str(folder))
+    assert back.columns == ["a", "b"] and back.df.count() == 200 and rows(back)[:2] == [(0, 0, "x", 1), (1, 1, "y1", 1)]
