@@ -19,6 +19,7 @@ from palimpsest.plans.merge import Incoming, advance, last_of_key, matched, upse
 from palimpsest.plans.ranks import ranked
 from palimpsest.snapshots import Snapshot, SnapshotDescriptor, SnapshotListing
 from palimpsest.sources.documents import Document, to_document
+from palimpsest.sources.files import step
 from palimpsest.store import Manifest, Store
 
 
@@ -158,15 +159,17 @@ class Archive:
         if m.primary_key and not set(m.primary_key) <= set(ids):
             raise ValueError("the document lacks a key column")
         data = self.store.new_data()
-        rows, cells, by_key = self._keyed(document, ids, data, partial)
-        if validate and m.primary_key:
-            self._in_order(rows)
-        if fold and m.primary_key and not partial:
-            rows, by_key = last_of_key(rows, cells), False  # folded rows leave gaps
-        keyed = bool(m.primary_key)
-        incoming = upserted(self.store, rows, cells, keyed, data) if partial else matched(self.store, rows, cells, keyed, data, by_key)
-        incoming.kinds, incoming.batches = dict(zip(ids, document.kinds)), dict([batch] if batch else [])
-        self.store.publish(advance(self.store, data, schema, incoming, descriptor, partial))
+        with self.store.passing_shuffles():
+            rows, cells, by_key = self._keyed(document, ids, data, partial)
+            if validate and m.primary_key:
+                self._in_order(rows)
+            if fold and m.primary_key and not partial:
+                rows, by_key = last_of_key(rows, cells), False  # folded rows leave gaps
+            keyed = bool(m.primary_key)
+            incoming = upserted(self.store, rows, cells, keyed, data) if partial else matched(self.store, rows, cells, keyed, data, by_key)
+            incoming.kinds, incoming.batches = dict(zip(ids, document.kinds)), dict([batch] if batch else [])
+            after = advance(self.store, data, schema, incoming, descriptor, partial)
+        self.store.publish(after)
         self._tidy(data)
         return self.snapshots().last_snapshot()
 
@@ -187,21 +190,23 @@ class Archive:
             key = F.when(F.col("__idx").isNotNull(), key_of([(F.col("__idx"), kind)]))
         else:
             key = None
-        df = df.withColumn("__key", key) if key is not None else df
+        sorted_by_key = key is not None and not document.has_positions and not document.order  # else the key is made after the rows were sorted, and not moved with them
+        df = df.withColumn("__key", key) if sorted_by_key else df
         by_key = not document.has_positions and (key is None or not document.order)
         if not document.has_positions:
             order = document.order or ([F.col("__key")] if pk else [F.col("__key").asc_nulls_last()] if key is not None else [])
             values = [F.col(f"v_{i}") for i in range(len(ids)) if not isinstance(df.schema[f"v_{i}"].dataType, (T.MapType, T.VariantType))]
             order = [*order, *values] if order else []  # ties by the values, so that equal input has equal positions
-            df, _ = ranked(df, order, f"{self.store.path}/{data}/document", "__pos")
-        if key is None:
+            df, _ = ranked(df, order, f"{self.store.path}/{data}/document", "__pos", without=[c for c in df.columns if c.startswith("__o_")])
+        if key is not None:
+            df = df if sorted_by_key else df.withColumn("__key", key)
+        else:
             df = df.withColumn("__key", key_of([(F.col("__pos"), T.LongType())]))
         names = [cell_name(c, k) for c, k in zip(ids, document.kinds)]
         cells = [stored(F.col(f"v_{i}"), k).alias(n) for i, (n, k) in enumerate(zip(names, document.kinds))]
         out = df.select("__key", F.col("__pos").cast("bigint").alias("__pos"), *cells)
         if document.has_positions and not partial:
-            out.write.parquet(f"{self.store.path}/{data}/document")
-            out = self.spark.read.schema(out.schema).parquet(f"{self.store.path}/{data}/document")
+            out = step(out, f"{self.store.path}/{data}/document")
         return out, names, by_key
 
     @staticmethod

@@ -27,6 +27,7 @@ from palimpsest.functions.keys import NUMBER, number_key
 from palimpsest.plans.labels import CHUNK, GAP, first_label, labelled
 from palimpsest.plans.ranks import ranked
 from palimpsest.snapshots import SnapshotDescriptor
+from palimpsest.sources.files import step
 from palimpsest.store import ENDED_MOST, ENDED_SHARE, OPEN, Manifest, Part, Store, buckets_for
 
 #: Folders of open segments beyond which they are put into one again, and how many times more rows than buckets are made for.
@@ -84,8 +85,9 @@ def matched(store: Store, doc: DataFrame, cells: list[str], keyed: bool, data: s
     m = store.manifest
     given, most = with_occurrences(doc if keyed else doc.where("__key is not null"))
     if most > 1:  # read more than once, so numbered once
-        given.write.parquet(f"{store.path}/{data}/numbered")
-        given = store.spark.read.schema(given.schema).parquet(f"{store.path}/{data}/numbered")
+        given = step(given, f"{store.path}/{data}/numbered")
+        if keyed:
+            store.drop_steps(data, "document")
     old, fresh, first = None, given, not m.paths["keys"]
     with store.bucketed("keys") as keys:
         if keys is not None:
@@ -93,11 +95,13 @@ def matched(store: Store, doc: DataFrame, cells: list[str], keyed: bool, data: s
             rows = given.withColumn("__kh", key_hash())
             same = (F.col("__kh") == F.col("__h")) & (F.col("__key") == F.col("__k")) & (F.col("__occ") == F.col("__o"))
             rows = rows.join(store.unsent(keys), same, "left").drop("__k", "__o", "__h", "__kh")
-            rows.write.parquet(f"{store.path}/{data}/matched")
-            rows = store.spark.read.schema(rows.schema).parquet(f"{store.path}/{data}/matched")
+            rows = step(rows, f"{store.path}/{data}/matched")
+            store.drop_steps(data, "numbered", *(["document"] if keyed else []))
             old = rows.where("rowid is not null").select("rowid", "__pos", *cells)
             fresh = rows.where("rowid is null").drop("rowid")
     out, keys, n = new_identities(store, fresh, data, cells, by_key and first)
+    if keyed and first and not by_key:
+        store.drop_steps(data, "document", "numbered")
     next_key = m.next_key
     if not keyed:
         top = doc.agg(F.max(F.when(F.col("__key")[0]["kind"] == NUMBER, F.col("__key")[0]["whole"]))).first()[0]
@@ -123,15 +127,14 @@ def last_of_key(rows: DataFrame, cells: list[str]) -> DataFrame:
 
 def upserted(store: Store, doc: DataFrame, cells: list[str], keyed: bool, data: str) -> Incoming:
     """Rows of ``doc`` as they come into the last version: of equal keys the last row; it takes the place of the first living row of its key, and others of the key end. Keys and rows are looked up in the files of their buckets. All come with labels; a living row keeps its own."""
-    m, spark = store.manifest, store.spark
+    m = store.manifest
     top = lambda n: F.lit(m.top_label) + F.shiftleft(n.cast("bigint") + 1, GAP)
     if not keyed:
         rows, keys, n = unnamed(store, doc, data, cells, m.row_counter, m.next_key)
         rows = rows.withColumn("__pos", top(F.col("rowid") - m.row_counter))
         return Incoming(rows, {}, keys, n, max(m.next_key, m.row_counter) + n if n else m.next_key, 1, True, m.frame(m.snapshots.next_version() - 1))
     doc = last_of_key(doc, cells).withColumn("__occ", F.lit(1))
-    doc.write.parquet(f"{store.path}/{data}/batch")
-    doc = spark.read.schema(doc.schema).parquet(f"{store.path}/{data}/batch")
+    doc = step(doc, f"{store.path}/{data}/batch")
     if m.most_occ > 1:  # the other rows of a key may lie in any bucket
         keys = store.keys().select("rowid", F.col("key").alias("__k"))
         found = keys.join(doc.select("__key"), F.col("__key") == F.col("__k")).select("rowid", "__key")
@@ -139,8 +142,7 @@ def upserted(store: Store, doc: DataFrame, cells: list[str], keyed: bool, data:
         hashed = doc.select("__key", key_hash().alias("__kh"))
         keys = store.in_buckets("keys", _buckets(store, hashed, "__kh")).select("rowid", F.col("key").alias("__k"), F.col("kh").alias("__h"))
         found = keys.join(hashed, (F.col("__kh") == F.col("__h")) & (F.col("__key") == F.col("__k"))).select("rowid", "__key")
-    found.write.parquet(f"{store.path}/{data}/found")
-    found = spark.read.schema(found.schema).parquet(f"{store.path}/{data}/found")
+    found = step(found, f"{store.path}/{data}/found")
     places = store.in_buckets("positions", _buckets(store, found, "rowid")).select(F.col("rowid").alias("__row"), "label")
     # a living row of the key before dead ones, then the one that was there first
     at = store.unsent(places).join(found, F.col("__row") == F.col("rowid"), "right").groupBy("__key").agg(
@@ -189,16 +191,14 @@ def _joined(store: Store, incoming: Incoming, m: Manifest, cells: dict[str, str]
         return df.select(F.coalesce("n_rowid", "o_rowid").alias("rowid"), "n_pos", "n_d1", "n_d2", "o_label", "o_from", "o_since", changed.alias("changed"), (F.col("n_rowid").isNull() | F.coalesce("n_gone", F.lit(False))).alias("gone"), F.lit(exact).alias("anew"), *kept)
 
     def written(df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{store.path}/{data}/joined")
-        return store.spark.read.schema(df.schema).parquet(f"{store.path}/{data}/joined")
+        return step(df, f"{store.path}/{data}/joined")
 
     olds = {"o_rowid": "rowid", "o_label": "label", "o_from": "from_version", "o_since": "since", "o_d1": "d1", "o_d2": "d2"}
     is_new = F.col("o_rowid").isNull()
     differs = is_new | ~(F.col("n_d1").eqNullSafe(F.col("o_d1")) & F.col("n_d2").eqNullSafe(F.col("o_d2")))
     there = F.col("n_rowid").isNotNull() & ~F.coalesce("n_gone", F.lit(False))
     if partial:
-        rows.write.parquet(f"{store.path}/{data}/given")
-        rows = store.spark.read.schema(rows.schema).parquet(f"{store.path}/{data}/given")
+        rows = step(rows, f"{store.path}/{data}/given")
         places = store.in_buckets("positions", _buckets(store, rows, "n_rowid")).select(*[F.col(v).alias(k) for k, v in olds.items()])
         return written(result(rows.join(store.unsent(places), F.col("n_rowid") == F.col("o_rowid"), "left"), there & differs))
     with store.bucketed("positions", m) as places:
@@ -264,6 +264,8 @@ def advance(store: Store, data: str, schema: ArchiveSchema, incoming: Incoming,
     own = {cell_name(c, k) for c, k in incoming.kinds.items()}
     m = m.replaced(cells=cells)
     rows = _joined(store, incoming, m, cells, data, partial)
+    if m.paths["positions_open"]:  # the rows are written; of what they came from only the new keys are still needed
+        store.drop_steps(data, "document", "numbered", "matched")
     there, lived = ~F.col("gone"), F.col("o_from").isNotNull()
     narrow = rows.select("rowid", "n_pos", "n_d1", "n_d2", "o_label", "o_from", "o_since", "changed", "gone", "anew")
     if incoming.labels:

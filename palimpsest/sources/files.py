@@ -6,7 +6,13 @@ import os
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def step(df: DataFrame, path: str) -> DataFrame:
+    """The rows of a DataFrame written and read again, so that nothing computes them twice; as few bytes as Spark's writers can make of them."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Files:

@@ -6,9 +6,10 @@ import pytest
 
 from palimpsest.operators.archive import Archive
 from palimpsest.operators.dataset import Expressions
-from palimpsest.plans import merge
-from palimpsest.sources.documents import from_rows
-from palimpsest.store import Part, buckets_for
+from palimpsest.plans import merge, ranks
+from palimpsest.sources.documents import from_rows, from_spark
+from palimpsest.sources.files import step
+from palimpsest.store import CLEANUP, Part, buckets_for
 
 
 def size_of(path, table=""):
@@ -328,3 +329,29 @@ def test_tables_are_not_sent_through_the_driver(spark, tmp_path, monkeypatch):
     assert {(r.key[0]["whole"], r.op) for r in a.diff(0, 1).rows("DELETE").collect()} == {(k, "DELETE") for k in range(8)}
     a.upsert(spark.createDataFrame([(3, "x"), (50, "y")], "k long, w string"))
     assert sorted(map(tuple, a.checkout().collect())) == [(k, "x" if k == 3 else str(k)) for k in range(48)] + [(50, "y")]
+
+
+def test_steps_of_a_commit_go_once_they_are_read(spark, monkeypatch):
+    left, write = [], merge.write_states
+
+    def noted(store, df, table, path, *rest, **more):
+        left.append(set(store.files.names(f"{store.path}/{path.rpartition('/')[0]}")))
+        return write(store, df, table, path, *rest, **more)
+
+    monkeypatch.setattr(merge, "write_states", noted)
+    doc = lambda n: from_spark(spark.range(n).selectExpr("id % 7 AS k", "-id AS x"), order_by="x")
+    a = Archive.create(spark, None, doc(40), ["k"])
+    a.commit(doc(50))
+    assert len(left) >= 4 and not any(names & {"document", "numbered", "matched"} for names in left)
+    assert a.checkout(0).count() == 40 and {(r["k"], r["x"]) for r in a.checkout(1).collect()} == {(i % 7, -i) for i in range(50)}
+    assert spark.conf.get(CLEANUP[0]) == "false"  # as it was
+
+
+def test_what_only_the_order_needs_is_not_written(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(ranks, "step", lambda df, path: written.append((path, df.columns)) or step(df, path))
+    doc = from_spark(spark.range(20).selectExpr("id AS k", "-id AS x"), order_by="x")
+    a = Archive.create(spark, None, doc, ["k"])
+    assert [r["k"] for r in a.checkout(0, order="position").collect()] == list(range(19, -1, -1))
+    columns = next(names for path, names in written if path.endswith("/document"))
+    assert set(columns) == {"v_0", "v_1", "__mid"}
