@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.sources.files import Files, step
+
 #: Distance of first labels, as a power of two; places in a chunk.
 GAP, CHUNK = 20, 1 << 14
 #: Labels of a range that is counted as one when positions are asked for, as a power of two: 4096 rows of first labels.
@@ -187,8 +189,9 @@ def labelled(rows: DataFrame, path: str) -> tuple[DataFrame, bool]:
     placed = rows.withColumns({"__chunk": F.floor(F.col("n_pos") / CHUNK), "__label": F.col("o_label")})
     for attempt in range(4):
         beside = _windows(placed)
-        beside.write.parquet(f"{path}-{attempt}")  # each of its uses reads the windows and doesn't make them again
-        beside = spark.read.schema(beside.schema).parquet(f"{path}-{attempt}")
+        beside = step(beside, f"{path}-{attempt}")  # each of its uses reads the windows and doesn't make them again
+        if attempt:
+            Files(spark).delete(f"{path}-{attempt - 1}")
         chunks = _figures(beside)
         linked = chain([c for c in chunks if c.rising and not c.tight])
         fallen = {c.number for c in chunks if not c.rising}

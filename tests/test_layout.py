@@ -7,6 +7,7 @@ import pytest
 from palimpsest.operators.archive import Archive
 from palimpsest.operators.dataset import Expressions
 from palimpsest.plans import merge, ranks
+from palimpsest.plans.labels import labelled
 from palimpsest.sources.documents import from_rows, from_spark
 from palimpsest.sources.files import step
 from palimpsest.store import CLEANUP, Part, buckets_for
@@ -355,3 +356,10 @@ def test_what_only_the_order_needs_is_not_written(spark, monkeypatch):
     assert [r["k"] for r in a.checkout(0, order="position").collect()] == list(range(19, -1, -1))
     columns = next(names for path, names in written if path.endswith("/document"))
     assert set(columns) == {"v_0", "v_1", "__mid"}
+
+
+def test_earlier_attempts_at_labels_go(spark, tmp_path):
+    rows = spark.createDataFrame([(k, k, (9 - k) << 20) for k in range(10)], "rowid long, n_pos long, o_label long")
+    out, _ = labelled(rows, str(tmp_path / "l"))
+    assert [r["rowid"] for r in out.orderBy("label").collect()] == list(range(10))
+    assert len([p for p in tmp_path.iterdir()]) == 1
