@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ BLOCK, SLICE = 500_000, 4 << 20
 #: Bits of the largest filter (32 MB), bits for each phrase below that, and places that a phrase sets.
 BITS, BITS_EACH, PLACES = 1 << 28, 16, 4
 SEEDS = 16
+#: Compressed bytes of a row group of written tables.
+ROW_GROUP = 8 << 20
 
 #: What ends a piece, and what stands between words.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -67,7 +70,7 @@ class _Block:
     """Words of one language as codes; 0 ends a piece."""
 
     def __init__(self):
-        self.code = defaultdict(lambda: len(self.code), {b"\n": 0, b"": 1})
+        self.code = defaultdict(count(2).__next__, {b"\n": 0, b"": 1})  # nothing here refers to the block, so that it is freed at once
         self.parts: list[np.ndarray] = []
 
     def add(self, text: bytes) -> int:
@@ -227,8 +230,9 @@ def phrase_counts(relation: DataFrame, length: int) -> DataFrame:
 
 
 def _written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """A table written and read again. A block is a row of some megabytes and a reader holds a row group whole, so row groups end by their bytes, counted from the first row on (a hundredth by default), however many blocks a task writes."""
     path = shared_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd", "parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": 1}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -1,8 +1,12 @@
+import gc
+import os
 import re
+import weakref
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from palimpsest.llm import collocations as C
@@ -128,3 +132,26 @@ def test_query_equals_its_sql(spark):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     expected = sorted(con.sql(f"SELECT {', '.join(COLUMNS)} FROM ({OP11_SQL})").fetchall())
     assert sorted(map(tuple, op11_collocations(spark, sf).select(*COLUMNS).collect())) == expected and expected
+
+
+def test_blocks_of_a_task_lie_in_row_groups_of_few(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 20_000)
+    monkeypatch.setattr(C, "ROW_GROUP", 200_000, raising=False)
+    docs = spark.range(60).selectExpr("'en' AS lang", "repeat(concat('w', id, ' of the v', id * 7 % 11, ' '), 5000) AS text").coalesce(1)
+    relation, path = C._written(C.first_relation(docs), "phrases-1")
+    file = next(f for f in os.listdir(path.removeprefix("file://")) if f.endswith(".parquet"))
+    held = pq.ParquetFile(f"{path.removeprefix('file://')}/{file}").metadata
+    assert relation.count() == held.num_rows == 60
+    assert max(held.row_group(i).num_rows for i in range(held.num_row_groups)) <= 30
+
+
+def test_a_written_block_is_freed_at_once():
+    block = C._Block()
+    block.add(b"a b a\nc")
+    left = weakref.ref(block)
+    gc.disable()
+    try:
+        del block
+        assert left() is None
+    finally:
+        gc.enable()
